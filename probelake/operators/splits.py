@@ -55,7 +55,7 @@ def full_grid(shapes: DataFrame, materials: DataFrame, n_materials: int) -> Data
 
     ``shapes`` and ``materials`` carry 1-based ordinals ``s_rank`` / ``m_rank``.
     """
-    spread = shapes.withColumn("m_rank", F.explode(F.sequence(F.lit(1), F.lit(n_materials))).cast("bigint"))
+    spread = shapes.withColumn("m_rank", F.explode(F.expr(f"sequence(1L, {int(n_materials)}L)")))
     return spread.join(small(materials), "m_rank")
 
 

@@ -13,12 +13,12 @@ from probelake.operators.ranking import sorted_rank
 NAN = float("nan")
 
 
-def pearson(x, y) -> Column:
+def pearson(x, y, min_points: int = 2) -> Column:
     """Correlation aggregate, 0.0 when a side is constant. Pairs with a missing side are left out."""
     both = col(x).isNotNull() & col(y).isNotNull()
     a, b = F.when(both, col(x)), F.when(both, col(y))
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.when(F.count(a) < 2, F.raise_error(F.lit("correlation needs at least two points")).cast("double")).otherwise(
+    return F.when(F.count(a) < min_points, F.raise_error(F.lit("correlation has too few points")).cast("double")).otherwise(
         F.coalesce(r, F.lit(0.0)))
 
 

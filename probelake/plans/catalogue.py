@@ -1,4 +1,11 @@
 """All query modules, imported for their registrations."""
 
-from probelake.plans import trajectory_queries  # noqa: F401
-from probelake.plans.registry import QUERIES, SQL  # noqa: F401
+# ruff: noqa: F401
+from probelake.plans import (
+    alignment_queries,
+    catalog_queries,
+    split_queries,
+    stat_queries,
+    trajectory_queries,
+)
+from probelake.plans.registry import QUERIES, SQL

@@ -134,7 +134,7 @@ def determinism(spark, sf):
 
 
 # a sweep: a stand-in tilt (mean price scaled to degrees) per quantity level, per return flag
-_SWEEP = """sweep AS (SELECT l_returnflag, l_quantity AS h, avg(l_extendedprice) / 1000.0::DOUBLE AS d
+_SWEEP = """sweep AS (SELECT l_returnflag, l_quantity AS h, avg(l_extendedprice) / 1060.0::DOUBLE AS d
   FROM lineitem GROUP BY 1, 2),
 s AS (SELECT *, lag(h) OVER w AS h1, lag(d) OVER w AS d1 FROM sweep
       WINDOW w AS (PARTITION BY l_returnflag ORDER BY h)),
@@ -148,7 +148,7 @@ c AS (SELECT l_returnflag,
 def _sweep(spark, sf):
     li = table(spark, sf, "lineitem")
     levels = li.groupBy("l_returnflag", F.col("l_quantity").alias("h")).agg(
-        (F.avg("l_extendedprice") / 1000.0).alias("d"))
+        (F.avg("l_extendedprice") / 1060.0).alias("d"))
     return TR.crossover(levels, ["l_returnflag"], "h", "d")
 
 

@@ -67,6 +67,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` plus the columns of a one-row aggregate as literals (no join, one row on the driver)."""
+    row = one_row.first()
+    types = {f.name: f.dataType for f in one_row.schema.fields}
+    return df.select("*", *[F.lit(None if row is None else row[c]).cast(types[c]).alias(c) for c in one_row.columns])
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when a bounded count proves it small, else ``df`` unhinted."""
     fits = df.limit(max_rows + 1).count() <= max_rows
