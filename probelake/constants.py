@@ -137,7 +137,7 @@ FINITE_DIFFERENCE_EPS = 1e-3
 
 # Prompt text.
 CONDITIONS = ("essence", "appearance", "vision")
-FENCE_PATTERN = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+FENCE_PATTERN = r"(?sU)```(?:json)?\s*(\{.*?\})\s*```"
 SYSTEM_PROMPT = """You are a rigid-body physics world model: given an environment state and one
 action, predict the next-state summary exactly as a physics simulator would measure it.
 

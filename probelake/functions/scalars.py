@@ -136,13 +136,29 @@ def mass_from_density(density, volume, watertight) -> Column:
     return F.when(col(watertight), col(density) * col(volume))
 
 
-def coerce_outcome(field: str, text) -> Column:
-    """A reply value as a number; ``toppled`` also understands yes/no words."""
+_NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"
+
+
+def number_or_null(text) -> Column:
+    """A decimal, exponent, inf or nan literal as a double; anything else is null."""
+    t = F.trim(col(text))
+    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
+
+
+def coerce_outcome(field: str, text, is_boolean=None) -> Column:
+    """A reply value as a number; ``toppled`` also understands yes/no words, real booleans are 1/0."""
     word = F.lower(F.trim(col(text)))
-    number = F.trim(col(text)).try_cast("double")
+    number = number_or_null(text)
     if field == "toppled":
-        return (F.when(word.isin("true", "yes"), 1.0).when(word.isin("false", "no"), 0.0).otherwise(number))
-    return F.when(word == "true", 1.0).when(word == "false", 0.0).otherwise(number)
+        return F.when(word.isin("true", "yes"), 1.0).when(word.isin("false", "no"), 0.0).otherwise(number)
+    if is_boolean is None:
+        return number
+    return F.when(col(is_boolean), F.when(word == "true", 1.0).otherwise(0.0)).otherwise(number)
+
+
+def fixed(x, digits: int) -> Column:
+    """Fixed-point text, half to even on the exact binary value."""
+    return F.call_function("format_number", col(x).cast("double"), F.lit("0." + "0" * digits if digits else "0"))
 
 
 def toppled_number(text) -> Column:

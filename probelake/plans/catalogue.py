@@ -4,6 +4,7 @@
 from probelake.plans import (
     alignment_queries,
     catalog_queries,
+    reply_queries,
     split_queries,
     stat_queries,
     trajectory_queries,
