@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probelake import constants as K
 from probelake.functions.hashing import shuffle_key
@@ -64,17 +65,17 @@ def ridge_fit(train: DataFrame, x: str, y: str, alpha: float = K.RIDGE_ALPHA) ->
 
 
 def ridge_predict(df: DataFrame, model: Mapping[str, np.ndarray], x: str, out: str = "prediction") -> DataFrame:
-    """Predicted target array per row (one Arrow-batched matrix product)."""
+    """Predicted target array per row: one matrix product per Arrow batch, no shuffle."""
     mean, sd, w = model["mean"], model["sd"], model["weights"]
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
-    @F.pandas_udf("array<double>")
-    def predict(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return v
-        z = (np.stack(v.to_numpy()).astype(float) - mean) / sd
-        return pd.Series(list(z @ w[:-1] + w[-1]))
+    def predict(batches):
+        for pdf in batches:
+            if len(pdf):
+                z = (np.stack(pdf[x].to_numpy()).astype(float) - mean) / sd
+                yield pdf.assign(**{out: list(z @ w[:-1] + w[-1])})
 
-    return df.withColumn(out, predict(F.col(x).cast("array<double>")))
+    return df.mapInPandas(predict, schema)
 
 
 def ridge(df: DataFrame, x: str, y: str, split: str = "split", alpha: float = K.RIDGE_ALPHA, out: str = "prediction") -> DataFrame:
@@ -129,7 +130,7 @@ def best_oracle(df: DataFrame, x: str, y: str, width: int, quad: bool = True, sp
 def _nearest_center(vec, centers: Sequence[Sequence[float]]) -> Column:
     """Index of the closest center, first on ties: an argmin over a literal array, no join."""
     lits = F.array(*[_lit(c) for c in centers])
-    scored = F.transform(lits, lambda c, i: F.struct(sq_dist(vec, c).alias("d"), i.alias("i")))
+    scored = F.transform(lits, lambda c, i: F.named_struct(F.lit("d"), sq_dist(vec, c), F.lit("i"), i))
     return F.array_min(scored)["i"]
 
 
