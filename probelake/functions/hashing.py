@@ -1,4 +1,8 @@
-"""Keyed randomness: every draw is a pure function of (seed, key, stream), never of partitioning."""
+"""Keyed randomness: every draw is a pure function of (seed, stream, key), never of partitioning.
+
+Draws come from md5 text, which any SQL engine reproduces: hex digits 1-13 and 14-26 of
+``md5(seed|stream|key...)`` are two independent 52-bit uniforms.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from probelake.functions.scalars import col
 
-_MANTISSA = 1 << 53
+_SCALE = float(1 << 52)
 
 
 def key_text(seed: int, *parts) -> Column:
@@ -15,23 +19,38 @@ def key_text(seed: int, *parts) -> Column:
 
 
 def shuffle_key(seed: int, *parts) -> Column:
-    """Text whose sort order is a seeded shuffle of the keys (md5, reproducible in any SQL engine)."""
+    """Text whose sort order is a seeded shuffle of the keys."""
     return F.md5(key_text(seed, *parts))
 
 
+def _fraction(digest: Column, start: int) -> Column:
+    return F.conv(F.substring(digest, start, 13), 16, 10).cast("bigint") / _SCALE
+
+
 def uniform(seed: int, stream: str, *parts) -> Column:
-    """U[0, 1) from a 64-bit hash of (seed, stream, key)."""
-    h = F.xxhash64(F.lit(int(seed)), F.lit(stream), *[col(p) for p in parts])
-    return F.pmod(h, F.lit(_MANTISSA)).cast("double") / float(_MANTISSA)
+    """U[0, 1) for (seed, stream, key)."""
+    return _fraction(F.md5(key_text(seed, F.lit(stream), *parts)), 1)
 
 
 def gaussian(seed: int, stream: str, *parts) -> Column:
-    """N(0, 1) by Box-Muller from two independent hash streams."""
-    u1 = F.lit(1.0) - uniform(seed, stream + "/radius", *parts)
-    u2 = uniform(seed, stream + "/angle", *parts)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0) * F.pi() * u2)
+    """N(0, 1) by Box-Muller from the two uniforms of one digest."""
+    digest = F.md5(key_text(seed, F.lit(stream), *parts))
+    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _fraction(digest, 1))) * F.cos(F.lit(2.0) * F.pi() * _fraction(digest, 14))
 
 
 def below(n, seed: int, stream: str, *parts) -> Column:
     """Uniform integer in [0, n)."""
-    return F.pmod(F.xxhash64(F.lit(int(seed)), F.lit(stream), *[col(p) for p in parts]), col(n).cast("bigint"))
+    return F.floor(uniform(seed, stream, *parts) * col(n).cast("double")).cast("bigint")
+
+
+# the same draws as SQL text, for engines that check the results
+def uniform_sql(seed: int, stream: str, *parts: str) -> str:
+    key = " || '|' || ".join(f"({p})::VARCHAR" for p in parts)
+    return f"(('0x' || substr(md5('{seed}|{stream}|' || {key}), 1, 13))::BIGINT / {_SCALE}::DOUBLE)"
+
+
+def gaussian_sql(seed: int, stream: str, *parts: str) -> str:
+    key = " || '|' || ".join(f"({p})::VARCHAR" for p in parts)
+    digest = f"md5('{seed}|{stream}|' || {key})"
+    part = lambda at: f"(('0x' || substr({digest}, {at}, 13))::BIGINT / {_SCALE}::DOUBLE)"
+    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {part(1)})) * cos(2.0::DOUBLE * pi() * {part(14)}))"

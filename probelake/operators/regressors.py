@@ -22,6 +22,7 @@ from probelake.operators.neighbors import knn_join
 from probelake.operators.ranking import seeded_cuts
 from probelake.operators.scoring import field_errors, ratio
 from probelake.operators.targets import quadratic, quadratic_width
+from probelake.session import durable
 
 
 def array_moments(df: DataFrame, vec: str, floor: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
@@ -114,6 +115,7 @@ def best_oracle(df: DataFrame, x: str, y: str, width: int, quad: bool = True, sp
     ``train_gain`` is the best gain when the train rows are scored themselves.
     """
     rows = None
+    df = durable(df.select(id_col, split, x, y))  # read by every regressor several times
     for order, (name, pred) in enumerate(oracle_candidates(df, x, y, width, quad, split, id_col, **options).items()):
         test = field_errors(pred, y, "prediction", split)
         on_train = field_errors(pred.where(F.col(split) == "train").withColumn(split, F.explode(F.array(F.lit("train"), F.lit("test")))),
@@ -134,6 +136,29 @@ def _nearest_center(vec, centers: Sequence[Sequence[float]]) -> Column:
     return F.array_min(scored)["i"]
 
 
+def _cluster_means(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
+    """(c, m): mean vector of every non-empty cluster; each task emits one partial sum per cluster."""
+    def partial(batches):
+        sums, counts = np.zeros_like(centers), np.zeros(len(centers))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v = np.stack(pdf["_v"].to_numpy())
+            for lo in range(0, len(v), 4096):
+                part = v[lo:lo + 4096]
+                d2 = sum((part[:, None, i] - centers[None, :, i]) ** 2 for i in range(v.shape[1]))
+                c = d2.argmin(1)
+                np.add.at(sums, c, part)
+                counts += np.bincount(c, minlength=len(centers))
+        used = np.flatnonzero(counts)
+        yield pd.DataFrame({"c": used.astype("int32"), "n": counts[used], "s": list(sums[used])})
+
+    parts = vectors.mapInPandas(partial, "c int, n double, s array<double>")
+    cells = parts.select("c", "n", F.posexplode("s").alias("i", "v")).groupBy("c", "i").agg((F.sum("v") / F.sum("n")).alias("m"))
+    return cells.groupBy("c").agg(  # one entry per dimension
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("m"))
+
+
 def quantize(df: DataFrame, vec: str, n_clusters: int, seed: int = 0, split: str = "split", key: str = "id",
              rounds: int = K.KMEANS_ROUNDS, out: str = "cluster") -> tuple[DataFrame, int]:
     """M4: Lloyd clusters fit on train rows; returns the rows with their cluster and the cluster count.
@@ -141,18 +166,16 @@ def quantize(df: DataFrame, vec: str, n_clusters: int, seed: int = 0, split: str
     Starts from seeded train rows. Each round is one map-side combined aggregate; only the centers (at
     most a few hundred short vectors) come back. An empty cluster keeps its center.
     """
-    train = df.where(F.col(split) == "train").select(F.col(key), F.col(vec).cast("array<double>").alias("_v"))
+    train = durable(df.where(F.col(split) == "train").select(F.col(key), F.col(vec).cast("array<double>").alias("_v")))
     n = train.count()
     k = min(n_clusters, n)
     h = shuffle_key(seed, key)
     start = train.where(h <= seeded_cuts(train.select(key), [k], h)[k]).orderBy(h).select("_v").collect()
-    centers = [list(r["_v"]) for r in start]
+    centers = np.array([r["_v"] for r in start], dtype=float)
     for _ in range(rounds):
-        assigned = train.select(_nearest_center(F.col("_v"), centers).alias("c"), F.posexplode("_v").alias("i", "v"))
-        means: dict[int, dict[int, float]] = {}
-        for r in assigned.groupBy("c", "i").agg(F.avg("v").alias("m")).collect():
-            means.setdefault(r["c"], {})[r["i"]] = r["m"]
-        moved = [[means[c][i] for i in range(len(old))] if c in means else old for c, old in enumerate(centers)]
+        moved = centers.copy()
+        for r in _cluster_means(train.select("_v"), centers).collect():
+            moved[r["c"]] = r["m"]
         done = np.allclose(moved, centers)
         centers = moved
         if done:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from probelake import constants as K
 from probelake.functions import scalars as C
-from probelake.functions.hashing import gaussian, uniform
+from probelake.functions.hashing import below, gaussian, uniform
 from probelake.functions.scalars import col
 from probelake.operators.records import lookup_material, nearest_anchor
 from probelake.operators.splits import region_label
@@ -112,7 +112,7 @@ def sample_near(df: DataFrame, anchor: str, *keys: str, jitter: float = 0.15, se
 def assign_scenes(slots: DataFrame, slot: str, shapes: list[str], box: Mapping[str, tuple[float, float]], seed: int = 0,
                   region_shapes: tuple[str, ...] = (), **dials) -> DataFrame:
     """A shape and a sampled material per slot, labelled by region of normalized physics."""
-    pick = F.pmod(F.xxhash64(F.lit(seed), F.lit("shape"), F.col(slot)), F.lit(len(shapes))).cast("int")
+    pick = below(F.lit(len(shapes)), seed, "shape", slot).cast("int")
     drawn = sample_material(slots.withColumn("shape", F.element_at(F.array(*[F.lit(s) for s in shapes]), pick + 1)),
                             slot, seed=seed, **dials)
     essence = {f: F.col(f) / K.PHYSICS_NORMALIZERS[f] for f in K.ESSENCE_FIELDS}

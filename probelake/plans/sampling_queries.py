@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from probelake import constants as K
 from probelake.functions import scalars as C
+from probelake.functions.hashing import gaussian_sql, uniform_sql
 from probelake.operators import sampling as SA
 from probelake.operators import verdicts as VD
-from probelake.plans import standins as ST
 from probelake.plans.registry import query, r6, rounded, table
-
-_KEY = "l_orderkey, l_linenumber"
+from probelake.plans.scene_queries import _MATERIALS_SQL, _pick_sql
 
 
 @query("C1_lerp_clip", """SELECT p_partkey, round(50 + 7950 * (p_size / 50.0::DOUBLE), 6) + 0.0 AS lerped,
@@ -88,16 +87,21 @@ def _clip(x):
     return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x}))"
 
 
-def _appearance_sql(gain):
+def _looks_sql(source, gain):
+    """CTEs from a source with he, gr, ha, cl (as seen by the appearance) and draws nm, nr, nt, nv, hue, us."""
     w = 1.0 - 1.0 / gain
     blend = lambda a, b: _clip(f"{1.0 - w}::DOUBLE * {a} + {w}::DOUBLE * ({b})") if w else a
-    return f"""WITH {_GIVEN}, t AS (SELECT *, {_clip('cl + 0.5 * nt')} AS tr, {_clip('(1.2 * he - 0.2) * (1 - cl) + nm')} AS m0,
-  {_clip('0.90 - 0.55 * ha - 0.70 * cl + 0.25 * gr + nr')} AS r0, {_clip('0.85 - 0.35 * he + nv')} AS v0 FROM g),
+    return f"""t AS (SELECT *, {_clip('cl + 0.5 * nt')} AS tr, {_clip('(1.2 * he - 0.2) * (1 - cl) + nm')} AS m0,
+  {_clip('0.90 - 0.55 * ha - 0.70 * cl + 0.25 * gr + nr')} AS r0, {_clip('0.85 - 0.35 * he + nv')} AS v0 FROM {source}),
 u AS (SELECT *, {_clip('0.15 + 0.45 * us - 0.3 * tr')} AS s, {blend('m0', 'he')} AS m, {blend('r0', 'gr')} AS ro, {blend('v0', '1 - ha')} AS v FROM t),
 x AS (SELECT *, hue * 6 - floor(hue * 6) AS f, (floor(hue * 6)::INT % 6) + 1 AS k FROM u),
-y AS (SELECT *, v * (1 - s) AS p, v * (1 - s * f) AS q, v * (1 - s * (1 - f)) AS w FROM x)
-SELECT l_orderkey, l_linenumber, round(m, 9) + 0.0 AS metallic, round(greatest(0.02, ro), 9) + 0.0 AS roughness, round(tr, 9) + 0.0 AS transmission,
-  round(1.3 + 0.2 * cl, 9) + 0.0 AS ior, round([v, q, p, p, w, v][k], 9) + 0.0 AS red FROM y"""
+y AS (SELECT *, v * (1 - s) AS p, v * (1 - s * f) AS q, v * (1 - s * (1 - f)) AS w FROM x)"""
+
+
+def _appearance_sql(gain):
+    return f"""WITH {_GIVEN}, {_looks_sql('g', gain)}
+SELECT l_orderkey, l_linenumber, round(m, 12) + 0.0 AS metallic, round(greatest(0.02, ro), 12) + 0.0 AS roughness, round(tr, 12) + 0.0 AS transmission,
+  round(1.3 + 0.2 * cl, 12) + 0.0 AS ior, round([v, q, p, p, w, v][k], 12) + 0.0 AS red FROM y"""
 
 
 def _appearance(spark, sf, gain):
@@ -105,7 +109,7 @@ def _appearance(spark, sf, gain):
     looks = SA.appearance_map(factors, draws, gain)
     rows = li.select("l_orderkey", "l_linenumber", *[looks[c].alias(c) for c in ("metallic", "roughness", "transmission", "ior")],
                      looks["base_color"][0].alias("red"))
-    return rounded(rows, "metallic", "roughness", "transmission", "ior", "red", digits=9)
+    return rounded(rows, "metallic", "roughness", "transmission", "ior", "red", digits=12)
 
 
 @query("Y3_appearance_map", _appearance_sql(1.0))
@@ -128,26 +132,82 @@ def physics_map(spark, sf):
 
 
 # ---------------------------------------------------------------- seeded sampling
-@query("Y1_sample_material")
+def _draws_sql(seed, key, noise=SA.APPEARANCE_NOISE):
+    n = {a: f"{gaussian_sql(seed, 'noise/' + c, key)} * {noise}::DOUBLE"
+         for a, c in (("nm", "metallic"), ("nr", "roughness"), ("nt", "transmission"), ("nv", "value"))}
+    return ", ".join(f"{e} AS {a}" for a, e in n.items()) + f", {uniform_sql(seed, 'hue', key)} AS hue, {uniform_sql(seed, 'saturation', key)} AS us"
+
+
+def _factors_sql(seed, key):
+    return (f"{uniform_sql(seed, 'heaviness', key)} AS fh, {uniform_sql(seed, 'grip', key)} AS fg, {uniform_sql(seed, 'hardness', key)} AS fa, "
+            f"pow({uniform_sql(seed, 'clarity', key)}, 3) AS fc")
+
+
+def _seen_sql(seed, key, alpha):
+    names = (("fh", "he", "heaviness"), ("fg", "gr", "grip"), ("fa", "ha", "hardness"))
+    mix = lambda f, n: f if alpha >= 1.0 else f"{f} * {alpha}::DOUBLE + {uniform_sql(seed, 'decoy/' + n, key)} * {1.0 - alpha}::DOUBLE"
+    return ", ".join(f"{mix(f, n)} AS {a}" for f, a, n in names) + ", fc AS cl"
+
+
+_PHYSICS = """exp(ln(50) + (ln(8000) - ln(50)) * fh) AS density, 0.05 + 1.05 * fg AS friction, 0.05 + 0.8 * fa AS restitution"""
+_FACTOR_COLUMNS = ("heaviness", "grip", "hardness", "clarity", "density", "friction", "restitution", "metallic", "roughness", "transmission", "ior")
+_SAMPLE_SELECT = f"""round(fh, 6) + 0.0 AS heaviness, round(fg, 6) + 0.0 AS grip, round(fa, 6) + 0.0 AS hardness, round(fc, 6) + 0.0 AS clarity,
+  round(density, 5) + 0.0 AS density, round(friction, 6) + 0.0 AS friction, round(restitution, 6) + 0.0 AS restitution, round(m, 6) + 0.0 AS metallic,
+  round(greatest(0.02, ro), 6) + 0.0 AS roughness, round(tr, 6) + 0.0 AS transmission, round(1.3 + 0.2 * cl, 6) + 0.0 AS ior, round([v, q, p, p, w, v][k], 6) + 0.0 AS red"""
+
+
+def _sample_sql(seed, table_, key, alpha=1.0, gain=1.0):
+    return f"""f0 AS (SELECT {key}, {_factors_sql(seed, key)} FROM {table_}),
+g0 AS (SELECT *, {_seen_sql(seed, key, alpha)}, {_PHYSICS}, {_draws_sql(seed, key)} FROM f0), {_looks_sql('g0', gain)}"""
+
+
+def _sample_columns(df, *keys):
+    out = df.select(*keys, *_FACTOR_COLUMNS, F.col("base_color")[0].alias("red"))
+    return rounded(out, *[c for c in _FACTOR_COLUMNS if c != "density"], "red").withColumn("density", r6("density", 5))
+
+
+@query("Y1_sample_material", f"WITH {_sample_sql(1, 'orders', 'o_orderkey')} SELECT o_orderkey, {_SAMPLE_SELECT} FROM y")
 def sample_material(spark, sf):
-    return SA.sample_material(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", seed=1)
+    return _sample_columns(SA.sample_material(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", seed=1), "o_orderkey")
+
+
+@query("Y1_nearest_anchor", f"""WITH {_sample_sql(1, 'orders', 'o_orderkey')}, {_MATERIALS_SQL},
+c AS (SELECT o_orderkey, name, pow(y.density / 8000 - mats.density / 8000, 2) + pow(y.friction / 1.5 - mats.friction / 1.5, 2) + pow(y.restitution - mats.restitution, 2) AS d FROM y, mats)
+SELECT o_orderkey, arg_min(name, d) AS nearest_anchor FROM c GROUP BY 1""")
+def sampled_anchor(spark, sf):
+    return SA.sample_material(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", seed=1).select("o_orderkey", "nearest_anchor")
+
+
+def _jitter_sql(center, factor):
+    return _clip(f"{center} + ({uniform_sql(2, 'jitter/' + factor, 'p_partkey')} * 2 - 1) * 0.15::DOUBLE")
 
 
-@query("Y2_sample_near")
+@query("Y2_sample_near", f"""WITH {_MATERIALS_SQL}, n0 AS (SELECT p_partkey, {_pick_sql([m[0] for m in K.MATERIALS], 'p_size')} AS name FROM part),
+f0 AS (SELECT p_partkey, {_jitter_sql('(ln(density) - ln(50)) / (ln(8000) - ln(50))', 'heaviness')} AS fh, {_jitter_sql('(friction - 0.05) / (1.10 - 0.05)', 'grip')} AS fg,
+  {_jitter_sql('(restitution - 0.05) / (0.85 - 0.05)', 'hardness')} AS fa, {_jitter_sql('transmission', 'clarity')} AS fc FROM n0 JOIN mats USING (name)),
+g0 AS (SELECT *, fh AS he, fg AS gr, fa AS ha, fc AS cl, {_PHYSICS}, {_draws_sql(2, 'p_partkey')} FROM f0), {_looks_sql('g0', 1.0)} SELECT p_partkey, {_SAMPLE_SELECT} FROM y""")
 def sample_near(spark, sf):
     names = F.array(*[F.lit(m[0]) for m in K.MATERIALS])
     p = table(spark, sf, "part").select("p_partkey", F.element_at(names, (F.col("p_size") % 10 + 1).cast("int")).alias("anchor"))
-    return SA.sample_near(p, "anchor", "p_partkey", seed=2)
+    return _sample_columns(SA.sample_near(p, "anchor", "p_partkey", seed=2), "p_partkey")
 
 
-@query("Y5_coupling_dial")
+_DIALS = ((0.0, 1.0), (0.5, 1.0), (1.0, 1.0), (1.0, 8.0))
+
+
+def _dial_sql(alpha, gain):
+    return f"""SELECT {alpha}::DOUBLE AS alpha, {gain}::DOUBLE AS gain, round(corr(m, fh), 6) + 0.0 AS r FROM
+(WITH {_sample_sql(1, 'orders', 'o_orderkey', alpha, gain)} SELECT m, fh FROM y)"""
+
+
+@query("Y5_coupling_dial", " UNION ALL ".join(_dial_sql(*d) for d in _DIALS))
 def coupling_dial(spark, sf):
     """Measured coupling of metallic and heaviness over the orders at four dial settings."""
     o = table(spark, sf, "orders").select("o_orderkey")
     rows = None
-    for alpha, gain in ((0.0, 1.0), (0.5, 1.0), (1.0, 1.0), (1.0, 8.0)):
+    for alpha, gain in _DIALS:
         one = SA.coupling(SA.sample_material(o, "o_orderkey", seed=1, alpha=alpha, gain=gain), "metallic", "heaviness")
-        one = one.withColumn("alpha", F.lit(alpha)).withColumn("gain", F.lit(gain))
+        one = one.select(F.lit(alpha).alias("alpha"), F.lit(gain).alias("gain"), r6("r").alias("r"))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
@@ -162,22 +222,31 @@ def matched_arms(spark, sf):
     return VD.physics_matched(arms, "arm", ["o_orderkey"], list(K.ESSENCE_FIELDS))
 
 
-@query("Y7_jittered_actions")
+@query("Y7_jittered_actions", f"""WITH r AS (SELECT p_partkey, i::INT AS rep FROM part, range(1, 9) t(i))
+SELECT p_partkey, rep, round(1.5 * (1 + {gaussian_sql(3, 'impulse', 'p_partkey', 'rep')} * 0.03), 6) + 0.0 AS impulse,
+round({gaussian_sql(3, 'azimuth', 'p_partkey', 'rep')} * 2, 6) + 0.0 AS azimuth_deg FROM r""")
 def jittered_actions(spark, sf):
     pushes = table(spark, sf, "part").select("p_partkey", F.lit(K.PUSH_IMPULSE).alias("impulse"), F.lit(K.PUSH_AZIMUTH_DEG).alias("azimuth_deg"))
-    return SA.jittered_actions(pushes, 8, "p_partkey", seed=3)
+    return rounded(SA.jittered_actions(pushes, 8, "p_partkey", seed=3), "impulse", "azimuth_deg")
 
 
-@query("Y8_directions")
+@query("Y8_directions", f"""WITH g AS (SELECT vec_id, {gaussian_sql(4, 'direction', 'vec_id', 'd', 'i')} AS v FROM embeddings, range(48) a(d), range(32) b(i))
+SELECT vec_id, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS sd, count(*) AS n FROM g GROUP BY vec_id""")
 def directions(spark, sf):
     """Moments of 48 Gaussian directions per embedding row."""
     d = table(spark, sf, "embeddings").select("vec_id", F.flatten(SA.gaussian_directions(32, K.N_DIRECTIONS, 4, "vec_id")).alias("d"))
-    return d.select("vec_id", F.explode("d").alias("v")).groupBy("vec_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"),
+    rows = d.select("vec_id", F.explode("d").alias("v")).groupBy("vec_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"),
                                                                             F.count("v").alias("n"))
+    return rounded(rows, "mean", "sd")
+
+
+_SHAPES = [s[0] for s in K.SHAPE_GEOMETRY]
 
 
-@query("X9_assign_scenes")
+@query("X9_assign_scenes", f"""WITH {_sample_sql(5, 'orders', 'o_orderkey')}, l AS (SELECT o_orderkey, floor({uniform_sql(5, 'shape', 'o_orderkey')} * 6)::INT AS i,
+CASE WHEN density / 8000 BETWEEN 0.55 AND 1.01 AND restitution BETWEEN 0.60 AND 0.90 THEN 'test' ELSE 'train' END AS split FROM y)
+SELECT o_orderkey, printf('%s_%06d', split, o_orderkey) AS scene_id, split, {_pick_sql(_SHAPES, 'i')} AS shape FROM l""")
 def assign_scenes(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
-    shapes = [s[0] for s in K.SHAPE_GEOMETRY]
-    return SA.assign_scenes(o, "o_orderkey", shapes, K.REGION_PRESETS["extrapolation"], seed=5)
+    out = SA.assign_scenes(o, "o_orderkey", _SHAPES, K.REGION_PRESETS["extrapolation"], seed=5)
+    return out.select("o_orderkey", "scene_id", "split", "shape")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from probelake import constants as K
-from probelake.functions.hashing import shuffle_key
+from probelake.functions.hashing import shuffle_key, uniform_sql
 from probelake.functions.scalars import scene_key
 from probelake.operators import splits as SP
 from probelake.plans import standins as ST
@@ -149,7 +149,12 @@ def kfold(spark, sf):
     return SP.kfold(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 7, 13)
 
 
-@query("X8_assign_scenes")
+@query("X8_assign_scenes", f"""WITH {_GRID}, p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('0|' || shape || '|' || material), shape, material) AS o,
+  count(*) OVER (PARTITION BY split) AS c FROM x1), t AS (SELECT count(*) AS n, (SELECT count(*) FILTER (split = 'train') FROM x1) AS tr, (SELECT count(*) FILTER (split = 'test') FROM x1) AS te FROM orders),
+q AS (SELECT o_orderkey AS slot, n - round_even(n * te / (tr + te)::DOUBLE, 0)::BIGINT AS cut, tr, te FROM orders, t),
+d AS (SELECT CASE WHEN slot < cut THEN 'train' ELSE 'test' END AS split, CASE WHEN slot < cut THEN slot ELSE slot - cut END AS i, tr, te FROM q),
+e AS (SELECT split, i, floor({uniform_sql(17, 'pair', 'split', 'i')} * CASE split WHEN 'train' THEN tr ELSE te END)::BIGINT + 1 AS o FROM d)
+SELECT printf('%s_%06d', split, i) AS scene_id, shape, material, split FROM e JOIN p USING (split, o)""")
 def assign_scenes(spark, sf):
     slots = table(spark, sf, "orders").select("o_orderkey")  # keys 0..n-1 serve as slot ordinals
     return SP.assign_scene_materials(slots, "o_orderkey", _grid(spark, sf), seed=17)

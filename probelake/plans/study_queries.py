@@ -5,9 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from probelake import constants as K
-from probelake.operators import agreement as AG
-from probelake.operators import alignment as AL
+from probelake.functions.hashing import gaussian_sql
 from probelake.operators import coherence as CO
 from probelake.operators import neighbors as NN
 from probelake.operators import regressors as RG
@@ -17,9 +15,10 @@ from probelake.operators import splits as SP
 from probelake.operators import stats as ST_
 from probelake.operators import verdicts as VD
 from probelake.plans import standins as ST
-from probelake.plans.alignment_queries import codes, run_latents
+from probelake.plans.alignment_queries import codes
 from probelake.plans.registry import query, r6, rounded, table
 from probelake.plans.stat_queries import RUNS_SQL, runs
+from probelake.session import durable
 
 # ---------------------------------------------------------------- coherence
 # given magnitudes: one entity per order, one direction per line
@@ -43,20 +42,17 @@ def alignment_loss(spark, sf):
     return rounded(CO.coherence_alignment_loss(_mags(spark, sf)), "loss")
 
 
-_RNG = np.random.default_rng(7)
-_W_RENDER, _W_TARGET = _RNG.normal(size=(32, 12)), _RNG.normal(size=(32, 6))
-
-
+# user functions with a closed form: entries 1-4 squared, entries 3-6 scaled, entries 9-12 scaled
 def f_render(z):
-    return np.tanh(z @ _W_RENDER)
+    return z[:, :4] ** 2 * np.array([1.0, 2.0, 3.0, 4.0])
 
 
 def f_target(z):
-    return np.tanh(z @ (_W_RENDER[:, :6] + 0.5 * _W_TARGET))
+    return z[:, 2:6] * np.array([4.0, 3.0, 2.0, 1.0])
 
 
 def f_other(z):
-    return np.tanh(z @ _W_TARGET)
+    return z[:, 8:12] * np.array([1.0, 1.0, 2.0, 2.0])
 
 
 def _magnitudes(spark, sf, target=f_target):
@@ -67,23 +63,54 @@ def _independent(spark, sf):
     return CO.independent_magnitudes(ST.latents(spark, sf), f_render, f_other, 32, 32, id_col="vec_id", render="x", target="y")
 
 
-@query("M9_response_magnitudes")
+_EPS = "0.001::DOUBLE"
+
+
+def _square_sql(weights, offset=0):
+    terms = [f"pow({w}::DOUBLE * (pow(z[{i + 1}] + {_EPS} * g{i + offset}, 2) - pow(z[{i + 1}], 2)), 2)" for i, w in weights]
+    return f"sqrt({' + '.join(terms)}) / {_EPS}"
+
+
+def _linear_sql(weights, offset=0):
+    return f"sqrt({' + '.join(f'pow({w}::DOUBLE * g{i + offset}, 2)' for i, w in weights)})"
+
+
+def _directions_sql(dims):
+    draws = ", ".join(f"{gaussian_sql(0, 'direction', 'vec_id', 'd', str(i))} AS g{i}" for i in dims)
+    return f"dirs AS (SELECT vec_id AS id, d::INT AS direction, x AS z, {draws} FROM latents, range(48) r(d))"
+
+
+_RENDER_SQL = _square_sql([(0, 1), (1, 2), (2, 3), (3, 4)])
+_TARGET_SQL = _linear_sql([(2, 4), (3, 3), (4, 2), (5, 1)])
+_OTHER_SQL = _linear_sql([(8, 1), (9, 1), (10, 2), (11, 2)])
+_JOINT_SQL = _linear_sql([(8, 1), (9, 1), (10, 2), (11, 2)], 32)
+_SCORE = "SELECT avg(r) AS c FROM (SELECT {r} AS r FROM (SELECT id, {x} AS x, {y} AS y FROM dirs) GROUP BY id)"
+
+
+@query("M9_response_magnitudes", f"""WITH {ST.LATENTS_SQL}, {_directions_sql(range(6))}
+SELECT id, direction, round({_RENDER_SQL}, 5) + 0.0 AS render_mag, round({_TARGET_SQL}, 5) + 0.0 AS target_mag FROM dirs""")
 def response_magnitudes(spark, sf):
-    return _magnitudes(spark, sf)
+    return rounded(_magnitudes(spark, sf), "render_mag", "target_mag", digits=5)
 
 
-@query("M10_independent_coherence")
+@query("M10_independent_coherence", f"""WITH {ST.LATENTS_SQL}, {_directions_sql([*range(4), 40, 41, 42, 43])}
+SELECT round(c, 6) + 0.0 AS coherence, (SELECT count(*) FROM latents) AS n_samples FROM ({_SCORE.format(r=_R, x=_RENDER_SQL, y=_JOINT_SQL)})""")
 def independent_coherence(spark, sf):
-    return CO.coherence(_independent(spark, sf))
+    return rounded(CO.coherence(_independent(spark, sf)), "coherence")
 
 
-@query("M11_compare")
+@query("M11_compare", f"""WITH {ST.LATENTS_SQL}, {_directions_sql([*range(6), *range(8, 12), *range(40, 44)])},
+s AS (SELECT ({_SCORE.format(r=_R, x=_RENDER_SQL, y=_TARGET_SQL)}) AS b, ({_SCORE.format(r=_R, x=_RENDER_SQL, y=_OTHER_SQL)}) AS o,
+  ({_SCORE.format(r=_R, x=_RENDER_SQL, y=_JOINT_SQL)}) AS i), t AS (SELECT 'behavior' AS target, b AS sh, i, o AS a FROM s UNION ALL SELECT 'essence', o, i, o FROM s)
+SELECT target, round(sh, 6) + 0.0 AS shared_coherence, round(i, 6) + 0.0 AS independent_coherence, round(sh - i, 6) + 0.0 AS gap,
+  round(a, 6) + 0.0 AS architectural_coherence, round(sh - a, 6) + 0.0 AS learned_coherence, (SELECT count(*) FROM latents) AS n_samples FROM t""")
 def compare(spark, sf):
     tag = lambda df, t: df.withColumn("target", F.lit(t))
     shared = tag(_magnitudes(spark, sf), "behavior").unionByName(tag(_magnitudes(spark, sf, f_other), "essence"))
     indep = tag(_independent(spark, sf), "behavior").unionByName(tag(_independent(spark, sf), "essence"))
     untrained = tag(_magnitudes(spark, sf, f_other), "behavior").unionByName(tag(_magnitudes(spark, sf, f_other), "essence"))
-    return CO.compare(shared, indep, untrained)
+    out = CO.compare(shared, indep, untrained)
+    return rounded(out, "shared_coherence", "independent_coherence", "gap", "architectural_coherence", "learned_coherence")
 
 
 @query("M12_coherence_experiment", f"""WITH {RUNS_SQL} SELECT arm AS target, round(avg(value) FILTER (kind = 'trained'), 6) + 0.0 AS trained_mean,
@@ -223,18 +250,40 @@ def present_mask(spark, sf):
 
 
 # ---------------------------------------------------------------- reports
-@query("M13_alignment_report")
+# eight slice runs: two arms, each with two trained and two untrained runs
+_KINDS = [(arm, kind, seed) for arm in ("base", "loud") for kind in ("trained", "untrained") for seed in (0, 1)]
+_REPORT_SQL = f"""runs AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{a}', '{k}', {s})" for i, (a, k, s) in enumerate(_KINDS))}) v(run_id, arm, kind, seed)),
+slices AS (SELECT i AS run_id, vec_id, list_transform(embedding[i * 8 + 1 : i * 8 + 8], lambda v: v::DOUBLE) AS z FROM embeddings, range(8) r(i)),
+nn AS (SELECT * FROM (SELECT a.run_id, a.vec_id AS id, b.vec_id AS neighbor,
+  row_number() OVER (PARTITION BY a.run_id, a.vec_id ORDER BY list_distance(a.z, b.z), b.vec_id) AS rank
+  FROM slices a JOIN slices b ON a.run_id = b.run_id AND a.vec_id <> b.vec_id) WHERE rank <= 5),
+hits AS (SELECT a.run_id AS run_a, b.run_id AS run_b, count(*) AS h FROM nn a JOIN nn b ON a.id = b.id AND a.neighbor = b.neighbor AND a.run_id < b.run_id GROUP BY 1, 2),
+n AS (SELECT count(*) AS n FROM embeddings),
+pairs AS (SELECT a.arm AS arm_a, b.arm AS arm_b, a.kind AS kind_a, b.kind AS kind_b, a.seed AS sa, b.seed AS sb, coalesce(h, 0) / (n * 5.0::DOUBLE) AS knn
+  FROM runs a JOIN runs b ON a.run_id < b.run_id LEFT JOIN hits ON run_a = a.run_id AND run_b = b.run_id, n),
+rep AS (SELECT arm_a AS arm, avg(knn) FILTER (kind_a = 'trained') AS t, avg(knn) FILTER (kind_a = 'untrained') AS u FROM pairs WHERE arm_a = arm_b AND kind_a = kind_b GROUP BY 1
+  UNION ALL SELECT arm_a || '|' || arm_b, avg(knn), NULL FROM pairs WHERE arm_a < arm_b AND kind_a = 'trained' AND kind_b = 'trained' AND sa <> sb GROUP BY 1),
+pl AS (SELECT vec_id, row_number() OVER (ORDER BY md5('2026|' || vec_id)) AS p FROM embeddings),
+shuf AS (SELECT count(*) AS h FROM nn a JOIN pl x ON x.vec_id = a.id JOIN n ON true JOIN pl y ON y.p = (x.p + n.n - 2) % n.n + 1
+  JOIN nn b ON b.id = y.vec_id AND b.neighbor = a.neighbor AND b.run_id = 0 WHERE a.run_id = 0)"""
+
+
+@query("M13_alignment_report", f"""WITH {_REPORT_SQL} SELECT arm, round(t, 6) + 0.0 AS trained, round(u, 6) + 0.0 AS untrained, round(t - u, 6) + 0.0 AS learned,
+1.0::DOUBLE AS self_overlap, round(h / (n * 5.0::DOUBLE), 6) + 0.0 AS shuffle, round(5.0::DOUBLE / (n - 1), 6) + 0.0 AS chance FROM rep, shuf, n""")
 def alignment_report(spark, sf):
-    """Six slice runs, two arms: kNN per pair, learned alignment against the shuffled control per arm."""
+    """Pair alignment per arm, learned alignment and the shuffle gate, over eight slice runs."""
     tables = None
-    for i in range(6):
-        nn = NN.knn(run_latents(spark, sf, i), 5, id_col="vec_id").select(F.lit(i).cast("bigint").alias("run_id"), "id", "neighbor")
+    for i in range(8):
+        z = F.transform(F.slice("embedding", i * 8 + 1, 8), lambda v: v.cast("double"))
+        nn = NN.knn(table(spark, sf, "embeddings").select("vec_id", z.alias("z")), 5, id_col="vec_id")
+        nn = nn.select(F.lit(i).cast("bigint").alias("run_id"), "id", "neighbor")
         tables = nn if tables is None else tables.unionByName(nn)
-    kinds = [("base", "trained"), ("base", "trained"), ("base", "untrained"), ("loud", "trained"), ("loud", "trained"), ("loud", "untrained")]
-    registry = table(spark, sf, "embeddings").select(F.size("embedding").alias("w")).limit(1).select(
-        F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("run_id"), F.lit(a).alias("arm"), F.lit(k).alias("kind"), F.lit(i % 3).alias("seed"))
-                            for i, (a, k) in enumerate(kinds)])).alias("r")).select("r.*")
-    return RP.alignment_report(tables, registry, 5)
+    tables = durable(tables)  # read once per arm, per cross pair and by the shuffle gate
+    cells = [F.struct(F.lit(i).cast("bigint").alias("run_id"), F.lit(a).alias("arm"), F.lit(k).alias("kind"), F.lit(s).alias("seed"))
+             for i, (a, k, s) in enumerate(_KINDS)]
+    registry = tables.select("run_id").distinct().join(
+        F.broadcast(spark.range(1).select(F.explode(F.array(*cells)).alias("r")).select("r.*")), "run_id")  # eight rows
+    return rounded(RP.alignment_report(tables, registry, 5), "trained", "untrained", "learned", "self_overlap", "shuffle", "chance")
 
 
 @query("M14_code_report")
