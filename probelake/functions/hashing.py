@@ -32,9 +32,18 @@ def uniform(seed: int, stream: str, *parts) -> Column:
     return _fraction(F.md5(key_text(seed, F.lit(stream), *parts)), 1)
 
 
+def digest(seed: int, stream: str, *parts) -> Column:
+    """The md5 text behind one draw."""
+    return F.md5(key_text(seed, F.lit(stream), *parts))
+
+
 def gaussian(seed: int, stream: str, *parts) -> Column:
-    """N(0, 1) by Box-Muller from the two uniforms of one digest."""
-    digest = F.md5(key_text(seed, F.lit(stream), *parts))
+    """N(0, 1) for (seed, stream, key)."""
+    return gaussian_of(digest(seed, stream, *parts))
+
+
+def gaussian_of(digest: Column) -> Column:
+    """Box-Muller from the two uniforms of one digest."""
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - _fraction(digest, 1))) * F.cos(F.lit(2.0) * F.pi() * _fraction(digest, 14))
 
 

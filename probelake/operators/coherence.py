@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,39 +10,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelake import constants as K
-from probelake.operators.sampling import gaussian_directions
+from probelake.operators.sampling import direction_block
 from probelake.operators.stats import describe, pearson
+from probelake.session import widen
 
 Decoder = Callable[[np.ndarray], np.ndarray]  # (rows, latent) -> (rows, outputs)
 
 
-def response_magnitudes(latents: DataFrame, f_render: Decoder, f_target: Decoder, dim: int, *, id_col: str = "id",
-                        vec: str = "z", n_dirs: int = K.N_DIRECTIONS, eps: float = K.FINITE_DIFFERENCE_EPS,
-                        seed: int = 0) -> DataFrame:
-    """M9: finite-difference output change of two user functions per (entity, direction).
+def response_magnitudes(latents: DataFrame, f_render: Decoder, f_target: Decoder | Mapping[str, Decoder], dim: int, *,
+                        id_col: str = "id", vec: str = "z", n_dirs: int = K.N_DIRECTIONS,
+                        eps: float = K.FINITE_DIFFERENCE_EPS, seed: int = 0) -> DataFrame:
+    """M9: finite-difference output change of user functions per (entity, direction).
 
-    Directions are keyed by the entity, so no direction table is joined and nothing is shuffled: each
-    Arrow batch evaluates the base points once and all perturbed points in one call per function.
+    Directions are keyed by the entity, so no direction table is joined and perturbed points are never
+    shuffled: a task evaluates its base points once and all their perturbations in one call per function.
+    Several named targets share the same perturbations and give one row each (column ``target``).
     """
     kind = latents.schema[id_col].dataType.simpleString()
-    rows = latents.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("z"),
-                          gaussian_directions(dim, n_dirs, seed, F.col(id_col)).alias("dirs"))
+    rows = widen(latents).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("z"))
+    named = isinstance(f_target, Mapping)
+    targets = dict(f_target) if named else {"": f_target}
+
+    def change(f, z, moved):
+        base = np.asarray(f(z), dtype=np.float64)
+        diff = np.asarray(f(moved), dtype=np.float64).reshape(len(z), n_dirs, -1) - base[:, None, :]
+        return (np.sqrt((diff ** 2).sum(-1)) / eps).ravel()
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            z = np.stack(pdf["z"].to_numpy())
-            dirs = np.array([np.stack(d) for d in pdf["dirs"]])
-            moved = (z[:, None, :] + eps * dirs).reshape(-1, z.shape[1])
-            out = {"id": np.repeat(pdf["id"].to_numpy(), n_dirs), "direction": np.tile(np.arange(n_dirs, dtype="int32"), len(z))}
-            for name, f in (("render_mag", f_render), ("target_mag", f_target)):
-                base = np.asarray(f(z), dtype=np.float64)
-                change = np.asarray(f(moved), dtype=np.float64).reshape(len(z), n_dirs, -1) - base[:, None, :]
-                out[name] = (np.sqrt((change ** 2).sum(-1)) / eps).ravel()
-            yield pd.DataFrame(out)
+            for lo in range(0, len(pdf), 64):
+                part = pdf.iloc[lo:lo + 64]
+                z, ids = np.stack(part["z"].to_numpy()), part["id"].to_numpy()
+                moved = (z[:, None, :] + eps * direction_block(ids, dim, n_dirs, seed)).reshape(-1, dim)
+                render = change(f_render, z, moved)
+                for name, f in targets.items():
+                    out = {"id": np.repeat(ids, n_dirs), "direction": np.tile(np.arange(n_dirs, dtype="int32"), len(z)),
+                           "render_mag": render, "target_mag": change(f, z, moved)}
+                    yield pd.DataFrame({**out, "target": name} if named else out)
 
-    return rows.mapInPandas(run, f"id {kind}, direction int, render_mag double, target_mag double")
+    return rows.mapInPandas(run, f"id {kind}, direction int, render_mag double, target_mag double" + (", target string" if named else ""))
 
 
 def coherence(mags: DataFrame, entity: str = "id", by: Sequence[str] = (), x: str = "render_mag",
@@ -57,12 +63,14 @@ def coherence_alignment_loss(mags: DataFrame, x: str = "render_mag", y: str = "t
     return mags.groupBy(*by).agg((F.lit(1.0) - pearson(x, y)).alias("loss"))
 
 
-def independent_magnitudes(pairs: DataFrame, f_render: Decoder, f_target: Decoder, dim_render: int, dim_target: int, *,
-                           id_col: str = "id", render: str = "z_render", target: str = "z_target", **options) -> DataFrame:
+def independent_magnitudes(pairs: DataFrame, f_render: Decoder, f_target: Decoder | Mapping[str, Decoder], dim_render: int,
+                           dim_target: int, *, id_col: str = "id", render: str = "z_render", target: str = "z_target",
+                           **options) -> DataFrame:
     """Joint latent of two separate models; each function reads its own half, so coherence is about 0."""
     joint = pairs.select(id_col, F.concat(F.col(render).cast("array<double>"), F.col(target).cast("array<double>")).alias("z"))
-    return response_magnitudes(joint, lambda z: f_render(z[:, :dim_render]), lambda z: f_target(z[:, dim_render:]),
-                               dim_render + dim_target, id_col=id_col, **options)
+    half = lambda f: lambda z: f(z[:, dim_render:])
+    own = {n: half(f) for n, f in f_target.items()} if isinstance(f_target, Mapping) else half(f_target)
+    return response_magnitudes(joint, lambda z: f_render(z[:, :dim_render]), own, dim_render + dim_target, id_col=id_col, **options)
 
 
 def compare(shared: DataFrame, independent: DataFrame, untrained: DataFrame | None = None, by: Sequence[str] = ("target",)) -> DataFrame:

@@ -20,8 +20,10 @@ from probelake.functions.hashing import shuffle_key
 from probelake.operators.ranking import seeded_cuts
 
 MAX_PIVOTS = 1024
-BLOCK_ROWS = 4096
-QUERY_CHUNK = 4096
+BLOCK_ROWS = 16384
+QUERY_CHUNK = 16384
+MIN_CHUNK = 256
+MAX_TASKS = 100_000
 _SLACK = 1e-9
 
 
@@ -36,37 +38,42 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def block_top_k(q_ids, q, c_ids, c, k: int, exclude_self: bool) -> pd.DataFrame:
     """The k nearest candidates of every query inside one block.
 
-    A matrix product preselects everything within rounding of the k-th distance; those few pairs are
-    measured again by direct differences, so exact ties are seen as ties and go to the smaller id.
+    Equal candidate vectors are measured once: a vector within reach offers its k + 1 smallest ids, so a
+    block full of copies costs no more than one row. A matrix product preselects the vectors within
+    rounding of the k-th distance; those are measured again by direct differences, so exact ties are seen
+    as ties and go to the smaller id.
     """
     order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    rows, cols, dists = [], [], []
+    c_ids, c = c_ids[order], np.ascontiguousarray(c[order] + 0.0)
+    rows_as_bytes = c.view(np.dtype((np.void, c.dtype.itemsize * c.shape[1]))).ravel()
+    _, first, group = np.unique(rows_as_bytes, return_index=True, return_inverse=True)
+    distinct = c[first]
+    members = np.argsort(group, kind="stable")                      # ids ascend inside every group
+    starts = np.concatenate([[0], np.cumsum(np.bincount(group))])
+    sizes = np.minimum(np.diff(starts), k + 1)
+    offered = np.concatenate([members[s:s + n] for s, n in zip(starts[:-1], sizes)])
+    offer_at = np.concatenate([[0], np.cumsum(sizes)])
+    kk = min(k + 1 if exclude_self else k, len(distinct))
+    out = []
     for lo in range(0, len(q), 256):
-        part = q[lo:lo + 256]
-        d2 = _squared(part, c)
-        if exclude_self:
-            d2[q_ids[lo:lo + 256, None] == c_ids[None, :]] = np.inf
-        kk = min(k, d2.shape[1])
+        part, ids = q[lo:lo + 256], q_ids[lo:lo + 256]
+        d2 = _squared(part, distinct)
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        scale = (part * part).sum(1) + (c * c).sum(1).max()
-        keep = (d2 <= np.where(np.isfinite(kth), kth + _SLACK * (1.0 + scale), np.finfo(float).max)[:, None]) & np.isfinite(d2)
-        r, j = np.nonzero(keep)
-        for at in range(0, len(r), 65536):
-            rr, jj = r[at:at + 65536], j[at:at + 65536]
-            diff = part[rr] - c[jj]
-            dists.append((diff * diff).sum(1))
-        rows.append(r + lo)
-        cols.append(j)
-    r = np.concatenate(rows) if rows else np.zeros(0, int)
-    j = np.concatenate(cols) if cols else np.zeros(0, int)
-    d = np.concatenate(dists) if dists else np.zeros(0)
-    best = np.lexsort((j, d, r))
-    r, j, d = r[best], j[best], d[best]
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1]) if len(r) else np.zeros(0, int)
-    place = np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r)))) if len(r) else r
-    top = place < k
-    return pd.DataFrame({"id": q_ids[r[top]], "neighbor": c_ids[j[top]], "d2": d[top]})
+        scale = (part * part).sum(1) + (distinct * distinct).sum(1).max()
+        r, j = np.nonzero(d2 <= (kth + _SLACK * (1.0 + scale))[:, None])
+        d = np.concatenate([((part[r[at:at + 8192]] - distinct[j[at:at + 8192]]) ** 2).sum(1) for at in range(0, len(r), 8192)])
+        n = sizes[j]                                                # expand vectors to the ids they offer
+        pick = np.repeat(offer_at[j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        r, d, c_at = np.repeat(r, n), np.repeat(d, n), offered[pick]
+        if exclude_self:
+            other = ids[r] != c_ids[c_at]
+            r, d, c_at = r[other], d[other], c_at[other]
+        best = np.lexsort((c_at, d, r))
+        r, d, c_at = r[best], d[best], c_at[best]
+        begin = np.searchsorted(r, np.arange(len(part)))
+        top = np.arange(len(r)) - begin[r] < k
+        out.append(pd.DataFrame({"id": ids[r[top]], "neighbor": c_ids[c_at[top]], "d2": d[top]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def _merge(parts: DataFrame, k: int) -> DataFrame:
@@ -83,7 +90,9 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, *, id_col: str =
     n_c, n_q = c.count(), q.count()
     result = f"id {queries.schema[id_col].dataType.simpleString()}, neighbor {id_type}, d2 double"
     n_blocks = -(-n_c // block_rows)
-    n_chunks = max(1, -(-n_q // query_chunk))
+    slots = candidates.sparkSession.sparkContext.defaultParallelism
+    n_chunks = max(1, -(-n_q // query_chunk), min(slots, n_q // MIN_CHUNK))
+    n_tasks = min(2 * max(n_blocks, 1) * n_chunks, MAX_TASKS)  # an explicit width: these groups are heavy, not large
     chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.lit(n_chunks)).cast("int")
 
     def search(pair_q: DataFrame, pair_c: DataFrame) -> DataFrame:
@@ -92,7 +101,8 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, *, id_col: str =
                 return pd.DataFrame({"id": [], "neighbor": [], "d2": []})
             return block_top_k(pq["id"].to_numpy(), _matrix(pq["z"]), pc["id"].to_numpy(), _matrix(pc["z"]), k, exclude_self)
 
-        return pair_q.groupBy("block", "chunk").cogroup(pair_c.groupBy("block", "chunk")).applyInPandas(run, result)
+        left, right = (side.repartition(n_tasks, "block", "chunk").groupBy("block", "chunk") for side in (pair_q, pair_c))
+        return left.cogroup(right).applyInPandas(run, result)
 
     spread = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))
     if n_blocks <= 1:

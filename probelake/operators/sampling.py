@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from probelake.functions.hashing import below, gaussian, uniform
 from probelake.functions.scalars import col
 from probelake.operators.records import lookup_material, nearest_anchor
 from probelake.operators.splits import region_label
+from probelake.session import widen
 
 APPEARANCE_NOISE = 0.07
 
@@ -130,10 +134,29 @@ def jittered_actions(df: DataFrame, reps: int, *keys: str, seed: int = 0, impuls
     )
 
 
-def gaussian_directions(dim: int, n: int, seed: int, *keys) -> Column:
-    """N Gaussian directions (never unit-normalized) per key, as an array of arrays."""
-    one = lambda d: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: gaussian(seed, "direction", *keys, d, i))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+def direction_block(ids, dim: int, n: int, seed: int) -> np.ndarray:
+    """Gaussian directions (len(ids), n, dim), each entry keyed by (seed, id, direction, position)."""
+    prefix = f"{seed}|direction|"
+    digests = b"".join(md5(f"{prefix}{i}|{d}|{j}".encode()).digest() for i in ids for d in range(n) for j in range(dim))
+    words = np.frombuffer(digests, dtype=">u8").astype(np.uint64).reshape(-1, 2)
+    high, low = words[:, 0], words[:, 1]
+    u1 = (high >> np.uint64(12)).astype(np.float64) / 2.0 ** 52     # hex digits 1-13
+    u2 = (((high & np.uint64(0xFFF)) << np.uint64(40)) | (low >> np.uint64(24))).astype(np.float64) / 2.0 ** 52
+    return (np.sqrt(-2.0 * np.log(1.0 - u1)) * np.cos(2.0 * np.pi * u2)).reshape(len(ids), n, dim)
+
+
+def gaussian_directions(df: DataFrame, key: str, dim: int, n: int, seed: int = 0) -> DataFrame:
+    """N Gaussian directions (never unit-normalized) per key: (key, direction, values)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 64):
+                ids = pdf[key].to_numpy()[lo:lo + 64]
+                block = direction_block(ids, dim, n, seed).reshape(-1, dim)
+                yield pd.DataFrame({key: np.repeat(ids, n), "direction": np.tile(np.arange(n, dtype="int32"), len(ids)), "values": list(block)})
+
+    return widen(df.select(key)).mapInPandas(run, f"{key} {kind}, direction int, values array<double>")
 
 
 def coupling(df: DataFrame, x: str, y: str) -> DataFrame:

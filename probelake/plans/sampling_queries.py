@@ -234,8 +234,8 @@ def jittered_actions(spark, sf):
 SELECT vec_id, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS sd, count(*) AS n FROM g GROUP BY vec_id""")
 def directions(spark, sf):
     """Moments of 48 Gaussian directions per embedding row."""
-    d = table(spark, sf, "embeddings").select("vec_id", F.flatten(SA.gaussian_directions(32, K.N_DIRECTIONS, 4, "vec_id")).alias("d"))
-    rows = d.select("vec_id", F.explode("d").alias("v")).groupBy("vec_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"),
+    d = SA.gaussian_directions(table(spark, sf, "embeddings"), "vec_id", 32, K.N_DIRECTIONS, 4)
+    rows = d.select("vec_id", F.explode("values").alias("v")).groupBy("vec_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"),
                                                                             F.count("v").alias("n"))
     return rounded(rows, "mean", "sd")
 

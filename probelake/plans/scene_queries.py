@@ -372,7 +372,7 @@ def standardize(spark, sf):
 
 @query("P21_geometry_features", """WITH g AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS x, p_retailprice / 1000 AS y, (p_partkey % 13) / 4.0::DOUBLE AS z FROM part)
 SELECT p_partkey, round(log10(greatest(x, 1e-9)), 6) + 0.0 AS log_x, round(log10(greatest(z, 1e-9)), 6) + 0.0 AS log_z,
-round(greatest(x, y, z) / greatest(least(x, y, z), 1e-9), 3) + 0.0 AS aspect_max, round(log10(greatest(x * y * z, 1e-9)), 6) + 0.0 AS log_hull_volume,
+round(greatest(x, y, z) / greatest(least(x, y, z), 1e-9), 9) + 0.0 AS aspect_max, round(log10(greatest(x * y * z, 1e-9)), 6) + 0.0 AS log_hull_volume,
 round(0.4 * z / greatest(z, 1e-9), 6) + 0.0 AS centroid_height FROM g""")
 def geometry_features(spark, sf):
     g = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_size") / 10.0, F.col("p_retailprice") / 1000, F.col("p_partkey") % 13 / F.lit(4.0)).alias("e"))
@@ -380,7 +380,7 @@ def geometry_features(spark, sf):
     f = TG.geometry_features("e", e[0] * e[1] * e[2], e[0], e[2] * 0.5, e[2] * 0.1)
     rows = g.where(TG.valid_extents("e")).select("p_partkey", *[c.alias(n) for n, c in f.items()])
     out = rounded(rows, "log_x", "log_z", "log_hull_volume", "centroid_height")
-    return rounded(out, "aspect_max", digits=3).select("p_partkey", "log_x", "log_z", "aspect_max", "log_hull_volume", "centroid_height")
+    return rounded(out, "aspect_max", digits=9).select("p_partkey", "log_x", "log_z", "aspect_max", "log_hull_volume", "centroid_height")
 
 
 # ---------------------------------------------------------------- checks, ordering, sets

@@ -105,10 +105,9 @@ s AS (SELECT ({_SCORE.format(r=_R, x=_RENDER_SQL, y=_TARGET_SQL)}) AS b, ({_SCOR
 SELECT target, round(sh, 6) + 0.0 AS shared_coherence, round(i, 6) + 0.0 AS independent_coherence, round(sh - i, 6) + 0.0 AS gap,
   round(a, 6) + 0.0 AS architectural_coherence, round(sh - a, 6) + 0.0 AS learned_coherence, (SELECT count(*) FROM latents) AS n_samples FROM t""")
 def compare(spark, sf):
-    tag = lambda df, t: df.withColumn("target", F.lit(t))
-    shared = tag(_magnitudes(spark, sf), "behavior").unionByName(tag(_magnitudes(spark, sf, f_other), "essence"))
-    indep = tag(_independent(spark, sf), "behavior").unionByName(tag(_independent(spark, sf), "essence"))
-    untrained = tag(_magnitudes(spark, sf, f_other), "behavior").unionByName(tag(_magnitudes(spark, sf, f_other), "essence"))
+    both, other = {"behavior": f_target, "essence": f_other}, {"behavior": f_other, "essence": f_other}
+    shared, untrained = _magnitudes(spark, sf, both), _magnitudes(spark, sf, other)
+    indep = CO.independent_magnitudes(ST.latents(spark, sf), f_render, other, 32, 32, id_col="vec_id", render="x", target="y")
     out = CO.compare(shared, indep, untrained)
     return rounded(out, "shared_coherence", "independent_coherence", "gap", "architectural_coherence", "learned_coherence")
 

@@ -74,6 +74,15 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(None if row is None else row[c]).cast(types[c]).alias(c) for c in one_row.columns])
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer partitions than the cluster has slots.
+
+    For work that is heavy per row on tables that are small in bytes; a large scan is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when a bounded count proves it small, else ``df`` unhinted."""
     fits = df.limit(max_rows + 1).count() <= max_rows
