@@ -117,12 +117,9 @@ def best_oracle(df: DataFrame, x: str, y: str, width: int, quad: bool = True, sp
     rows = None
     df = durable(df.select(id_col, split, x, y))  # read by every regressor several times
     for order, (name, pred) in enumerate(oracle_candidates(df, x, y, width, quad, split, id_col, **options).items()):
-        test = field_errors(pred, y, "prediction", split)
-        on_train = field_errors(pred.where(F.col(split) == "train").withColumn(split, F.explode(F.array(F.lit("train"), F.lit("test")))),
-                                y, "prediction", split)
-        one = test.join(on_train.select("pos", F.col("baseline_mse").alias("tb"), F.col("mse").alias("tm")), "pos").agg(
-            F.avg("baseline_mse").alias("b"), F.avg("mse").alias("m"), F.avg("tb").alias("tb"), F.avg("tm").alias("tm")).select(
-            F.lit(name).alias("regressor"), F.lit(-order).alias("_o"), ratio("b", "m").alias("gain"), ratio("tb", "tm").alias("train_gain"))
+        one = field_errors(pred, y, "prediction", split).agg(
+            F.avg("baseline_mse").alias("b"), F.avg("mse").alias("m"), F.avg("train_baseline_mse").alias("tb"), F.avg("train_mse").alias("tm")
+        ).select(F.lit(name).alias("regressor"), F.lit(-order).alias("_o"), ratio("b", "m").alias("gain"), ratio("tb", "tm").alias("train_gain"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.agg(F.max("gain").alias("gain"), F.max("train_gain").alias("train_gain"),
                     F.max_by("regressor", F.struct("gain", "_o")).alias("regressor"))
@@ -151,7 +148,8 @@ def _cluster_means(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
                 np.add.at(sums, c, part)
                 counts += np.bincount(c, minlength=len(centers))
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"c": used.astype("int32"), "n": counts[used], "s": list(sums[used])})
+        if len(used):
+            yield pd.DataFrame({"c": used.astype("int32"), "n": counts[used], "s": list(sums[used])})
 
     parts = vectors.mapInPandas(partial, "c int, n double, s array<double>")
     cells = parts.select("c", "n", F.posexplode("s").alias("i", "v")).groupBy("c", "i").agg((F.sum("v") / F.sum("n")).alias("m"))

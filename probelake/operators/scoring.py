@@ -55,7 +55,9 @@ def evaluate_split(df: DataFrame, heads: Mapping[str, tuple[str, str]], split: s
 
 
 def field_errors(df: DataFrame, target: str, pred: str, split: str = "split", by: Sequence[str] = ()) -> DataFrame:
-    """Per field: train mean, baseline error (predict the train mean) and prediction error on test, in one pass.
+    """Per field: train mean, baseline error (predict the train mean) and prediction error, in one pass.
+
+    Errors are on test; the ``train_`` pair measures the train rows themselves.
 
     ``mean((y - m)^2) = var(y) + (mean(y) - m)^2`` lets a single grouped aggregate serve both splits.
     """
@@ -63,10 +65,11 @@ def field_errors(df: DataFrame, target: str, pred: str, split: str = "split", by
     rows = df.select(*by, split, F.posexplode(zipped).alias("pos", "v")).select(
         *by, split, "pos", F.col("v")["y"].alias("y"), F.col("v")["p"].alias("p"))
     tr, te = F.col(split) == "train", F.col(split) == "test"
-    y_te, err = F.when(te, F.col("y")), F.when(te, F.col("y") - F.col("p"))
+    y_tr, y_te, err = F.when(tr, F.col("y")), F.when(te, F.col("y")), F.col("y") - F.col("p")
     stats = rows.groupBy(*by, "pos").agg(
-        F.avg(F.when(tr, F.col("y"))).alias("train_mean"), F.avg(y_te).alias("_m"), F.var_pop(y_te).alias("_v"),
-        F.avg(err * err).alias("mse"), F.count(y_te).alias("n_test"))
+        F.avg(y_tr).alias("train_mean"), F.avg(y_te).alias("_m"), F.var_pop(y_te).alias("_v"),
+        F.avg(F.when(te, err * err)).alias("mse"), F.count(y_te).alias("n_test"),
+        F.var_pop(y_tr).alias("train_baseline_mse"), F.avg(F.when(tr, err * err)).alias("train_mse"))
     away = F.col("_m") - F.col("train_mean")
     return stats.withColumn("baseline_mse", F.col("_v") + away * away).drop("_m", "_v")
 
