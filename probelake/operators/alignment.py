@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from probelake import constants as K
+from probelake.functions.arrow import from_matrix, to_matrix
 from probelake.operators.neighbors import knn, neighbor_overlap
 from probelake.session import with_scalars
 
@@ -40,19 +42,26 @@ def cross_products(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame
 
     def partial(batches):
         totals: dict = {}
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for key, part in (pdf.groupby(by, dropna=False) if by else [((), pdf)]):
-                z = np.stack(part[vec].to_numpy()).astype(np.float64)
-                z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-                key = key if isinstance(key, tuple) else (key,)
-                totals[key] = totals.get(key, 0.0) + z.T @ z
+            z = to_matrix(batch.column(vec))
+            z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
+            if by:
+                groups = batch.select(by).to_pandas().groupby(by, dropna=False).indices
+                parts = [(k if isinstance(k, tuple) else (k,), z[rows]) for k, rows in groups.items()]
+            else:
+                parts = [((), z)]
+            for key, part in parts:
+                totals[key] = totals.get(key, 0.0) + part.T @ part
         for key, m in totals.items():
-            out = {b: [v] * len(m) for b, v in zip(by, key)}
-            yield pd.DataFrame({**out, "i": np.arange(len(m), dtype="int32"), "row": list(m), "d": np.int32(len(m) - 1)})
+            cols = {b: pa.array([v] * len(m), schema_of[b]) for b, v in zip(by, key)}
+            cols.update(i=pa.array(np.arange(len(m), dtype=np.int32)), row=from_matrix(m), d=pa.array(np.full(len(m), len(m) - 1, dtype=np.int32)))
+            yield pa.RecordBatch.from_pydict(cols)
 
-    blocks = df.select(*by, vec).mapInPandas(partial, (kinds + ", " if by else "") + "i int, row array<double>, d int")
+    schema_of = {b: to_arrow_type(df.schema[b].dataType) for b in by}
+    vectors = df.select(*by, F.col(vec).cast("array<double>").alias(vec))
+    blocks = vectors.mapInArrow(partial, (kinds + ", " if by else "") + "i int, row array<double>, d int")
     return blocks.select(*by, "i", "d", F.posexplode("row").alias("j", "s")).groupBy(*by, "i", "j", "d").agg(
         F.sum("s").alias("s"))
 

@@ -10,11 +10,13 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probelake import constants as K
+from probelake.functions.arrow import from_matrix, to_matrix
 from probelake.functions.hashing import shuffle_key
 from probelake.functions.scalars import col, sq_dist
 from probelake.operators.alignment import cross_products
@@ -71,12 +73,12 @@ def ridge_predict(df: DataFrame, model: Mapping[str, np.ndarray], x: str, out: s
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def predict(batches):
-        for pdf in batches:
-            if len(pdf):
-                z = (np.stack(pdf[x].to_numpy()).astype(float) - mean) / sd
-                yield pdf.assign(**{out: list(z @ w[:-1] + w[-1])})
+        for batch in batches:
+            if batch.num_rows:
+                z = (to_matrix(batch.column(x)) - mean) / sd
+                yield batch.append_column(out, from_matrix(z @ w[:-1] + w[-1]))
 
-    return df.mapInPandas(predict, schema)
+    return df.mapInArrow(predict, schema)
 
 
 def ridge(df: DataFrame, x: str, y: str, split: str = "split", alpha: float = K.RIDGE_ALPHA, out: str = "prediction") -> DataFrame:
@@ -137,10 +139,10 @@ def _cluster_means(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
     """(c, m): mean vector of every non-empty cluster; each task emits one partial sum per cluster."""
     def partial(batches):
         sums, counts = np.zeros_like(centers), np.zeros(len(centers))
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            v = np.stack(pdf["_v"].to_numpy())
+            v = to_matrix(batch.column("_v"))
             for lo in range(0, len(v), 4096):
                 part = v[lo:lo + 4096]
                 d2 = sum((part[:, None, i] - centers[None, :, i]) ** 2 for i in range(v.shape[1]))
@@ -149,9 +151,9 @@ def _cluster_means(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
                 counts += np.bincount(c, minlength=len(centers))
         used = np.flatnonzero(counts)
         if len(used):
-            yield pd.DataFrame({"c": used.astype("int32"), "n": counts[used], "s": list(sums[used])})
+            yield pa.RecordBatch.from_pydict({"c": pa.array(used.astype(np.int32)), "n": pa.array(counts[used]), "s": from_matrix(sums[used])})
 
-    parts = vectors.mapInPandas(partial, "c int, n double, s array<double>")
+    parts = vectors.mapInArrow(partial, "c int, n double, s array<double>")
     cells = parts.select("c", "n", F.posexplode("s").alias("i", "v")).groupBy("c", "i").agg((F.sum("v") / F.sum("n")).alias("m"))
     return cells.groupBy("c").agg(  # one entry per dimension
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("m"))

@@ -30,35 +30,35 @@ def physics_map(factors: Mapping[str, Column]) -> dict[str, Column]:
     }
 
 
-def appearance_map(factors: Mapping[str, Column], draws: Mapping[str, Column], gain: float = 1.0) -> dict[str, Column]:
-    """Appearance of the factors, given the noise draws.
+def add_appearance(df: DataFrame, factors: Mapping[str, Column], draws: Mapping[str, Column], gain: float = 1.0) -> DataFrame:
+    """Add base_color, roughness, metallic, transmission and ior of the factors, given the noise draws.
 
     ``draws`` holds n_metallic, n_roughness, n_transmission, n_value (already scaled noise) and u_hue,
     u_saturation. ``gain`` above 1 blends metallic, roughness and brightness toward one factor each with
-    weight 1 - 1/gain.
+    weight 1 - 1/gain. Draws and channels that are used more than once get a projection of their own, so
+    that no hash is computed twice.
     """
     if gain < 1.0:
         raise ValueError(f"coupling gain must be >= 1, got {gain}")
-    heavy, grip, hard, clear = (factors[f] for f in K.FACTOR_FIELDS)
-    transmission = C.clip01(clear + draws["n_transmission"] * 0.5)
+    staged = df.select("*", *[factors[f].alias(f"_f_{f}") for f in K.FACTOR_FIELDS], *[c.alias(f"_d_{n}") for n, c in draws.items()])
+    heavy, grip, hard, clear = (F.col(f"_f_{f}") for f in K.FACTOR_FIELDS)
+    d = {n: F.col(f"_d_{n}") for n in draws}
     looks = {
-        "metallic": C.clip01((heavy * 1.2 - 0.2) * (F.lit(1.0) - clear) + draws["n_metallic"]),
-        "roughness": C.clip01(F.lit(0.90) - hard * 0.55 - clear * 0.70 + grip * 0.25 + draws["n_roughness"]),
-        "value": C.clip01(F.lit(0.85) - heavy * 0.35 + draws["n_value"]),
+        "metallic": C.clip01((heavy * 1.2 - 0.2) * (F.lit(1.0) - clear) + d["n_metallic"]),
+        "roughness": C.clip01(F.lit(0.90) - hard * 0.55 - clear * 0.70 + grip * 0.25 + d["n_roughness"]),
+        "_value": C.clip01(F.lit(0.85) - heavy * 0.35 + d["n_value"]),
     }
     w = 1.0 - 1.0 / gain
     if w > 0.0:
-        legible = {"metallic": heavy, "roughness": grip, "value": F.lit(1.0) - hard}
+        legible = {"metallic": heavy, "roughness": grip, "_value": F.lit(1.0) - hard}
         looks = {k: C.clip01(v * (1.0 - w) + legible[k] * w) for k, v in looks.items()}
-    saturation = C.clip01(F.lit(0.15) + draws["u_saturation"] * 0.45 - transmission * 0.3)
-    rgb = C.hsv_to_rgb(draws["u_hue"], saturation, looks["value"])
-    return {
-        "base_color": F.array(rgb["r"], rgb["g"], rgb["b"], F.lit(1.0)),
-        "roughness": F.greatest(F.lit(0.02), looks["roughness"]),
-        "metallic": looks["metallic"],
-        "transmission": transmission,
-        "ior": C.lerp(1.30, 1.50, clear),
-    }
+    looks["roughness"] = F.greatest(F.lit(0.02), looks["roughness"])
+    staged = staged.select("*", *[c.alias(n) for n, c in looks.items()], C.clip01(clear + d["n_transmission"] * 0.5).alias("transmission"),
+                           C.lerp(1.30, 1.50, clear).alias("ior"))
+    staged = staged.withColumn("_saturation", C.clip01(F.lit(0.15) + d["u_saturation"] * 0.45 - F.col("transmission") * 0.3))
+    staged = staged.withColumn("_rgb", C.hsv_to_rgb(d["u_hue"], F.col("_saturation"), F.col("_value")))
+    color = F.array(F.col("_rgb.r"), F.col("_rgb.g"), F.col("_rgb.b"), F.lit(1.0)).alias("base_color")
+    return staged.select(*df.columns, color, "roughness", "metallic", "transmission", "ior")
 
 
 def _draws(seed: int, keys, noise: float) -> dict[str, Column]:
@@ -87,9 +87,8 @@ def _finish(df: DataFrame, seed: int, keys, noise: float, alpha: float, gain: fl
     """Physics, appearance and anchor columns from factor columns; every step is a projection."""
     factors = {f: F.col(f) for f in K.FACTOR_FIELDS}
     out = df.select("*", *[c.alias(n) for n, c in physics_map(factors).items()])
-    looks = appearance_map(decoupled(factors, alpha, seed, keys), _draws(seed, keys, noise), gain)
-    return out.select("*", *[c.alias(n) for n, c in looks.items()]).withColumn(
-        "nearest_anchor", nearest_anchor("density", "friction", "restitution"))
+    out = add_appearance(out, decoupled(factors, alpha, seed, keys), _draws(seed, keys, noise), gain)
+    return out.withColumn("nearest_anchor", nearest_anchor("density", "friction", "restitution"))
 
 
 def sample_material(df: DataFrame, *keys: str, seed: int = 0, noise: float = APPEARANCE_NOISE, alpha: float = 1.0,

@@ -106,9 +106,8 @@ SELECT l_orderkey, l_linenumber, round(m, 12) + 0.0 AS metallic, round(greatest(
 
 def _appearance(spark, sf, gain):
     li, factors, draws = _given(spark, sf)
-    looks = SA.appearance_map(factors, draws, gain)
-    rows = li.select("l_orderkey", "l_linenumber", *[looks[c].alias(c) for c in ("metallic", "roughness", "transmission", "ior")],
-                     looks["base_color"][0].alias("red"))
+    looks = SA.add_appearance(li, factors, draws, gain)
+    rows = looks.select("l_orderkey", "l_linenumber", "metallic", "roughness", "transmission", "ior", F.col("base_color")[0].alias("red"))
     return rounded(rows, "metallic", "roughness", "transmission", "ior", "red", digits=12)
 
 
