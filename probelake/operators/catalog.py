@@ -61,8 +61,9 @@ def round_robin_select(df: DataFrame, target: int, cap: int, key: str = "model_i
 
     Only ranks up to ``cap`` matter, which Spark turns into a map-side group limit before the shuffle.
     """
-    rank = F.row_number().over(Window.partitionBy(category).orderBy(key)) - 1
-    return df.withColumn("rank", rank).where(F.col("rank") < cap).orderBy("rank", category).limit(target)
+    place = F.row_number().over(Window.partitionBy(category).orderBy(key))
+    kept = df.withColumn("_place", place).where(F.col("_place") <= min(cap, target))
+    return kept.withColumn("rank", F.col("_place") - 1).drop("_place").orderBy("rank", category).limit(target)
 
 
 def rejection_tally(df: DataFrame, reason: str = "reason", ok_label: str = "prepared") -> DataFrame:

@@ -210,6 +210,7 @@ def oracle_report(df: DataFrame, arms: Mapping[str, tuple[str, int]], y: str, sp
                   **options) -> DataFrame:
     """M3: best gain on test and train per feature set, and its gain beyond the shape-only set."""
     rows = None
+    df = durable(df)  # every feature set starts from these rows
     for name, (x, width) in arms.items():
         one = best_oracle(df, x, y, width, split=split, id_col=id_col, **options).withColumn("arm", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)

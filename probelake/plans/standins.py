@@ -14,7 +14,9 @@ PROBE_OF_EVENT = {"click": "drop", "view": "tilt", "purchase": "push"}
 
 def hours(ts: str):
     """Hours since the epoch, independent of the session time zone."""
-    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} AS timestamp_ntz))")
+    n = f"cast({ts} AS timestamp_ntz)"
+    micros = F.expr(f"unix_date(cast({n} AS date)) * 86400000000L + hour({n}) * 3600000000L + minute({n}) * 60000000L "
+                    f"+ cast(extract(SECOND FROM {n}) * 1000000 AS bigint)")
     return micros / F.lit(3.6e9)
 
 
