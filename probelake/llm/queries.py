@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from probelake.llm import exact_dedup, pieces, quality, sharding, wordpiece
-from probelake.llm.sql import SQL  # noqa: F401
+from probelake.llm import exact_dedup, mixing, pieces, quality, sharding, wordpiece
+from probelake.llm.sql import SQL, mix_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,6 +23,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+# Production parameters of the mix: whole weights by node name, share of the corpus, epochs a leaf may be read.
+DOMAINS = ("web", "reference", "forum")  # by the number in a source's name
+WEIGHTS = {"domain": {"web": 5, "reference": 3, "forum": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 2, "src1": 4}}
+SHARE_PERCENT, MAX_EPOCHS, SEED = 60, 2, 7
+
+
+def domain_of(source: Column) -> Column:
+    number = F.pmod(F.regexp_extract(source, "[0-9]+", 0).try_cast("int"), F.lit(len(DOMAINS)))
+    return F.get(F.array(*map(F.lit, DOMAINS)), number)
+
+
+def word_count(text: Column) -> Column:
+    return F.size(quality.words(F.coalesce(text, F.lit(""))))
+
+
+@numbered
+def op2_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), domain_of(F.col("source")), word_count(F.col("text")), SHARE_PERCENT, WEIGHTS, MAX_EPOCHS, SEED)
+
+
 @numbered
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
@@ -47,3 +68,6 @@ def op9_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @numbered
 def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(documents(spark, sf_dir))
+
+
+SQL["op2_hierarchical_budget"] = mix_sql(WEIGHTS, DOMAINS, SHARE_PERCENT, MAX_EPOCHS, SEED)

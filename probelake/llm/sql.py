@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from probelake.llm import mixing as M
 from probelake.llm import quality as Q
 
 SQL: dict[str, str] = {}
@@ -48,3 +49,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_lines, n_lines_removed, chars_removed
 FROM out
 """
+
+
+def poured(level: str, parents: list[str], weights: dict[str, int], before: str) -> str:
+    """CTEs that share the budgets of table ``before`` among the nodes of a level, into ``share_<level>``."""
+    path = ", ".join([*parents, level])
+    part = f"PARTITION BY {', '.join(parents) or '0'}"
+    weight = f"(CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END)::HUGEINT"
+    order = f"ORDER BY capacity::DOUBLE / weight::DOUBLE, {level}"
+    return f"""
+node_{level} AS (SELECT {path}, capacity, {weight} AS weight, budget FROM
+  (SELECT {path}, sum(tokens * {{epochs}})::HUGEINT AS capacity FROM leaf GROUP BY ALL) {'JOIN ' + before + f' USING ({", ".join(parents)})' if parents else 'CROSS JOIN ' + before}),
+run_{level} AS (SELECT *, coalesce(sum(capacity) OVER ({part} {order} ROWS UNBOUNDED PRECEDING), 0)::HUGEINT - capacity AS below,
+  (sum(weight) OVER ({part}) - sum(weight) OVER ({part} {order} ROWS UNBOUNDED PRECEDING) + weight)::HUGEINT AS rest FROM node_{level}),
+full_{level} AS (SELECT *, capacity * rest <= (budget - below) * weight AS filled FROM run_{level}),
+open_{level} AS (SELECT *, budget - coalesce(sum(capacity) FILTER (filled) OVER ({part}), 0)::HUGEINT AS remain,
+  (sum(weight) FILTER (NOT filled) OVER ({part}))::HUGEINT AS open FROM full_{level}),
+part_{level} AS (SELECT *, CASE WHEN filled THEN capacity ELSE remain * weight // open END AS part,
+  sum((NOT filled)::INT) OVER ({part} ORDER BY {level}) AS turn FROM open_{level}),
+share_{level} AS (SELECT {path}, part + (CASE WHEN NOT filled AND
+    turn <= remain - coalesce(sum(part) FILTER (NOT filled) OVER ({part}), 0) THEN 1 ELSE 0 END) AS budget FROM part_{level})"""
+
+
+def mix_sql(weights: dict[str, dict[str, int]], domains: tuple[str, ...], percent: int, epochs: int, seed: int) -> str:
+    names = "[" + ", ".join(f"'{d}'" for d in domains) + "]"
+    levels = poured("domain", [], weights["domain"], "root") + "," + poured("lang", ["domain"], weights["lang"], "share_domain") + "," + \
+        poured("source", ["domain", "lang"], weights["source"], "share_lang")
+    return f"""
+WITH keyed AS (SELECT doc_id, coalesce({names}[TRY_CAST(regexp_extract(source, '[0-9]+') AS INT) % {len(domains)} + 1], '{M.NONE}') AS domain,
+    coalesce(lang, '{M.NONE}') AS lang, coalesce(source, '{M.NONE}') AS source,
+    len(list_filter(string_split_regex(coalesce(text, ''), '{Q.SPACE}+'), lambda x: x <> '')) AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens FROM keyed GROUP BY ALL),
+root AS (SELECT least(sum(tokens) * {percent} // 100, sum(tokens) * {epochs})::HUGEINT AS budget FROM leaf),
+{levels.replace('{epochs}', str(epochs))},
+cut AS (SELECT domain, lang, source, tokens AS leaf_tokens, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs
+  FROM leaf JOIN share_source USING (domain, lang, source)),
+placed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY o, doc_id, tokens ROWS UNBOUNDED PRECEDING) - tokens AS start,
+    budget - epochs * leaf_tokens AS rest
+  FROM (SELECT *, md5('{seed}:' || epochs || ':' || doc_id) AS o FROM keyed JOIN cut USING (domain, lang, source)))
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, leaf_tokens::BIGINT AS leaf_tokens, budget::BIGINT AS leaf_budget,
+  (epochs + (start < rest)::INT)::BIGINT AS copies,
+  (epochs * tokens + greatest(0, least(tokens, rest - start)))::BIGINT AS tokens_used
+FROM placed
+"""
