@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelake.llm import exact_dedup, mixing, pieces, quality, sharding, tokenbin, wordpiece
+from probelake.llm import exact_dedup, langid, mixing, pieces, quality, sharding, tokenbin, wordpiece
 from probelake.llm.sql import SQL, mix_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir), 24).drop("first_id")
 
 
+@numbered
+def op5_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @numbered
 def op6_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
