@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelake.llm import exact_dedup, langid, mixing, pieces, quality, sharding, tokenbin, wordpiece
+from probelake.llm import exact_dedup, langid, minhash, mixing, pieces, quality, sharding, tokenbin, wordpiece
 from probelake.llm.sql import SQL, mix_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@numbered
+def op1_b_bit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(documents(spark, sf_dir))
+
+
 # Production parameters of the mix: whole weights by node name, share of the corpus, epochs a leaf may be read.
 DOMAINS = ("web", "reference", "forum")  # by the number in a source's name
 WEIGHTS = {"domain": {"web": 5, "reference": 3, "forum": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 2, "src1": 4}}
