@@ -141,3 +141,19 @@ def mix(docs: DataFrame, domain: Column, tokens: Column, share_percent: int, wei
     keyed = spark.read.parquet(path)
     total = keyed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     return choose(keyed, int(total) * share_percent // 100, weights, max_epochs, seed)
+
+
+def take(docs: DataFrame, domain: Column, tokens: Column, share_percent: int, weights: Mapping[str, Mapping[str, int]],
+         max_epochs: int = 1, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` that the mix reads, once for every epoch that reads them, with all their columns."""
+    chosen = mix(docs, domain, tokens, share_percent, weights, max_epochs, seed).where("copies > 0")
+    # rows that share a doc_id are told apart by their leaf and tokens
+    keys = chosen.groupBy("doc_id", *LEVELS, "tokens").agg(F.max("copies").alias("_copies")) \
+        .select(F.col("doc_id").alias("_d"), *[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("tokens").alias("_tokens"), "_copies")
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+    same = (docs["doc_id"].eqNullSafe(F.col("_d")) & (name(domain) == F.col("_domain")) & (name(docs["lang"]) == F.col("_lang"))
+            & (name(docs["source"]) == F.col("_source")) & (F.greatest(F.coalesce(tokens.cast("bigint"), F.lit(0)), F.lit(0)) == F.col("_tokens")))
+    rows = docs.join(keys, same)
+    if max_epochs > 1:
+        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy")
+    return rows.select(*[docs[c] for c in docs.columns])

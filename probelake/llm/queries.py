@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelake.llm import exact_dedup, langid, minhash, mixing, pieces, quality, sharding, tokenbin, wordpiece
+from probelake.llm import exact_dedup, langid, minhash, mixing, pieces, quality, sharding, suffix, tokenbin, wordpiece
 from probelake.llm.sql import SQL, mix_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op6_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+@numbered
+def op7_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 @numbered
 def op8_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), ["n_tokens", "ids_sha256", "decoded_sha256"])
