@@ -86,6 +86,5 @@ def mark_copies(docs: DataFrame, id_bits: int = 64) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     stays = mark_copies(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = keyed["doc_id"].eqNullSafe(stays["doc_id"]) & (keyed["_sha"] == stays["_sha"])
-    return keyed.join(stays, same, "left_semi").drop("_sha")
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]) & (digest == stays["_sha"]), "left_semi")

@@ -151,9 +151,8 @@ def take(docs: DataFrame, domain: Column, tokens: Column, share_percent: int, we
     keys = chosen.groupBy("doc_id", *LEVELS, "tokens").agg(F.max("copies").alias("_copies")) \
         .select(F.col("doc_id").alias("_d"), *[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("tokens").alias("_tokens"), "_copies")
     name = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    same = (docs["doc_id"].eqNullSafe(F.col("_d")) & (name(domain) == F.col("_domain")) & (name(docs["lang"]) == F.col("_lang"))
-            & (name(docs["source"]) == F.col("_source")) & (F.greatest(F.coalesce(tokens.cast("bigint"), F.lit(0)), F.lit(0)) == F.col("_tokens")))
+    same = (docs["doc_id"].eqNullSafe(keys["_d"]) & (name(domain) == keys["_domain"]) & (name(docs["lang"]) == keys["_lang"])
+            & (name(docs["source"]) == keys["_source"]) & (F.greatest(F.coalesce(tokens.cast("bigint"), F.lit(0)), F.lit(0)) == keys["_tokens"]))
     rows = docs.join(keys, same)
-    if max_epochs > 1:
-        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy")
-    return rows.select(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    return rows.select(row, F.explode(F.sequence(F.lit(1), keys["_copies"].cast("int"))).alias("_copy")).select("_row.*")
