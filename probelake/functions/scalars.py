@@ -115,9 +115,9 @@ def weight_to_kg(entries) -> Column:
             entry["value"])
         factor = reduce(lambda acc, kv: acc.when(unit == kv[0], F.lit(kv[1])), K.WEIGHT_TO_KG.items(),
                         F.when(F.lit(False), F.lit(0.0)))
-        return value.try_cast("double") * factor
+        return number_or_null(value.cast("string")) * factor
 
-    return F.get(F.filter(F.transform(col(entries), kilograms), lambda kg: kg > 0), F.lit(0))
+    return F.get(F.filter(F.transform(col(entries), kilograms), lambda kg: (kg > 0) & ~F.isnan(kg)), F.lit(0))
 
 
 def half_height(extent_z, scale) -> Column:
@@ -136,18 +136,23 @@ def mass_from_density(density, volume, watertight) -> Column:
     return F.when(col(watertight), col(density) * col(volume))
 
 
+def stripped(text) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
+
+
 _NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"
 
 
 def number_or_null(text) -> Column:
     """A decimal, exponent, inf or nan literal as a double; anything else is null."""
-    t = F.trim(col(text))
+    t = stripped(text)
     return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
 
 def coerce_outcome(field: str, text, is_boolean=None) -> Column:
     """A reply value as a number; ``toppled`` also understands yes/no words, real booleans are 1/0."""
-    word = F.lower(F.trim(col(text)))
+    word = F.lower(stripped(text))
     number = number_or_null(text)
     if field == "toppled":
         return F.when(word.isin("true", "yes"), 1.0).when(word.isin("false", "no"), 0.0).otherwise(number)

@@ -31,8 +31,19 @@ def participation_ratio(df: DataFrame, vec: str, by: Sequence[str] = (), epsilon
         F.max("n").alias("n"))
 
 
-def cross_products(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sums of products (by, i, j, s) plus (by, i, -1, sum) of an array column.
+def column_means(df: DataFrame, vec: str) -> np.ndarray:
+    """Mean of every entry of an array column over all rows (one small pass; ``d`` numbers)."""
+    cells = df.select(F.posexplode(F.col(vec).cast("array<double>")).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).toPandas()
+    out = np.zeros(int(cells["i"].max()) + 1 if len(cells) else 0)
+    out[cells["i"]] = cells["m"].fillna(0.0)
+    return out
+
+
+def cross_products(df: DataFrame, vec: str, by: Sequence[str] = (), shift: np.ndarray | None = None) -> DataFrame:
+    """Sums of products (by, i, j, s) plus (by, i, d, sum) of an array column, less ``shift`` in every row.
+
+    Callers that subtract products of means afterwards shift by the column means first: without it a large offset
+    eats all digits.
 
     Every task multiplies its batches with BLAS and emits one d x d block per group; the blocks are
     summed by key. Nothing grows with the number of rows but the scan.
@@ -46,6 +57,7 @@ def cross_products(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame
             if not batch.num_rows:
                 continue
             z = to_matrix(batch.column(vec))
+            z = z if shift is None else z - shift
             z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
             if by:
                 groups = batch.select(by).to_pandas().groupby(by, dropna=False).indices
@@ -69,7 +81,7 @@ def cross_products(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame
 def covariances(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
     """Centered sums of products (by, i, j, c, n) of an array column."""
     by = list(by)
-    s = cross_products(df, vec, by)
+    s = cross_products(df, vec, by, column_means(df, vec))
     sums = s.where("j = d and i < d").select(*by, F.col("i"), F.col("s").alias("si"))
     n = s.where("i = d and j = d").select(*by, F.col("s").alias("n"))
     body = s.where("i < d and j < d")

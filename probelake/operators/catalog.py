@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelake import constants as K
-from probelake.functions.scalars import col, weight_to_kg
+from probelake.functions.scalars import col, number_or_null, stripped, weight_to_kg
 
 
 def parse_listings(listings: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Listings with a model id and a usable weight; category upper-cased, UNKNOWN when absent."""
     label = F.get(F.col("product_type"), F.lit(0))["value"]
-    category = F.upper(F.trim(F.when(label.isNull() | (label == ""), "UNKNOWN").otherwise(label)))
+    category = F.upper(stripped(F.when(label.isNull() | (label == ""), "UNKNOWN").otherwise(label)))
     parsed = listings.select(
         F.col("3dmodel_id").alias("model_id"), weight_to_kg("item_weight").alias("kg"), category.alias("category"), *keep)
     return parsed.where((F.col("model_id") != "") & F.col("kg").isNotNull())
@@ -109,7 +109,7 @@ def _json_mass(content: Column) -> Column:
     out = None
     for key, scale in (("mass_kg", 1.0), ("mass", 1.0), ("mass_grams", 1e-3)):
         text = F.get_json_object(content, f"$.{key}")
-        value = text.try_cast("double") * scale
+        value = number_or_null(text) * scale
         out = F.when(text.isNotNull(), value) if out is None else out.when(text.isNotNull(), value)
     return out
 

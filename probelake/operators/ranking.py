@@ -127,21 +127,13 @@ def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], by:
     )
 
 
-def row_bands(df: DataFrame, order, rows_per_band: int = 4_000_000) -> tuple[DataFrame, str | None]:
-    """Split a numeric order column into bands of about ``rows_per_band`` rows.
+def value_bands(df: DataFrame, order, width: float, out: str = "_band") -> DataFrame:
+    """``df`` plus a band number that rises with a numeric order column: one band per ``width`` of its values.
 
-    Returns ``(df, None)`` when everything fits one band. Band edges come from approximate quantiles of
-    the whole table, so the rows of one key inside one band are bounded however skewed the keys are.
+    The same rule at every size: choose ``width`` so that the rows of one key inside one band fit a task. Nulls
+    (first in the order) and NaN (last) have bands of their own, so a band is never null.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    n = df.count()
-    n_bands = min(-(-n // rows_per_band), 4096)
-    if n_bands <= 1:
-        return df, None
-    valued = df.withColumn("_order", col(order).cast("double"))
-    probs = [i / n_bands for i in range(1, n_bands)]
-    edges = sorted(set(valued.approxQuantile("_order", probs, 1.0 / (4 * n_bands))))
-    splits = [float("-inf"), *edges, float("inf")]
-    banded = Bucketizer(splits=splits, inputCol="_order", outputCol="_band").transform(valued)
-    return banded.drop("_order"), "_band"
+    v = col(order).cast("double")
+    first, last = -(1 << 62), 1 << 62
+    number = F.greatest(F.lit(float(first + 1)), F.least(F.lit(float(last - 1)), F.floor(v / F.lit(float(width))).cast("double"))).cast("bigint")
+    return df.withColumn(out, F.when(v.isNull(), F.lit(first)).when(F.isnan(v), F.lit(last)).otherwise(number))

@@ -19,7 +19,7 @@ from probelake import constants as K
 from probelake.functions.arrow import from_matrix, to_matrix
 from probelake.functions.hashing import shuffle_key
 from probelake.functions.scalars import col, sq_dist
-from probelake.operators.alignment import cross_products
+from probelake.operators.alignment import column_means, cross_products
 from probelake.operators.neighbors import knn_join
 from probelake.operators.ranking import seeded_cuts
 from probelake.operators.scoring import field_errors, ratio
@@ -102,9 +102,12 @@ def knn_regress(df: DataFrame, x: str, y: str, split: str = "split", k: int = K.
 
 def oracle_candidates(df: DataFrame, x: str, y: str, width: int, quad: bool = True, split: str = "split", id_col: str = "id",
                       **options) -> dict[str, DataFrame]:
-    """The predictions of every regressor of the family (quadratic ridge only when it stays under 2000 columns)."""
+    """The predictions of every regressor of the family; ``quad=False`` leaves out the quadratic ridge, which else
+    must stay under 2000 columns."""
     out = {"ridge-linear": ridge(df, x, y, split), "knn-5": knn_regress(df, x, y, split, id_col=id_col, **options)}
-    if quad and quadratic_width(width) <= K.MAX_QUADRATIC_FEATURES:
+    if quad:
+        if quadratic_width(width) > K.MAX_QUADRATIC_FEATURES:
+            raise ValueError(f"a quadratic ridge of {width} features exceeds {K.MAX_QUADRATIC_FEATURES} columns; pass quad=False")
         q = df.withColumn("_q", quadratic(F.col(x).cast("array<double>"), width))
         out["ridge-quad"] = ridge(q, "_q", y, split)
     return out
@@ -227,7 +230,10 @@ def kfold_r2(df: DataFrame, x: str, y: str, k: int = 5, fold: str = "fold", alph
     """
     keys = df.select(F.col(fold), F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>")).alias("_xy"))
     d = len(df.select(x).first()[0])
-    cells = cross_products(keys, "_xy", [fold]).select(fold, "i", "j", "s").toPandas()
+    shift = column_means(keys, "_xy")
+    if len(shift) > K.MAX_QUADRATIC_FEATURES:
+        raise ValueError(f"{len(shift)} columns exceed {K.MAX_QUADRATIC_FEATURES}")
+    cells = cross_products(keys, "_xy", [fold], shift).select(fold, "i", "j", "s").toPandas()
     m = int(cells["i"].max()) + 1
     grams = {}
     for f, part in cells.groupby(fold):
@@ -259,7 +265,7 @@ def kfold_r2(df: DataFrame, x: str, y: str, k: int = 5, fold: str = "fold", alph
         xs, ts, out = np.stack(v.to_numpy()), np.stack(t.to_numpy()), [None] * len(v)
         for one, idx in f.groupby(f.to_numpy()).indices.items():
             mean, sd, w = weights[int(one)]
-            r = ts[idx] - (((xs[idx] - mean) / sd) @ w[:-1] + w[-1])
+            r = (ts[idx] - shift[d:]) - (((xs[idx] - shift[:d] - mean) / sd) @ w[:-1] + w[-1])
             for place, row in zip(idx, r):
                 out[place] = row
         return pd.Series(out)

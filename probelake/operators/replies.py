@@ -137,7 +137,9 @@ def candidate_jsons(text) -> Column:
 def extract_prediction(text) -> Column:
     """The last candidate that parses to an object with at least one usable outcome field, else null.
 
-    A candidate is parsed as the single element of an array, so trailing text makes it invalid.
+    A candidate is parsed as the single element of an array, so trailing text makes it invalid. The bare words NaN
+    and Infinity are numbers; of a repeated key the last value counts (``spark.sql.variant.allowDuplicateKeys``, set
+    by ``build_session`` and ``parse_replies``).
     """
     def values(v):
         get = lambda f, kind: F.try_variant_get(v, f"$[0].{f}", kind)
@@ -150,7 +152,9 @@ def extract_prediction(text) -> Column:
         return F.struct(*[F.when(r["single"], coerce_outcome(f, r[f], r[f + "_is_bool"])).alias(f) for f in K.OUTCOME_FIELDS])
 
     # one transform per stage, so that every candidate is parsed once and every field read once
-    variants = F.transform(F.reverse(candidate_jsons(text)), lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))))
+    inside = lambda c: F.concat(F.lit("["), c, F.lit("]"))
+    words = lambda c: F.regexp_replace(c, r"(?<=[:,\[\s])(-?(?:NaN|Infinity))(?=\s*[,}\]])", '"$1"')
+    variants = F.transform(F.reverse(candidate_jsons(text)), lambda c: F.coalesce(F.try_parse_json(inside(c)), F.try_parse_json(inside(words(c)))))
     parsed = F.transform(F.transform(variants, values), fields)
     usable = F.filter(parsed, lambda p: F.coalesce(*[p[f] for f in K.OUTCOME_FIELDS]).isNotNull())
     return F.get(usable, F.lit(0))
@@ -158,6 +162,7 @@ def extract_prediction(text) -> Column:
 
 def parse_replies(replies: DataFrame, text: str = "text") -> DataFrame:
     """C17-C18 over a replies table: adds ``prediction``."""
+    replies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return replies.withColumn("prediction", extract_prediction(text))
 
 

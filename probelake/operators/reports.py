@@ -26,7 +26,8 @@ def shuffle_gate(neighbors: DataFrame, run_id: int, k: int, seed: int = K.NULL_S
     follower = ids.select(F.col("id").alias("other"), (F.col("place") % n + 1).alias("place"))
     moved = own.join(ids.join(follower, "place").select("id", "other"), "id").select("other", "neighbor")
     hits = moved.join(own.withColumnRenamed("id", "other"), ["other", "neighbor"]).agg(F.count(F.lit(1)).alias("h"))
-    return hits.select(F.lit(1.0).alias("self_overlap"), (F.col("h") / (n * k)).alias("shuffle"), F.lit(k / max(n - 1, 1)).alias("chance"))
+    again = own.join(own.dropDuplicates(), ["id", "neighbor"]).count()
+    return hits.select((F.lit(again) / (n * k)).alias("self_overlap"), (F.col("h") / (n * k)).alias("shuffle"), F.lit(k / max(n - 1, 1)).alias("chance"))
 
 
 def alignment_report(neighbors: DataFrame, registry: DataFrame, k: int, seed: int = K.NULL_SEED) -> DataFrame:

@@ -23,9 +23,8 @@ def behavior_field_names(sep: str = ".") -> list[str]:
     return [f"{p}{sep}{f}" for p in K.PROBE_ORDER for f in K.OUTCOME_FIELDS]
 
 
-def behavior_vector(outcomes: DataFrame, keys: Sequence[str], probe: str = "probe", normalize: bool = True,
-                    order: str | None = None) -> DataFrame:
-    """One row per scene with 21 columns ``probe_field``; missing probes are zeros, the last duplicate wins.
+def behavior_vector(outcomes: DataFrame, keys: Sequence[str], order: str, probe: str = "probe", normalize: bool = True) -> DataFrame:
+    """One row per scene with 21 columns ``probe_field``; missing probes are zeros, the last duplicate under ``order`` wins.
 
     A conditional aggregate: partial sums leave the map side already folded to one row per scene.
     """
@@ -34,7 +33,7 @@ def behavior_vector(outcomes: DataFrame, keys: Sequence[str], probe: str = "prob
         for f in K.OUTCOME_FIELDS:
             hit = F.col(probe) == p
             scale = K.OUTCOME_NORMALIZERS[f] if normalize else 1.0
-            value = F.max_by(f, F.when(hit, F.col(order))) if order else F.max(F.when(hit, F.col(f)))
+            value = F.max_by(f, F.when(hit, F.col(order)))
             aggs.append((F.coalesce(value.cast("double"), F.lit(0.0)) / scale).alias(f"{p}_{f}"))
     return outcomes.groupBy(*keys).agg(*aggs)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelake.operators.ranking import row_bands
+from probelake.operators.ranking import value_bands
 from probelake.operators.trajectories import enough_frames, summarize
 from probelake.plans.registry import table
 
@@ -67,10 +67,16 @@ probes AS (
 """
 
 
+BAND, BAND_HOURS = "_band", 48.0  # a task holds two days of one trajectory at most
+
+
+def banded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value_bands(frames(spark, sf_dir), "t", BAND_HOURS, BAND)
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 on the stand-in trajectories; those with one frame are set aside by F12."""
-    banded, band = row_bands(frames(spark, sf_dir), "t")
-    flagged = enough_frames(summarize(banded, KEYS, ORDER, band), on_short="flag")
+    flagged = enough_frames(summarize(banded_frames(spark, sf_dir), KEYS, ORDER, BAND), on_short="flag")
     return flagged.where(~F.col("too_short")).drop("too_short")
 
 

@@ -268,7 +268,7 @@ shuf AS (SELECT count(*) AS h FROM nn a JOIN pl x ON x.vec_id = a.id JOIN n ON t
 
 
 @query("M13_alignment_report", f"""WITH {_REPORT_SQL} SELECT arm, round(t, 6) + 0.0 AS trained, round(u, 6) + 0.0 AS untrained, round(t - u, 6) + 0.0 AS learned,
-1.0::DOUBLE AS self_overlap, round(h / (n * 5.0::DOUBLE), 6) + 0.0 AS shuffle, round(5.0::DOUBLE / (n - 1), 6) + 0.0 AS chance FROM rep, shuf, n""")
+round((SELECT count(*) FROM nn a JOIN nn b USING (run_id, id, neighbor) WHERE a.run_id = 0) / (n * 5.0::DOUBLE), 6) + 0.0 AS self_overlap, round(h / (n * 5.0::DOUBLE), 6) + 0.0 AS shuffle, round(5.0::DOUBLE / (n - 1), 6) + 0.0 AS chance FROM rep, shuf, n""")
 def alignment_report(spark, sf):
     """Pair alignment per arm, learned alignment and the shuffle gate, over eight slice runs."""
     tables = None

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from probelake import constants as K
 from probelake.functions.scalars import angle_from_up, dist
 from probelake.operators import trajectories as TR
-from probelake.operators.ranking import row_bands
 from probelake.operators.targets import behavior_vector, outcome_vector
 from probelake.plans import standins as ST
 from probelake.plans.registry import query, r6, rounded, table
@@ -25,8 +24,7 @@ def traj_summary(spark, sf):
 SELECT user_id, event_type, event_id, round(step, 6) + 0.0 AS step, round(speed, 4) + 0.0 AS speed,
        round(vz, 4) + 0.0 AS vz FROM bounced""")
 def frame_deltas(spark, sf):
-    banded, band = row_bands(ST.frames(spark, sf), "t")
-    d = TR.frame_deltas(banded, ST.KEYS, ST.ORDER, band)
+    d = TR.frame_deltas(ST.banded_frames(spark, sf), ST.KEYS, ST.ORDER, ST.BAND)
     return d.select("user_id", "event_type", "event_id", r6("step").alias("step"), r6("speed", 4).alias("speed"),
                     r6("vz", 4).alias("vz"))
 
@@ -34,8 +32,7 @@ def frame_deltas(spark, sf):
 @query("W2_bounces", f"""WITH {ST.FRAMES_SQL}
 SELECT user_id, event_type, event_id, bounce FROM bounced WHERE bounce""")
 def bounces(spark, sf):
-    banded, band = row_bands(ST.frames(spark, sf), "t")
-    return TR.frame_deltas(banded, ST.KEYS, ST.ORDER, band).where("bounce").select(
+    return TR.frame_deltas(ST.banded_frames(spark, sf), ST.KEYS, ST.ORDER, ST.BAND).where("bounce").select(
         "user_id", "event_type", "event_id", "bounce")
 
 
@@ -46,7 +43,7 @@ _P21 = ", ".join(
 
 @query("P15_behavior_vector", f"WITH {ST.FRAMES_SQL} SELECT user_id, {_P21} FROM probes GROUP BY user_id")
 def behavior(spark, sf):
-    wide = behavior_vector(ST.probe_outcomes(spark, sf), ["user_id"])
+    wide = behavior_vector(ST.probe_outcomes(spark, sf), ["user_id"], order="event_type")
     return rounded(wide, *[c for c in wide.columns if c != "user_id"])
 
 

@@ -24,6 +24,7 @@ def build_session(app: str = "probelake", master: str | None = None, shuffle_par
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.enabled": "false",
     }
     if shuffle_partitions:

@@ -156,7 +156,8 @@ def pixel_features(images: DataFrame, key: str = "scene_id", grid: int = 8) -> D
     n = F.size("pixels")
     channel = lambda c: F.transform(F.expr("sequence(0, cast(size(pixels) div 3 - 1 AS int))"), lambda i: F.get("pixels", i * 3 + c))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / (n / 3)
-    sd = lambda a: F.sqrt(mean(F.transform(a, lambda x: x * x)) - mean(a) * mean(a))
+    spread = lambda a, m: F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m))))  # centred: a flat channel has exactly 0
+    sd = lambda a: F.get(F.transform(F.array(mean(a)), lambda m: spread(a, m)), F.lit(0))
     steps = F.sequence(F.lit(0), F.lit(grid - 1))
     at = lambda y, x, c: F.get("pixels", ((F.floor(y * F.col("height") / grid) * F.col("width") + F.floor(x * F.col("width") / grid)) * 3
                                           + c).cast("int"))

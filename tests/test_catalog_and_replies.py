@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import math
 import struct
 import zlib
 
@@ -211,3 +212,19 @@ def test_prompt_texts(spark):
             one.select(expr).collect()
     texts = one.select(C.fixed(F.lit(0.125), 2).alias("a"), C.fixed(F.lit(2.675), 2).alias("b"), C.fixed(F.lit(80.0), 0).alias("c")).first()
     assert tuple(texts) == ("0.12", "2.67", "80")
+
+
+def test_reply_styles_of_other_writers(spark):
+    from probelake.functions.scalars import coerce_outcome, weight_to_kg
+    from probelake.operators.replies import parse_replies
+
+    texts = ['{"toppled": "yes\\n", "settle_time": "\\t3"}', '{"toppled": 0, "toppled": 1}', '{"toppled": 1, "settle_time": NaN}', '{"settle_time": Infinity}']
+    out = [r["prediction"] for r in parse_replies(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()]
+    assert (out[0]["toppled"], out[0]["settle_time"]) == (1.0, 3.0)
+    assert out[1]["toppled"] == 1.0
+    assert out[2]["toppled"] == 1.0 and math.isnan(out[2]["settle_time"])
+    assert out[3]["settle_time"] == math.inf
+    df = spark.createDataFrame([("\t3\n", [("grams", "1.5f", None), ("grams", " 2000\n", None)])],
+                               "t string, w array<struct<unit:string,value:string,normalized_value:struct<unit:string,value:string>>>")
+    r = df.select(coerce_outcome("settle_time", "t").alias("s"), weight_to_kg("w").alias("kg")).first()
+    assert r["s"] == 3.0 and r["kg"] == pytest.approx(2.0)

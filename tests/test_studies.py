@@ -165,3 +165,16 @@ def test_retention_and_fraction(spark):
     g = spark.createDataFrame([(1.5, 1.0, 2.0), (1.5, 2.0, 1.0)], "g double, s double, c double")
     f = [r["fraction"] for r in SC.extraction_fraction(g, "g", "s", "c").collect()]
     assert f[0] == 0.5 and math.isnan(f[1])
+
+
+def test_large_offsets_do_not_eat_the_digits(spark):
+    from probelake.operators.alignment import linear_cka
+    from probelake.operators.regressors import kfold_r2
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 3))
+    rows = [(i % 5, [*(1e8 + v).tolist(), 1234.567], (1e8 + 2 * v[:1]).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "fold int, x array<double>, y array<double>")
+    assert kfold_r2(df, "x", "y").first()["r2"] > 0.99
+    same = df.select("x", F.transform("x", lambda v: v * 2.0 + 5.0).alias("z"))
+    assert linear_cka(same, "x", "z", 4).first()["cka"] == pytest.approx(1.0, abs=1e-6)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from probelake.operators import trajectories as TR
-from probelake.operators.ranking import row_bands
+from probelake.operators.ranking import value_bands
 
 SCHEMA = "traj string, frame_idx int, t double, pos array<double>, up array<double>"
 
@@ -91,13 +91,28 @@ def test_banded_deltas(spark):
     data = {"hot": [(0.5 * i, (rng.normal(), 0, rng.choice([0.0, 1.0])), (0, 0, 1)) for i in range(200)], "small": upright([1, 0, 1])}
     df = frames(spark, **data)
     cols = ["traj", "frame_idx", "step", "speed", "vz", "bounce"]
-    banded, band = row_bands(df, "t", rows_per_band=20)
-    assert band is not None and banded.select(band).distinct().count() > 5
+    banded, band = value_bands(df, "t", 10.0), "_band"
+    assert banded.select(band).distinct().count() > 5
     assert banded.groupBy("traj", band).count().agg(F.max("count")).first()[0] < 60
     key = lambda d: sorted(map(tuple, d.select(*cols).collect()))
     assert key(TR.frame_deltas(banded, ["traj"], ["frame_idx"], band)) == key(TR.frame_deltas(df, ["traj"], ["frame_idx"]))
 
 
+def test_null_and_nan_times_give_one_answer_for_one_and_for_many_bands(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", i, [None, float("nan"), 0.3 * i][min(2, i)] if i < 2 else 0.3 * i, [float(v) for v in rng.normal(size=3)], [0.0, 0.0, 1.0]) for i in range(40)]
+    rows += [("b", 0, None, [0.0, 0.0, 1.0], [0.0, 0.0, 1.0]), ("b", 1, float("nan"), [1.0, 0.0, 1.0], [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    order, cols = ["t", "frame_idx"], ["traj", "frame_idx", "step", "speed", "vz", "bounce"]
+    deltas, whole = [], []
+    for width in (1e9, 2.0, 0.2):
+        banded = value_bands(df, "t", width)
+        deltas.append(sorted(map(str, TR.frame_deltas(banded, ["traj"], order, "_band").select(*cols).collect())))
+        whole.append(sorted([round(v, 9) if isinstance(v, float) else v for v in r] for r in TR.summarize(banded, ["traj"], order, "_band").collect()))
+    assert len(deltas[0]) == 42 and deltas[0] == deltas[1] == deltas[2]
+    assert str(whole[0]) == str(whole[1]) == str(whole[2])
+
+
 def test_soft_topple_strict(spark):
     df = spark.createDataFrame([(50.0,), (90.0,)], "tilt double")
     assert TR.soft_topple(df, "tilt").first()["p_topple"] == 0.5
