@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from probelake.llm.batches import by_bytes
 from probelake.session import scratch_path, small
 
 LENGTH, GRAM = 50, 20
@@ -39,7 +40,8 @@ REACH = LENGTH - GRAM + 1  # places at which a string's anchor can start
 SORTED = 56
 SALTS = 64
 PARTS_PER_PARTITION = 4
-PORTION = 4_000_000  # bytes hashed at once
+PORTION = 2_000_000  # bytes hashed at once
+SENT_TOGETHER = 8_000_000  # bytes whose anchors or contexts are made distinct before they are sent
 RADIX = 0x9E3779B97F4A7C15
 BYTE_HASH = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -213,7 +215,7 @@ def send_anchors(n_parts: int):
     """Anchors of each batch packed by part; kind: their documents are already known to share them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, size=SENT_TOGETHER):
             t, starts, ends = text_bytes(batch.column("text"))
             ids, vs = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("v").to_numpy(zero_copy_only=False)
             rows, places, hashes = [], [], []
@@ -306,7 +308,7 @@ def send_contexts(n_parts: int):
     """Contexts of the flagged anchors packed by part of the anchor's bytes; ranges settled inside the batch have no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, size=SENT_TOGETHER):
             t, starts, ends = text_bytes(batch.column("text"))
             ids, vs = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("v").to_numpy(zero_copy_only=False)
             flags = batch.column("pos")

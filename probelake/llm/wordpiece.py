@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from probelake.llm.batches import by_bytes
+
 SPACE = r"[\x20\x09-\x0D]+"
 CHAR_BITS = 21
 DEAD = -1
@@ -129,7 +131,7 @@ def count_tokens(docs: DataFrame, initial: list[str], inner: list[str]) -> DataF
         if key not in _machines:
             _machines[key] = Automaton(initial, inner)
         machine = _machines[key]
-        for batch in batches:
+        for batch in by_bytes(batches):
             lists = pc.split_pattern_regex(pc.fill_null(batch.column("text"), ""), SPACE)
             coded = pc.dictionary_encode(lists.flatten())
             distinct = coded.dictionary.to_pylist()
