@@ -178,3 +178,18 @@ def test_large_offsets_do_not_eat_the_digits(spark):
     assert kfold_r2(df, "x", "y").first()["r2"] > 0.99
     same = df.select("x", F.transform("x", lambda v: v * 2.0 + 5.0).alias("z"))
     assert linear_cka(same, "x", "z", 4).first()["cka"] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_hypergeometric_inversion_has_the_exact_law():
+    from probelake.operators.agreement import inverse_hypergeometric
+
+    good, bad, draws = 7, 9, 6
+    weight = [math.comb(good, k) * math.comb(bad, draws - k) for k in range(draws + 1)]
+    cdf = np.cumsum(weight) / sum(weight)
+    for u in np.linspace(0.001, 0.999, 97):
+        assert inverse_hypergeometric(float(u), good, bad, draws) == int(np.searchsorted(cdf, u))
+    big = 5 * 10**10
+    got = [inverse_hypergeometric(u, big, big, big // 10) for u in (0.1586553, 0.5, 0.8413447)]
+    sd = (big / 10 * 0.25 * 0.95) ** 0.5
+    assert abs(got[1] - big / 20) < 2 and got[2] - got[1] == pytest.approx(sd, rel=0.01) and got[1] - got[0] == pytest.approx(sd, rel=0.01)
+    assert inverse_hypergeometric(0.3, 0, 5, 3) == 0 and inverse_hypergeometric(0.3, 5, 0, 3) == 3
