@@ -33,13 +33,10 @@ def chunk_id(chunk: Column, id_bits: int = 64) -> Column:
     return h if id_bits == 64 else F.pmod(h, F.lit(1 << id_bits))
 
 
-def ambiguous_chunks(docs: DataFrame, id_bits: int = 64) -> DataFrame:
-    """Chunks whose identifier another content has too: ``h``, ``c``, ``rank`` (of the content, from 1)."""
-    cut = docs.select(F.explode(chunks(F.col("text"))).alias("c")).select(chunk_id(F.col("c"), id_bits).alias("h"), "c")
-    contents = cut.distinct()
-    shared = contents.groupBy("h").count().where("count > 1").select("h")
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("c"))
-    return contents.join(shared, "h").withColumn("rank", rank)
+def cut_once(docs: DataFrame, id_bits: int = 64) -> DataFrame:
+    """Distinct chunks with their identifiers: ``h``, ``c``."""
+    cut = docs.select(F.explode(chunks(F.col("text"))).alias("c"))
+    return cut.select(chunk_id(F.col("c"), id_bits).alias("h"), "c").distinct()
 
 
 def recipes(docs: DataFrame, id_bits: int = 64) -> DataFrame:
@@ -51,10 +48,13 @@ def recipes(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     base = scratch_path(spark, "recipes")
     ids = F.transform(chunks(F.col("text")), lambda c: chunk_id(c, id_bits))
     docs.select("doc_id", ids.alias("recipe"), F.sha2("text", 256).alias("text_sha256")).write.parquet(f"{base}/first")
-    ambiguous_chunks(docs, id_bits).write.parquet(f"{base}/ambiguous")
-    first, ambiguous = spark.read.parquet(f"{base}/first"), spark.read.parquet(f"{base}/ambiguous")
-    if ambiguous.isEmpty():
+    # the one time chunk texts move: does any identifier stand for several contents?
+    cut_once(docs, id_bits).groupBy("h").count().where("count > 1").select("h").write.parquet(f"{base}/shared")
+    first, shared = spark.read.parquet(f"{base}/first"), spark.read.parquet(f"{base}/shared")
+    if shared.isEmpty():
         return first
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("c"))
+    ambiguous = cut_once(docs, id_bits).join(shared, "h").withColumn("rank", rank)
     # Identifiers with several contents: (identifier, rank of the content) in place of the identifier, for all texts.
     occurrences = docs.select("doc_id", "text", F.posexplode(chunks(F.col("text"))).alias("pos", "c"))
     keyed = occurrences.withColumn("h", chunk_id(F.col("c"), id_bits)).withColumn("t", F.sha2("text", 256)).drop("text")
