@@ -92,7 +92,9 @@ def judged(docs: DataFrame) -> DataFrame:
         "chars_removed": (chars("_lines") - chars("_good")).cast("bigint"),
         "clean_text": F.array_join("_good", "\n"),
     })
-    kept = ~F.col("base_failed") & (100 * F.col("chars_removed") <= MAX_LOST_PERCENT * F.col("_all"))
+    # The partition number keeps filters on the result from moving below this point, where the optimizer would put
+    # whole expressions in place of columns and evaluate them once per array element.
+    kept = ~F.col("base_failed") & (100 * F.col("chars_removed") <= MAX_LOST_PERCENT * F.col("_all")) & (F.spark_partition_id() >= 0)
     return out.withColumn("kept", kept).drop("_t", "_lines", "_good", "_all")
 
 
