@@ -96,45 +96,46 @@ def _hold_first(keys: DataFrame, key: str, n_test: int, seed: int) -> Column:
 
 def object_split(df: DataFrame, object_id: str, frac: float = 0.2, seed: int = 0) -> DataFrame:
     """A seeded share of the distinct ids goes to test, never all of them."""
-    ids = df.select(object_id).distinct()
-    n = ids.count()
-    if not n:
-        raise ValueError("need at least one object")
-    held = _hold_first(ids, object_id, min(n - 1, bankers_round(n * frac)), seed)
+    return _share_split(df, object_id, frac, seed)
+
+
+def _share_split(df: DataFrame, key: str, frac: float, seed: int) -> DataFrame:
+    keys = df.select(key).distinct()
+    total = keys.count()
+    if total == 0:
+        raise ValueError(f"nothing to split: no {key}")
+    held = _hold_first(keys, key, min(bankers_round(total * frac), total - 1), seed)
     return df.withColumn("split", F.when(held, "test").otherwise("train"))
 
 
 def category_split(df: DataFrame, category: str, held: Sequence[str] | None = None, frac: float = 0.2,
                    seed: int = 0) -> DataFrame:
     """Whole categories go to test: the named ones, or a seeded share; at least one stays in train."""
-    cats = df.select(category).distinct()
-    n = cats.count()
-    if not n:
-        raise ValueError("need at least one object")
     if held is None:
-        flag = _hold_first(cats, category, min(n - 1, bankers_round(n * frac)), seed)
-    else:
-        known = [r[0] for r in cats.where(F.col(category).isin(*held)).orderBy(category).collect()] if held else []
-        if len(known) >= n:
-            known = known[:-1]
-        flag = F.col(category).isin(*known) if known else F.lit(False)
-    return df.withColumn("split", F.when(flag, "test").otherwise("train"))
-
-
-def plan_split(df: DataFrame, object_id: str, category: str, holdout_categories: str = "", frac: float = 0.2,
+        return _share_split(df, category, frac, seed)
+    names = df.select(category).distinct()
+    listed = F.col(category).isin(*held) if held else F.lit(False)
+    counts = names.agg(F.count(F.lit(1)).alias("all"), F.count_if(listed).alias("listed"), F.max(F.when(listed, F.col(category))).alias("last")).first()
+    if not counts["all"]:
+        raise ValueError(f"nothing to split: no {category}")
+    if counts["listed"] == counts["all"]:  # the last name of the list's order stays in train
+        listed = listed & (F.col(category) != counts["last"])
+    return df.withColumn("split", F.when(listed, "test").otherwise("train"))
+
+
+def plan_split(df: DataFrame, object_id: str, category: str, holdout_categories: Sequence[str] = (), frac: float = 0.2,
                seed: int = 0, kind: str = "auto") -> DataFrame:
-    """Choose the object or category split from the request and from what is known about categories."""
-    if kind not in ("auto", "category", "object"):
-        raise ValueError(f"kind must be auto, category or object, got {kind!r}")
-    if kind == "object":
-        return object_split(df, object_id, frac, seed)
-    named = [c.strip().lower() for c in holdout_categories.split(",") if c.strip()]
-    if named:
-        return category_split(df, category, held=named, seed=seed)
-    known = df.select(category).where(F.col(category) != "unknown").distinct().limit(2).count()
-    if kind == "category" or known > 1:
-        return category_split(df, category, frac=frac, seed=seed)
-    return object_split(df, object_id, frac, seed)
+    """By category when categories are named, asked for or told apart by the data; else by object."""
+    ways = ("auto", "category", "object")
+    if kind not in ways:
+        raise ValueError(f"unknown kind of split {kind!r}, one of {', '.join(ways)}")
+    named = sorted({c.strip().lower() for c in holdout_categories} - {""})
+    if kind != "object" and named:
+        return category_split(df, category, named)
+    by_category = kind == "category"
+    if kind == "auto":
+        by_category = df.where(F.col(category) != "unknown").select(category).distinct().limit(2).count() == 2
+    return _share_split(df, category if by_category else object_id, frac, seed)
 
 
 def iid_split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from probelake.functions.hashing import gaussian_sql
+from probelake import constants as K
 from probelake.operators import coherence as CO
 from probelake.operators import neighbors as NN
 from probelake.operators import regressors as RG
@@ -196,7 +197,7 @@ def quantize(spark, sf):
 
 @query("M5_bit_curve")
 def bit_curve(spark, sf):
-    return RG.bit_curve(oracle_rows(spark, sf), "shape", "essence", "y", (6, 3), clusters=(1, 3, 9, 81, 729))
+    return RG.bit_curve(oracle_rows(spark, sf), "shape", "essence", "y", (6, 3), clusters=K.BIT_CURVE_CLUSTERS)
 
 
 _GAIN_SQL = f"{RUNS_SQL}, c AS (SELECT arm, avg(value) * 3 AS ceiling, avg(value) * 2.5 AS gain FROM runs GROUP BY arm)"

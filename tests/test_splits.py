@@ -44,7 +44,7 @@ def test_plan_split(spark):
     df = spark.createDataFrame([("a", "unknown"), ("b", "unknown"), ("c", "unknown")], "oid string, cat string")
     assert SP.plan_split(df, "oid", "cat", frac=0.4).where("split = 'test'").count() == 1
     known = spark.createDataFrame([("a", "mug"), ("b", "shoe"), ("c", "shoe")], "oid string, cat string")
-    named = SP.plan_split(known, "oid", "cat", holdout_categories=" Shoe , ")
+    named = SP.plan_split(known, "oid", "cat", holdout_categories=[" Shoe ", ""])
     assert {r["oid"] for r in named.where("split = 'test'").collect()} == {"b", "c"}
     with pytest.raises(ValueError):
         SP.plan_split(known, "oid", "cat", kind="region")
