@@ -13,6 +13,7 @@ from probelake.operators.scoring import score_predictions, train_mean_outcomes
 
 
 # ---------------------------------------------------------------- request texts
+# The sentences of shape_text, state_text, action_text and build_messages must match to the letter.
 def shape_text(shape) -> Column:
     """Geometry sentence of a shape; an unknown shape is an error."""
     out = None
