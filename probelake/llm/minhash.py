@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probelake.llm.batches import by_bytes
 from probelake.llm.graph import components
 from probelake.session import scratch_path, small
 
@@ -143,20 +144,18 @@ def signatures(docs: DataFrame) -> DataFrame:
     factors = random_odd(BANDS * ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
-                sets = shingle_sets(batch.column("text"))
-                full = [i for i, s in enumerate(sets) if len(s)]
-                least = minima([sets[i] for i in full], factors)
-                back = np.full(len(sets), -1, np.int64)
-                back[full] = np.arange(len(full))
-                take = pa.array(back, mask=back < 0)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()),
-                     listed(bit_planes(least)).take(take), listed(band_keys(least)).take(take)],
-                    ["doc_id", "n_shingles", "digest", "planes", "bands"])
+        for batch in by_bytes(batches):
+            sets = shingle_sets(batch.column("text"))
+            full = [i for i, s in enumerate(sets) if len(s)]
+            least = minima([sets[i] for i in full], factors)
+            back = np.full(len(sets), -1, np.int64)
+            back[full] = np.arange(len(full))
+            take = pa.array(back, mask=back < 0)
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()),
+                 listed(bit_planes(least)).take(take), listed(band_keys(least)).take(take)],
+                ["doc_id", "n_shingles", "digest", "planes", "bands"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id bigint, n_shingles bigint, digest string, planes array<bigint>, bands array<bigint>")
@@ -166,13 +165,11 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """``id``, ``set``: the sorted shingle hashes of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
-                sets = shingle_sets(batch.column("text"))
-                offsets = np.cumsum([0, *map(len, sets)])
-                flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["id", "set"])
+        for batch in by_bytes(batches):
+            sets = shingle_sets(batch.column("text"))
+            offsets = np.cumsum([0, *map(len, sets)])
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["id", "set"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "id bigint, set array<bigint>")
 
@@ -288,7 +285,7 @@ def link_components(docs: DataFrame, marked: DataFrame) -> DataFrame:
     # Round 1: every member of a bucket against its smallest id.
     members = marked.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     shared = kept(members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
-    buckets = kept(members.join(shared, "key").distinct(), "buckets")
+    buckets = kept(members.join(shared, "key"), "buckets")
     planes = marked.select("doc_id", "planes")
     pairs = buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     estimated = (
@@ -303,13 +300,12 @@ def link_components(docs: DataFrame, marked: DataFrame) -> DataFrame:
     labels = kept(components(links), "labels")
 
     # Round 2: members outside the component of their bucket's smallest id, against the whole bucket.
-    label = labels.select("id", F.col("component").alias("_l"))
-    placed = buckets.join(label, "id", "left").withColumn("comp", F.coalesce("_l", "id")).drop("_l")
-    placed = kept(placed, "placed")
-    first = placed.where("id = leader").select("key", F.col("comp").alias("lead")).distinct()
-    opened = placed.join(first, "key").withColumn("open", F.col("comp") != F.col("lead"))
+    own = small(labels.select("id", F.col("component").alias("_own")))
+    leads = small(labels.select(F.col("id").alias("leader"), F.col("component").alias("_lead")))
+    placed = buckets.join(own, "id", "left").join(leads, "leader", "left").withColumn("comp", F.coalesce("_own", "id"))
+    opened = kept(placed.withColumn("open", F.col("comp") != F.coalesce("_lead", "leader")).select("key", "id", "comp", "open"), "placed")
     sizes = kept(opened.groupBy("key").agg(F.count_if("open").alias("n_open"), F.count(F.lit(1)).alias("n_all")).where("n_open > 0"), "open_buckets")
-    rows = kept(opened.join(sizes, "key").select("key", "id", "comp", "open", "n_open", "n_all"), "open_rows")
+    rows = kept(opened.join(small(sizes), "key"), "open_rows")
     signed = marked.select(F.col("doc_id").alias("id"), "planes", "bands")
     order = ["key", "qp", "cp"]
 
@@ -344,7 +340,7 @@ def link_components(docs: DataFrame, marked: DataFrame) -> DataFrame:
     more = kept(dealt(pieces(confirmable)).mapInArrow(confirm, "a bigint, b bigint").distinct(), "more_links")
     if more.isEmpty():
         return labels
-    return components(links.union(more))
+    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -362,24 +358,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     reps = spark.read.parquet(f"{base}/reps")
     marked = real.join(reps.where("doc_id = rep").select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "planes", "bands")
     marked.write.parquet(f"{base}/marked")
-    # one document can stand under several sets if its id is repeated: equal sets are links too
-    same = reps.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = link_components(docs, spark.read.parquet(f"{base}/marked"))
-    repeated = not reps.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:
+    if not reps.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # a repeated id stands under several sets: then equal sets are links between documents as well
+        same = reps.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         found = components(same.union(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
         by_doc = signed.select("doc_id", "n_shingles").join(found.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left")
     else:
-        named = reps.select("doc_id", F.col("rep").alias("id"))
-        salted = named.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        spread = found.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, ["id", "_s"], "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-        by_doc = signed.select("doc_id", "n_shingles").join(joined, "doc_id", "left")
+        # slices of a set carry its component to the documents, so copies of one set never meet in one task
+        named = least.join(found, F.col("rep") == F.col("id"), "left").select("digest", "salt", F.coalesce("component", "rep").alias("component"))
+        by_doc = signed.select("doc_id", "n_shingles", "digest", "salt").join(named, ["digest", "salt"], "left")
+        by_doc = by_doc.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
     component = F.coalesce("component", "doc_id")
     return by_doc.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay (one document of each group), with all their columns."""
-    groups_ = near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(groups_, docs["doc_id"].cast("bigint") == F.col("_gone"), "left_anti")
+    gone = near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
