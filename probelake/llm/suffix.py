@@ -8,7 +8,7 @@ Suffixes of a whole corpus cannot be sorted in one place, so content decides whi
    only those that several documents hold go on. A batch sends a hash of several of its own documents once.
 2. Around each such anchor the strings that elect it are cut out of the text as one context. Contexts meet by the
    anchor's bytes. A batch sends equal contexts once, for its smallest document; its others are settled in place.
-3. A task sorts the suffixes of its contexts in two stages: suffixes smaller than their successors are sorted
+3. A task sorts the suffixes of its distinct contexts in two stages: suffixes smaller than their successors are sorted
    directly, to ``SORTED`` bytes, the others follow from them by scans over the buckets of first bytes. Adjacent
    common prefixes of ``LENGTH`` bytes give runs of equal strings, and the smallest document of each run.
 4. The covered ranges of a document are merged and cut out of its text.
@@ -37,7 +37,7 @@ from probelake.session import scratch_path, small
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM + 1  # places at which a string's anchor can start
-SORTED = 56
+SORTED = 50
 SALTS = 64
 PARTS_PER_PARTITION = 4
 PORTION = 2_000_000  # bytes hashed at once
@@ -379,6 +379,38 @@ def ranges(doc: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iter
         ["doc_id", "v", "a", "b"])
 
 
+def context_ranges(data: bytes, size: np.ndarray, doc: np.ndarray, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, variant, start and end of the repeated ranges of contexts that lie one after the other in ``data``.
+
+    Of equal contexts only one is sorted, for its smallest document; to the others it is repeated as a whole.
+    """
+    ends = np.cumsum(size)
+    index: dict[bytes, int] = {}
+    same = np.fromiter((index.setdefault(data[a:b], len(index)) for a, b in zip((ends - size).tolist(), ends.tolist())), np.int64, len(size))
+    least = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, doc)
+    whole = doc > least[same]
+    t = np.frombuffer(b"".join(index), np.uint8)
+    own = np.fromiter(map(len, index), np.int64, len(index))
+    n_strings = own - LENGTH + 1
+    which = np.repeat(np.arange(len(own)), n_strings)
+    inner = np.arange(len(which)) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)
+    hit = repeated_strings(t, (np.cumsum(own) - own)[which] + inner, least[which])
+    w, i = which[hit], inner[hit]
+    fresh = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (i[1:] != i[:-1] + 1)])) if len(w) else np.zeros(0, np.int64)
+    last = np.append(fresh[1:], len(w))[:len(fresh)] - 1
+    # ranges of distinct contexts go to the contexts of their smallest documents
+    first_range = np.searchsorted(w[fresh], np.arange(len(own) + 1))
+    one = np.flatnonzero(~whole)
+    many = np.diff(first_range)[same[one]]
+    owner = np.repeat(one, many)
+    pick = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_range[same[one]], many)
+    a, b = i[fresh][pick], i[last][pick] + LENGTH
+    k = np.flatnonzero(whole)
+    return (np.concatenate([doc[k], doc[owner]]), np.concatenate([v[k], v[owner]]),
+            np.concatenate([at[k], at[owner] + a]), np.concatenate([at[k] + size[k], at[owner] + b]))
+
+
 def repeated_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges that a smaller document has, too."""
     for rows in by_part(batches):
@@ -386,18 +418,8 @@ def repeated_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         settled, asked = [r for r in rows if r["text"] is None], [r for r in rows if r["text"] is not None]
         found = [column("doc", settled), column("v", settled), column("at", settled), column("size", settled)]
         if asked:
-            t = np.frombuffer(b"".join([r["text"] for r in asked]), np.uint8)
-            size, doc, v, at = column("size", asked), column("doc", asked), column("v", asked), column("at", asked)
-            starts = np.cumsum(size) - size
-            n_strings = size - LENGTH + 1
-            which = np.repeat(np.arange(len(size)), n_strings)
-            inner = np.arange(len(which)) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)
-            hit = repeated_strings(t, starts[which] + inner, doc[which])
-            w, i = which[hit], inner[hit]
-            if len(w):
-                fresh = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (i[1:] != i[:-1] + 1)]))
-                last = np.append(fresh[1:], len(w)) - 1
-                found = [np.concatenate(x) for x in zip(found, [doc[w[fresh]], v[w[fresh]], at[w[fresh]] + i[fresh], at[w[fresh]] + i[last] + LENGTH])]
+            found = [np.concatenate(x) for x in zip(found, context_ranges(
+                b"".join([r["text"] for r in asked]), column("size", asked), column("doc", asked), column("v", asked), column("at", asked)))]
         yield from ranges(*found)
 
 
@@ -452,12 +474,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def with_text(wanted: DataFrame) -> DataFrame:
         ids = wanted.select("doc_id", "v").distinct()
-        return real.join(small(ids), ["doc_id", "v"], "left_semi").dropDuplicates(["doc_id", "v"]).join(wanted, ["doc_id", "v"])
+        return real.join(small(ids), ["doc_id", "v"], "left_semi").join(wanted, ["doc_id", "v"])
 
     contexts = with_text(gathered).select("doc_id", "v", "text", "pos").mapInArrow(send_contexts(n_parts), CONTEXTS)
     covered = contexts.repartition(n_partitions, "part").sortWithinPartitions("part").mapInArrow(repeated_ranges, "doc_id bigint, v bigint, a array<bigint>, b array<bigint>")
     covers = kept(kept(covered, "covered").groupBy("doc_id", "v").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "covers")
-    cut = kept(with_text(covers).select("doc_id", "v", "text", "a", "b").mapInArrow(cut_texts, "doc_id bigint, v bigint, removed bigint, spans bigint, sha string"), "cut")
+    cut = kept(with_text(covers).select("doc_id", "v", "text", "a", "b").mapInArrow(cut_texts, "doc_id bigint, v bigint, removed bigint, spans bigint, sha string").distinct(), "cut")
 
     is_copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= LENGTH)
     nothing = hashlib.sha256(b"").hexdigest()
