@@ -37,7 +37,7 @@ from probelake.llm.pieces import portions
 from probelake.session import scratch_path
 
 DOCS_PER_SHARD = 16_384
-TABLE_ENTRIES, TABLE_CHARS = 400_000, 8_000_000
+TABLE_ENTRIES, TABLE_CHARS = 600_000, 12_000_000
 START = "\x00"
 UNEVEN = re.compile(r"\s\s|^\s|\s$|\x00")
 MAGIC, VERSION = b"PLTOKIDX", 1
@@ -65,10 +65,39 @@ class ByteCoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.table: dict[str, bytes] = {}
         self.chars = 0
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ... in order
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.visible = {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
+        self.stops = {c: self.packed([c])[0] for c in ".,"}
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, words: list[str]) -> None:
+        """Ids of new words. A run of letters is one unit of the byte-level pattern, and so is a full stop or comma
+        behind it: such words go to the library's merge model directly, all others through its whole chain."""
+        table, others = self.table, []
+        for w in words:
+            core = w[:-1] if w[-1] in ".," else w
+            if not core.lstrip(START).isalpha():
+                others.append(w)
+                continue
+            ids = table.get(core)
+            if ids is None:
+                body = core[1:] if core[0] == START else " " + core
+                unit = body.encode("utf-8").decode("latin-1").translate(self.visible)
+                ids = table[core] = np.array([t.id for t in self.model.tokenize(unit)], self.kind).tobytes()
+                self.chars += len(core)
+            if core is not w:
+                table[w] = ids + self.stops[w[-1]]
+                self.chars += len(w)
+        asked = [w[1:] if w[0] == START else w if w == "\n" else " " + w for w in others]
+        for w, ids in zip(others, self.packed(asked)):
+            table[w] = ids
+            self.chars += len(w)
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         table = self.table
         if len(table) > TABLE_ENTRIES or self.chars > TABLE_CHARS:
@@ -82,10 +111,7 @@ class ByteCoder:
                 cut.append((START + text.replace("\n", f" \n {START}")).split(" "))
         new = [w for w in set().union(*[words for words in cut if words]) if w not in table]
         if new:
-            asked = [w[1:] if w[0] == START else w if w == "\n" else " " + w for w in new]
-            for w, ids in zip(new, self.packed(asked)):
-                table[w] = ids
-                self.chars += len(w)
+            self.learn(new)
         for text, words in zip(texts, cut):
             yield b"".join(map(table.__getitem__, words)) if words else self.packed([text])[0] if text else b""
 
