@@ -1,8 +1,9 @@
 """The trajectory summary (A2) on a stream of frames.
 
-State per trajectory is a dozen numbers, whatever its length. A trajectory is emitted once the watermark
-has passed its last frame by ``gap_ms``; frames not later than the last one taken are dropped as late, as
-is everything behind the watermark.
+State per trajectory is a dozen numbers, whatever its length, and the frames the watermark has not passed: these
+wait, since earlier ones can still arrive, and are then taken in the order of t. A trajectory is emitted once
+the watermark has passed its last frame by ``gap_ms``. Only what arrives behind the watermark is dropped; t that
+runs against the event time by more than the watermark orders is an error.
 """
 
 from __future__ import annotations
@@ -16,19 +17,20 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from probelake import constants as K
 
 _STATE = ("n bigint, t0 double, x0 double, y0 double, t double, x double, y double, z double, vz double, tilt double, "
-          "path double, top double, bounces bigint, moving double")
+          "path double, top double, bounces bigint, moving double, last bigint, "
+          "wait_ms array<bigint>, wait_t array<double>, wait_pos array<array<double>>, wait_up array<array<double>>")
 _OUT = ("n_frames bigint, toppled double, settle_time double, slid_distance double, n_bounces double, max_height double, "
         "path_length double, final_tilt_deg double")
 _NAMES = [c.split()[0] for c in _STATE.split(", ")]
 
 
 def _advance(s: dict | None, f: pd.DataFrame) -> dict:
-    """Fold the frames of one trigger (sorted, all later than the state) into the state."""
+    """Fold frames (sorted, none earlier than the state) into the state."""
     p = np.stack(f["pos"].to_numpy()).astype(float)
     t = f["t"].to_numpy(float)
     up = np.asarray(f["up"].iloc[-1], float)
-    if s is None:
-        s = {"n": 0, "t0": t[0], "x0": p[0, 0], "y0": p[0, 1], "vz": None, "path": 0.0, "top": -np.inf, "bounces": 0, "moving": t[0]}
+    if s is None or not s["n"]:
+        s = {**(s or {}), "n": 0, "t0": t[0], "x0": p[0, 0], "y0": p[0, 1], "vz": None, "path": 0.0, "top": -np.inf, "bounces": 0, "moving": t[0]}
         chain_p, chain_t = p, t
     else:
         chain_p = np.vstack([[s["x"], s["y"], s["z"]], p])
@@ -51,26 +53,35 @@ def summarize_stream(frames: DataFrame, key: str, event_time: str, delay: str =
     """Streaming A2: ``frames`` has ``key``, a timestamp ``event_time``, and t (seconds), pos, up as in the batch form."""
     kind = frames.schema[key].dataType.simpleString()
 
+    def take(s, f):
+        """Advance over frames the watermark has passed."""
+        if not len(f):
+            return s
+        f = f.sort_values("t", kind="stable")
+        if s["n"] and f["t"].iloc[0] < s["t"]:
+            raise ValueError(f"t {f['t'].iloc[0]} is earlier than t {s['t']} of a frame with an earlier {event_time}")
+        return _advance(s, f)
+
     def run(k, batches, state):
+        s = dict(zip(_NAMES, state.get)) if state.exists else {**dict.fromkeys(_NAMES), "n": 0}
+        waiting = pd.DataFrame({c: list(s["wait_" + c.lstrip("_")] or []) for c in ("_ms", "t", "pos", "up")})
         if state.hasTimedOut:
-            s = dict(zip(_NAMES, state.get))
+            s = take(s, waiting)
             state.remove()
             yield pd.DataFrame({
                 key: [k[0]], "n_frames": [s["n"]], "toppled": [float(s["tilt"] > K.TOPPLE_ANGLE_DEG)], "settle_time": [s["moving"] - s["t0"]],
                 "slid_distance": [float(np.hypot(s["x"] - s["x0"], s["y"] - s["y0"]))], "n_bounces": [float(s["bounces"])],
                 "max_height": [s["top"]], "path_length": [s["path"]], "final_tilt_deg": [s["tilt"]]})
             return
-        s = dict(zip(_NAMES, state.get)) if state.exists else None
-        last = None
-        new = pd.concat(list(batches)).sort_values("t", kind="stable")  # frames of one trajectory in one trigger
-        if s is not None:
-            new = new[new["t"] > s["t"]]
-        if len(new):
-            s = _advance(s, new)
-            last = int(new["_ms"].max())
-            state.update(tuple(s[n] for n in _NAMES))
-        if last is not None:
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + gap_ms)
+        new = pd.concat([x[["_ms", "t", "pos", "up"]] for x in batches])
+        frames_ = pd.concat([waiting, new], ignore_index=True) if len(waiting) else new
+        passed = frames_["_ms"] <= state.getCurrentWatermarkMs()
+        s, left = take(s, frames_[passed]), frames_[~passed]
+        s["last"] = max(int(frames_["_ms"].max()), s["last"] or 0)
+        s |= {"wait_ms": [int(v) for v in left["_ms"]], "wait_t": [float(v) for v in left["t"]],
+              "wait_pos": [[float(v) for v in p] for p in left["pos"]], "wait_up": [[float(v) for v in p] for p in left["up"]]}
+        state.update(tuple(v.item() if isinstance(v := s[n], np.generic) else v for n in _NAMES))
+        state.setTimeoutTimestamp(max(s["last"], state.getCurrentWatermarkMs()) + gap_ms)
 
     rows = frames.withWatermark(event_time, delay).select(key, event_time, "t", "pos", "up",
                                                           F.unix_millis(F.col(event_time).cast("timestamp")).alias("_ms"))

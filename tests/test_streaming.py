@@ -32,3 +32,27 @@ def test_stream_matches_batch(spark, tmp_path):
         for c in w.asDict():
             if c != "k":
                 assert got[k][c] == pytest.approx(w[c], abs=1e-9), (k, c)
+
+
+def test_frames_out_of_order_within_the_watermark_count(spark, tmp_path):
+    triggers = [[0.0, 3.0, 4.0, 9.0], [2.0, 9.0, 1.0], [8.0, 30.0, 5.0], [25.0]]    # a frame of a time seen before, and earlier ones
+    heights, rows = iter([0.5, 0.1, 2.0, 0.3, 0.9, 0.3, 7.0, 0.2, 0.4, 0.1, 0.6]), []
+    for n, times in enumerate(triggers):
+        rows += [("a", n, t, [0.1 * t, 0.0, next(heights)], [0.0, 0.0, 1.0]) for t in times]
+    rows.append(("late", 4, 100_000.0, [0.0, 0.0, 0.0], [0.0, 0.0, 1.0]))
+    df = spark.createDataFrame(rows, "k string, n int, t double, pos array<double>, up array<double>")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("t") + 1_000_000)).withColumn("frame_idx", F.col("n"))
+    src = str(tmp_path / "src")
+    for n in range(5):
+        df.where(F.col("n") == n).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (summarize_stream(stream, "k", "ts", "10 seconds", 1000).writeStream.format("memory").queryName("unordered").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("select * from unordered where k = 'a'").collect()
+    want = summarize(df.where("k = 'a'"), ["k"], ["t", "n"]).first()
+    assert len(got) == 1 and got[0]["n_frames"] == 11
+    for c in want.asDict():
+        if c != "k":
+            assert got[0][c] == pytest.approx(want[c], abs=1e-9), c
