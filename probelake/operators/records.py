@@ -179,9 +179,20 @@ def build_scene_record(df: DataFrame, generator: str, *, physics: str | None = N
     )
 
 
-def assemble(assignments: DataFrame, frames: DataFrame, behavior: DataFrame) -> DataFrame:
-    """Join both per-scene products to their assignment; every assignment must have both."""
-    return assignments.join(frames, "scene_id").join(behavior, "scene_id")
+def assemble(assignments: DataFrame, frames: DataFrame, behavior: DataFrame, on_missing: str = "error") -> DataFrame:
+    """Join both per-scene products to their assignment; every assignment must have both.
+
+    ``on_missing='error'`` fails on an assignment without one; ``'skip'`` drops it.
+    """
+    if on_missing == "skip":
+        return assignments.join(frames, "scene_id").join(behavior, "scene_id")
+    out = assignments.join(frames.withColumn("_frames", F.lit(True)), "scene_id", "left").join(
+        behavior.withColumn("_behavior", F.lit(True)), "scene_id", "left")
+    lacks = F.when(F.col("_frames").isNull(), "frames").when(F.col("_behavior").isNull(), "behavior")
+    message = F.concat(F.lit("no "), lacks, F.lit(" for scene "), F.coalesce(F.col("scene_id").cast("string"), F.lit("null")))
+    kind = out.schema["scene_id"].dataType
+    return out.withColumn("scene_id", F.when(lacks.isNotNull(), F.raise_error(message).cast(kind)).otherwise(
+        F.col("scene_id"))).drop("_frames", "_behavior")
 
 
 def build_manifest(scenes: DataFrame, generator: str, region: Mapping | None = None,

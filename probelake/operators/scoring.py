@@ -117,8 +117,9 @@ def train_mean_outcomes(train: DataFrame, probe: str = "probe") -> DataFrame:
 def score_predictions(rows: DataFrame, train_mean: DataFrame) -> DataFrame:
     """Score (scene_id, probe, prediction STRUCT or null, truth STRUCT) rows.
 
-    Errors are normalized per field; a missing prediction takes the train mean and is counted. Result:
-    one row overall, per probe, and per (probe, field); ``brier`` looks at push.toppled only.
+    Errors are normalized per field; a missing prediction takes the train mean and is counted; a probe or
+    field without a train mean is an error. Result: one row overall, per probe, and per (probe, field);
+    ``brier`` looks at push.toppled only.
     """
     def entry(f):
         return F.struct(F.lit(f).alias("field"), F.col("prediction")[f].cast("double").alias("pred"),
@@ -128,7 +129,10 @@ def score_predictions(rows: DataFrame, train_mean: DataFrame) -> DataFrame:
     long = rows.select("probe", F.col("prediction").isNull().alias("_failed"),
                        F.explode(F.array(*[entry(f) for f in K.OUTCOME_FIELDS])).alias("_e"))
     entries = long.select("probe", "_failed", "_e.*").join(
-        F.broadcast(train_mean.select("probe", "field", "train_mean")), ["probe", "field"])  # J11: 21 rows by construction
+        F.broadcast(train_mean.select("probe", "field", "train_mean")), ["probe", "field"], "left")  # J11: 21 rows by construction
+    message = F.concat(F.lit("no train mean for "), F.coalesce("probe", F.lit("null")), F.lit("."), "field")
+    entries = entries.withColumn("train_mean", F.when(F.col("train_mean").isNull(), F.raise_error(message).cast("double")).otherwise(
+        F.col("train_mean")))
     p = F.coalesce("pred", "train_mean")
     square = lambda x: F.pow((x - F.col("truth")) / F.col("scale"), F.lit(2.0))
     is_brier = (F.col("probe") == "push") & (F.col("field") == "toppled")

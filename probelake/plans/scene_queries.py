@@ -191,7 +191,8 @@ def assemble(spark, sf):
     o = table(spark, sf, "orders")
     frames = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("scene_id")).agg(F.count(F.lit(1)).alias("n_frames"))
     return R.assemble(o.select(F.col("o_orderkey").alias("scene_id")), frames,
-                      o.select(F.col("o_orderkey").alias("scene_id"), F.col("o_totalprice").alias("behavior")))
+                      o.select(F.col("o_orderkey").alias("scene_id"), F.col("o_totalprice").alias("behavior")),
+                      on_missing="skip")  # the given tables have orders without lineitems, and the twin joins them out
 
 
 _BATTERY_SQL = """(VALUES ('drop', 0.6::DOUBLE, NULL::DOUBLE, NULL::DOUBLE), ('tilt', NULL, 20.0, NULL), ('push', NULL, NULL, 1.5)) b(kind, height, angle_deg, impulse)"""

@@ -9,6 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from probelake import constants as K
 from probelake import schemas as S
 from probelake.functions import scalars as C
 from probelake.operators import catalog as CAT
@@ -185,6 +186,24 @@ def test_scoring(spark):
     assert mixed["n_parse_failures"] == 1 and mixed["n_imputed_fields"] == 13 and 0 < mixed["mse"] <= mixed["baseline_mse"]
 
 
+def test_missing_products_and_train_means_are_errors(spark):
+    ids, two = spark.createDataFrame([("a",), ("b",)], "scene_id string"), spark.createDataFrame([("a", 1), ("b", 2)], "scene_id string, v int")
+    one = two.where("scene_id = 'a'")
+    both = R.assemble(ids, two.withColumnRenamed("v", "f"), two.withColumnRenamed("v", "g"))
+    assert sorted(map(tuple, both.select("scene_id", "f", "g").collect())) == [("a", 1, 1), ("b", 2, 2)]
+    for frames, behavior, name in ((one, two, "frames"), (two, one, "behavior")):
+        with pytest.raises(Exception, match=f"no {name} for scene b"):
+            R.assemble(ids, frames.withColumnRenamed("v", "f"), behavior.withColumnRenamed("v", "g")).collect()
+    assert R.assemble(ids, one, one.withColumnRenamed("v", "g"), on_missing="skip").count() == 1
+    fields = ",".join(f"{f}:double" for f in K.OUTCOME_FIELDS)
+    rows = spark.createDataFrame([("s", "push", None, dict.fromkeys(K.OUTCOME_FIELDS, 0.0)), ("s", "roll", None, dict.fromkeys(K.OUTCOME_FIELDS, 0.0))],
+                                 f"scene_id string, probe string, prediction struct<{fields}>, truth struct<{fields}>")
+    means = spark.createDataFrame([("push", f, 0.5) for f in K.OUTCOME_FIELDS], "probe string, field string, train_mean double")
+    assert SC.score_predictions(rows.where("probe = 'push'"), means).where("probe is null").first()["n_parse_failures"] == 1
+    with pytest.raises(Exception, match="no train mean for roll"):
+        SC.score_predictions(rows, means).collect()
+
+
 def test_records(spark):
     df = spark.createDataFrame([("train_0", "train", "box", "steel", 64)], "scene_id string, split string, shape string, mat string, resolution int")
     df = df.withColumn("frames", F.array(R.build_frame(F.lit(0), F.lit("v.png"), F.array(F.lit(1)), F.array(F.lit(2)))))
