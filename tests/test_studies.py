@@ -193,3 +193,17 @@ def test_hypergeometric_inversion_has_the_exact_law():
     sd = (big / 10 * 0.25 * 0.95) ** 0.5
     assert abs(got[1] - big / 20) < 2 and got[2] - got[1] == pytest.approx(sd, rel=0.01) and got[1] - got[0] == pytest.approx(sd, rel=0.01)
     assert inverse_hypergeometric(0.3, 0, 5, 3) == 0 and inverse_hypergeometric(0.3, 5, 0, 3) == 3
+
+
+def test_code_domain_reads_every_entry(spark, tmp_path):
+    from probelake.plans.catalogue import QUERIES
+
+    def count(*rows):
+        folder = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        spark.createDataFrame([(i, 0, r) for i, r in enumerate(rows)], "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+        return QUERIES["F10_code_domain"](spark, folder).first()["n"]
+
+    good = [0.1 * (i % 3 - 1) for i in range(64)]
+    assert count(good, good) == 2
+    with pytest.raises(Exception, match="code values must be"):
+        count(good, [*good[:50], None, *good[51:]])
