@@ -55,9 +55,10 @@ def alignment_report(neighbors: DataFrame, registry: DataFrame, k: int, seed: in
 
 def code_report(codes: DataFrame, key: str, run: str, code: str, factors: Mapping[str, str], draws: int = K.NULL_DRAWS,
                 seed: int = K.NULL_SEED) -> DataFrame:
-    """Agreement of every run pair with its shuffle null, and mutual information of every run with each factor.
+    """Agreement of every run pair with its shuffle null, and mutual information of every run with each factor,
+    and the shares of the three code values in every run.
 
-    One row per pair (``item`` = "a|b") and one per (run, factor); ``codes`` is long: one row per (run, scene).
+    One row per pair (``item`` = "a|b"), one per (run, factor) and three per run; ``codes`` is long: one row per (run, scene).
     """
     side = lambda s: codes.select(F.col(key), F.col(run).alias(f"run_{s}"), F.col(code).alias(f"code_{s}"))
     pairs = side("a").join(side("b"), key).where("run_a < run_b").withColumn("item", F.concat_ws("|", "run_a", "run_b"))
@@ -68,8 +69,9 @@ def code_report(codes: DataFrame, key: str, run: str, code: str, factors: Mappin
         mi = mutual_information(codes.withColumn("item", F.col(run).cast("string")), column, code, ["item"])
         rows = rows.unionByName(mi.select("item", F.lit(f"mi_{name}").alias("measure"), F.col("mi").alias("value")), allowMissingColumns=True)
     counts = code_marginals(codes.withColumn("item", F.col(run).cast("string")), code, ["item"])
-    share = counts.select("item", F.lit("zero_share").alias("measure"), (F.col("n_zero") / (F.col("n_minus") + F.col("n_zero") + F.col("n_plus"))).alias("value"))
-    return rows.unionByName(share, allowMissingColumns=True)
+    total = F.col("n_minus") + F.col("n_zero") + F.col("n_plus")
+    shares = F.array(*[F.struct(F.lit(f"{v}_share").alias("measure"), (F.col(f"n_{v}") / total).alias("value")) for v in ("minus", "zero", "plus")])
+    return rows.unionByName(counts.select("item", F.inline(shares)), allowMissingColumns=True)
 
 
 def arm_report(metrics: DataFrame, controls: DataFrame, inherit_from: str, arm: str = "arm") -> DataFrame:

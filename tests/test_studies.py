@@ -207,3 +207,15 @@ def test_code_domain_reads_every_entry(spark, tmp_path):
     assert count(good, good) == 2
     with pytest.raises(Exception, match="code values must be"):
         count(good, [*good[:50], None, *good[51:]])
+
+
+def test_code_report_has_all_marginals(spark):
+    from probelake.operators.reports import code_report
+
+    rows = [(i, run, (i * run) % 3 - 1 if i % 2 else 1, i % 2) for i in range(12) for run in (1, 2)]
+    out = code_report(spark.createDataFrame(rows, "id int, run int, code int, shape int"), "id", "run", "code", {"shape": "shape"}, draws=5)
+    got = {(r["item"], r["measure"]): r["value"] for r in out.collect()}
+    for run in (1, 2):
+        codes = [c for _, r, c, _ in rows if r == run]
+        for name, v in (("minus", -1), ("zero", 0), ("plus", 1)):
+            assert got[str(run), f"{name}_share"] == pytest.approx(codes.count(v) / 12)
