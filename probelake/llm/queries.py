@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelake.llm import exact_dedup, langid, minhash, mixing, pieces, quality, sharding, suffix, tokenbin, wordpiece
+from probelake.llm import collocations, exact_dedup, langid, minhash, mixing, pieces, quality, sharding, suffix, tokenbin, wordpiece
 from probelake.llm.sql import SQL, mix_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,4 +90,9 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(documents(spark, sf_dir))
 
 
+@numbered
+def op11_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 SQL["op2_hierarchical_budget"] = mix_sql(WEIGHTS, DOMAINS, SHARE_PERCENT, MAX_EPOCHS, SEED)

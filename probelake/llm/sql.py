@@ -51,6 +51,28 @@ FROM out
 """
 
 
+SQL["op11_stream_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM worded),
+grams AS (SELECT lang, w[i:i + m - 1] AS g, count(*) AS f FROM starts, range(1, 6) AS r(m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING m = 1 OR count(*) >= 100),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE len(g) = 1 GROUP BY lang),
+cand AS (SELECT lang, g, f AS a FROM grams WHERE len(g) > 1),
+inside AS (SELECT lang, g[i:i + m - 1] AS g, max(a) AS longer FROM cand, range(1, 5) AS s(i), range(2, 5) AS r(m)
+           WHERE i + m - 1 <= len(g) AND m < len(g) GROUP BY ALL),
+open AS (SELECT c.* FROM cand AS c LEFT JOIN inside AS x ON c.lang = x.lang AND c.g = x.g WHERE longer IS NULL OR longer < a),
+cuts AS (SELECT lang, g, a, k, g[1:k] AS p, g[k + 1:] AS q FROM open, range(1, 5) AS s(k) WHERE k < len(g)),
+valued AS (SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM cuts AS c JOIN grams AS x ON c.lang = x.lang AND c.p = x.g JOIN grams AS y ON c.lang = y.lang AND c.q = y.g JOIN totals AS t ON c.lang = t.lang),
+best AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+placed AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score, k,
+             row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score, k::BIGINT AS cut FROM placed WHERE rank <= 2000
+"""
+
 def poured(level: str, parents: list[str], weights: dict[str, int], before: str) -> str:
     """CTEs that share the budgets of table ``before`` among the nodes of a level, into ``share_<level>``."""
     path = ", ".join([*parents, level])
