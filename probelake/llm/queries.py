@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelake.llm import collocations, exact_dedup, langid, minhash, mixing, pieces, quality, sharding, suffix, tokenbin, wordpiece
+from probelake.llm import collocations, exact_dedup, langid, minhash, mixing, pieces, quality, quality_model, sharding, spelling, suffix, tokenbin, wordpiece
 from probelake.llm.sql import SQL, mix_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,4 +95,14 @@ def op11_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(documents(spark, sf_dir))
 
 
+@numbered
+def op12_nonnegative_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@numbered
+def op13_one_edit_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 SQL["op2_hierarchical_budget"] = mix_sql(WEIGHTS, DOMAINS, SHARE_PERCENT, MAX_EPOCHS, SEED)
