@@ -4,8 +4,9 @@ Documents are range-partitioned by key, encoded and written in ascending key ord
 a raw payload of little-endian ids (16 or 32 bits, by vocabulary size) and an index. The index maps a document key
 to a slot of its shard by a minimal perfect hash (levels of bit arrays: keys alone on a bit stay there, the others
 go on to the next, smaller level; a key's slot is the rank of its bit). Each slot stores a fingerprint of its key
-and the place of the document, so any key is answered by a constant number of reads, and keys that were never
-written are told apart by the fingerprint (wrong once in 2^32). Names of shards are unique to the attempt that
+and the place of the document, and each word of bits its running count, so any key is answered by a few reads of a
+few bytes, and keys that were never written are told apart by the fingerprint (wrong once in 2^32). Keys also stand
+in order beside the hash, for reading whole shards back. Names of shards are unique to the attempt that
 wrote them and enter the manifest with the task's result: a lost executor leaves at most files that nothing names.
 
 Texts are encoded by the tokenizers library. Its byte-level pattern never joins what a single space or line feed
@@ -22,25 +23,28 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probelake.llm.pieces import portions
 from probelake.session import scratch_path
 
-DOCS_PER_SHARD = 16_384
+DOCS_PER_SHARD, BYTES_PER_SHARD = 16_384, 32_000_000  # of text; the tighter one decides
+KEY_CHARS = 32  # of a text that order the rows of one key between shards
 TABLE_ENTRIES, TABLE_CHARS = 600_000, 12_000_000
 START = "\x00"
-UNEVEN = re.compile(r"\s\s|^\s|\s$|\x00")
-MAGIC, VERSION = b"PLTOKIDX", 1
+MAGIC, VERSION = b"PLTOKIDX", 2
 HEADER = struct.Struct("<8sIIQQQQ")  # magic, version, bytes an id, documents, tokens, levels, rows without key
 READ_DOCS = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +52,12 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 _coders: dict[str, ByteCoder] = {}
 
 
+def evenly_spaced(text: str) -> bool:
+    """No two characters of white space side by side, none at either end, and no zero character."""
+    words = text.split()
+    return sum(map(len, words)) + len(words) - 1 == len(text) and START not in text
+
+
 class ByteCoder:
     """Encodes texts to packed ids; lives as long as its Python worker."""
 
@@ -63,6 +73,7 @@ class ByteCoder:
         self.cuts = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"  # of the array module, little-endian like the machine
         self.table: dict[str, bytes] = {}
         self.chars = 0
         self.model = self.tokenizer.model
@@ -70,10 +81,14 @@ class ByteCoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.visible = {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
+        self.space = " ".translate(self.visible)
         self.stops = {c: self.packed([c])[0] for c in ".,"}
 
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
+
     def packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self.bytes_of(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words. A run of letters is one unit of the byte-level pattern, and so is a full stop or comma
@@ -86,9 +101,11 @@ class ByteCoder:
                 continue
             ids = table.get(core)
             if ids is None:
-                body = core[1:] if core[0] == START else " " + core
-                unit = body.encode("utf-8").decode("latin-1").translate(self.visible)
-                ids = table[core] = np.array([t.id for t in self.model.tokenize(unit)], self.kind).tobytes()
+                body = core[1:] if core[0] == START else core
+                if not body.isascii():
+                    body = body.encode("utf-8").decode("latin-1").translate(self.visible)
+                unit = body if core[0] == START else self.space + body
+                ids = table[core] = self.bytes_of([t.id for t in self.model.tokenize(unit)])
                 self.chars += len(core)
             if core is not w:
                 table[w] = ids + self.stops[w[-1]]
@@ -105,7 +122,7 @@ class ByteCoder:
             self.chars = 0
         cut: list[list[str] | None] = []
         for text in texts:
-            if not self.cuts or not text or UNEVEN.search(text) or any(s in text for s in self.special):
+            if not self.cuts or not text or not evenly_spaced(text) or any(s in text for s in self.special):
                 cut.append(None)
             else:
                 cut.append((START + text.replace("\n", f" \n {START}")).split(" "))
@@ -217,7 +234,8 @@ class ShardIndex:
     def pack(self) -> bytes:
         lengths = np.array([len(w) for w in self.hasher.levels], "<u8")
         head = HEADER.pack(MAGIC, VERSION, self.width, len(self.keys), int(self.sizes.sum()), len(lengths), self.n_missing)
-        parts = [lengths, self.hasher.words.astype("<u8"), self.keys.astype("<i8"), self.starts.astype("<i8"), self.sizes.astype("<i8"), self.prints.astype("<u4")]
+        parts = [lengths, self.hasher.words.astype("<u8"), self.hasher.before[:-1].astype("<u8"), self.keys.astype("<i8"), self.starts.astype("<i8"), self.sizes.astype("<i8"),
+                 self.prints.astype("<u4")]
         return head + b"".join(p.tobytes() for p in parts)
 
     @classmethod
@@ -235,24 +253,62 @@ class ShardIndex:
 
         lengths = take(n_levels, "<u8").astype(np.int64)
         words = take(int(lengths.sum()), "<u8")
+        take(len(words), "<u8")  # running counts, for single lookups
         levels = np.split(words, np.cumsum(lengths)[:-1]) if n_levels else []
         keys, starts, sizes = take(n, "<i8"), take(n, "<i8"), take(n, "<i8")
         return cls(width, keys, n_missing, PerfectHash(levels), take(n, "<u4"), starts, sizes)
 
 
+class StoredIndex:
+    """Single lookups in an index file: one word and one count for each level tried, then one slot; nothing else is read."""
+
+    def __init__(self, file):
+        self.file = file
+        magic, version, self.width, self.n, _, n_levels, _ = HEADER.unpack(file.read_at(HEADER.size, 0))
+        if magic != MAGIC or version != VERSION:
+            raise ValueError("not an index of token files")
+        self.lengths = np.frombuffer(file.read_at(8 * n_levels, HEADER.size), "<u8").astype(np.int64)
+        self.words_at = HEADER.size + 8 * n_levels
+        n_words = int(self.lengths.sum())
+        self.before_at = self.words_at + 8 * n_words
+        self.starts_at = self.before_at + 8 * n_words + 8 * self.n
+        self.sizes_at, self.prints_at = self.starts_at + 8 * self.n, self.starts_at + 16 * self.n
+
+    def number(self, at: int, kind: str) -> int:
+        kind = np.dtype(kind)
+        return int(np.frombuffer(self.file.read_at(kind.itemsize, at), kind)[0])
+
+    def find(self, key: int, ordinal: int = 0) -> tuple[int, int]:
+        """First token and number of tokens; -1 and 0 for a key that the shard does not hold."""
+        h = key_hashes(np.array([key]), np.array([ordinal]), np.array([False]))
+        level_at = 0
+        for i, n_words in enumerate(self.lengths):
+            at = int(mixed(h, 16 + i)[0] % np.uint64(n_words * 64))
+            word = level_at + at // 64
+            value = self.number(self.words_at + 8 * word, "<u8")
+            if value >> (at % 64) & 1:
+                slot = self.number(self.before_at + 8 * word, "<u8") + (value & ((1 << (at % 64)) - 1)).bit_count()
+                if self.number(self.prints_at + 4 * slot, "<u4") != int(mixed(h, 3).astype(np.uint32)[0]):
+                    return -1, 0
+                return self.number(self.starts_at + 8 * slot, "<i8"), self.number(self.sizes_at + 8 * slot, "<i8")
+            level_at += int(n_words)
+        return -1, 0
+
+
 def store(folder: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(folder)
 
 
-MANIFEST = "name string, first_key bigint, n_docs bigint, n_tokens bigint, width int"
+MANIFEST = "place int, name string, first_key bigint, n_docs bigint, n_tokens bigint, width int"
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, docs_per_shard: int = DOCS_PER_SHARD, bytes_per_shard: int = BYTES_PER_SHARD) -> DataFrame:
     """Write ``docs`` (``doc_id``, ``text``) as shards below ``folder``; the manifest, one row per shard, is written last.
 
-    ``folder`` must be reachable from every executor.
+    ``folder`` must be reachable from every executor. Rows of one key may go on in the next shard: shards are cut by key
+    and the first characters of the text.
     """
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; tasks get its content
         spec = f.read()
@@ -289,12 +345,13 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, docs_p
             f.write(index.pack())
         first = None if n_missing else int(index.keys[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array([first], pa.int64()), pa.array([len(index.keys)]), pa.array([int(sum(sizes))]), pa.array([coder.kind.itemsize], pa.int32())],
-            ["name", "first_key", "n_docs", "n_tokens", "width"])
+            [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([first], pa.int64()), pa.array([len(index.keys)]), pa.array([int(sum(sizes))]), pa.array([coder.kind.itemsize], pa.int32())],
+            ["place", "name", "first_key", "n_docs", "n_tokens", "width"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    n_shards = max(1, -(-rows.count() // docs_per_shard))
-    sorted_rows = rows.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    n_rows, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_shards = max(1, -(-n_rows // docs_per_shard), -(-n_bytes // bytes_per_shard))
+    sorted_rows = rows.repartitionByRange(n_shards, "doc_id", F.substring("text", 1, KEY_CHARS)).sortWithinPartitions("doc_id", "text")
     manifest = f"{folder}/manifest.parquet"
     sorted_rows.mapInArrow(run, MANIFEST).write.parquet(manifest)
     return spark.read.parquet(manifest)
@@ -306,7 +363,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     Keys come from the index in order, each is looked up by hash, and its ids are read at the place found.
     """
     manifest = spark.read.parquet(f"{folder}/manifest.parquet")
-    order = Window.orderBy(F.col("first_key").asc_nulls_first())  # one row per shard
+    order = Window.orderBy("place")  # one row per shard
     based = manifest.withColumn("base", F.sum("n_tokens").over(order) - F.col("n_tokens"))
     n = max(1, manifest.count())
 
@@ -333,18 +390,25 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, folder: str, keys: list[int]) -> dict[int, list[int]]:
-    """Ids of a few documents by key, on the caller's side: manifest, one index and one payload read per key."""
-    shards = sorted(((r["first_key"] if r["first_key"] is not None else -(1 << 63)), r["name"]) for r in spark.read.parquet(f"{folder}/manifest.parquet").collect())
+    """Ids of a few documents by key, on the caller's side: the manifest once, then a few numbers of an index and one payload for each key.
+
+    Of several rows of a key the first in its first shard is answered.
+    """
+    rows = spark.read.parquet(f"{folder}/manifest.parquet").orderBy("place").collect()  # one row per shard
+    first = [r["first_key"] if r["first_key"] is not None else -(1 << 63) for r in rows]
     files, path = store(folder)
     out = {}
     for key in keys:
-        for _, name in [s for s in shards if s[0] <= key][-1:]:
+        near = (bisect_left(first, key) - 1, bisect_left(first, key))  # a key can begin in the shard before the one it is first in
+        for k in (k for k in near if 0 <= k < len(rows)):
+            name = rows[k]["name"]
             with files.open_input_file(f"{path}/{name}.idx") as f:
-                index = ShardIndex.unpack(f.read())
-            start, size = (int(x[0]) for x in index.find(np.array([key], np.int64)))
+                index = StoredIndex(f)
+                start, size = index.find(key)
             if start >= 0:
                 with files.open_input_file(f"{path}/{name}.ids") as f:
                     out[key] = np.frombuffer(f.read_at(size * index.width, start * index.width), f"<u{index.width}").tolist()
+                break
     return out
 
 
