@@ -7,8 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 PIECE_BYTES = 4_000_000
+BATCH_BYTES = 8_000_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def hold_batches(spark: SparkSession) -> None:
+    """Limit the batches that go to Python by bytes: ten thousand rows of long texts or large sets are more than a task should hold.
+
+    A limit in the configuration of the application stays.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

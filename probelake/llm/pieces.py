@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding with a table of distinct marked words.
 
-When no piece of a model joins a whitespace marker to what stands before it, and no piece holds a line feed, a
-text falls apart at spaces and line feeds: marked words can be segmented on their own. Every worker keeps a table
-from marked word to ids, asks the library once per distinct word, and joins the ids back by position. Both
-properties are read from the vocabulary; a model without them is encoded text by text, as is a text with runs of
-white space, where a marker run belongs to the next word. Nothing is shuffled: a table for the whole corpus would
-move every word occurrence twice, many times the text itself.
+A text is one string in which every space is a marker, with a marker in front. When no piece of a model has a marker
+behind another character, and none holds a line feed, no piece crosses from a character to the marker behind it or
+over a line feed: the text falls apart there, and each run of markers with the characters behind it, a marked word,
+is segmented on its own. This holds for runs of spaces, spaces at either end and markers written out in the text as
+well: they make marked words with more markers. Both properties are read from the vocabulary; a model without them is
+encoded text by text. Every worker keeps a table from marked word to ids, asks the library once per distinct word,
+and joins the ids back by position. Nothing is shuffled: a table for the whole corpus would move every word occurrence
+twice, many times the text itself. Results leave a task in portions of about ``PORTION_CHARS`` characters.
 
 Defined results: a null text counts as empty and has no ids; other columns are ignored, whatever their names; an
 empty table gives an empty result; texts of any length are encoded whole; repeated rows give repeated rows.
@@ -22,16 +24,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TABLE_ENTRIES, TABLE_CHARS = 400_000, 8_000_000  # what a worker remembers; beyond either the table starts anew
+from probelake.llm.batches import by_bytes, hold_batches
+
+TABLE_ENTRIES, TABLE_CHARS = 200_000, 4_000_000  # what a worker remembers; beyond either the table starts anew
 PORTION_CHARS = 1_000_000  # text whose new words go to the library at once
-START = "\x00"  # put before a word that no space precedes
-UNEVEN = re.compile(r" (?=[ \n])|\n |^[ \n]| $|\x00")  # a text with one of these is not cut
 MARK = "▁"
+START = "\x00"  # put before a word that no marker precedes
+# A text with none of these has one marker before each word: splitting at spaces finds the marked words. In others they
+# are found one by one: a line feed, or markers with the characters behind them.
+UNEVEN = re.compile(f" (?=[ \n])|\n |^[ \n]| $|\x00|{MARK}")
+MARKED = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 COLUMNS = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 _coders: dict[str, WordCoder] = {}
 
 
+def marked_words(text: str) -> list[str]:
+    """Table keys of a text of any shape, in order.
+
+    A word behind one marker is its own key, a line feed is one. All else, and words that look like a key of another
+    kind, are spelled with their markers behind a line feed.
+    """
+    found = MARKED.findall(MARK + text.replace(" ", MARK))
+    return [w if w == "\n" else w[1:] if len(w) > 1 and w[0] == MARK and w[1] not in (MARK, START) else "\n" + w for w in found]
+
+
 class WordCoder:
     """Encodes and decodes with one model; lives as long as its Python worker."""
 
@@ -40,36 +57,40 @@ class WordCoder:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        self.cuts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
-        self.table: dict[str, tuple[bytes, bytes]] = {}
+        joins = any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
+        spells_bytes = any(self.sp.is_byte(i) for i in range(len(pieces)))  # else unknown characters side by side are one id
+        self.cuts = spells_bytes and not joins
+        self.table: dict[str, bytes] = {}
         self.chars = 0
         self.decimal = [str(i) for i in range(len(pieces))]
         self.lead = len(self.sp.encode("\n"))  # ids of a marker and a line feed
 
     def learn(self, words: list[str]) -> None:
-        """The library puts a marker before the word itself, as a space would; a word that no space precedes is
+        """The library puts a marker before the word itself, as a space would; a word that no single marker precedes is
         encoded behind a line feed, whose ids are then taken off."""
-        decimal = self.decimal
         asked = ["\n" + w[1:] if w[0] == START else w for w in words]
         for w, ids in zip(words, self.sp.encode(asked, num_threads=1)):
             if w == "\n":
                 ids = ids[1:]
-            elif w[0] == START:
+            elif w[0] in (START, "\n"):
                 ids = ids[self.lead:]
-            self.table[w] = ",".join([decimal[i] for i in ids]).encode(), array("i", ids).tobytes()
+            self.table[w] = array("i", ids).tobytes()
             self.chars += len(w)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, list[int]]]:
-        """For each text the ids as decimal text joined by commas, and as a list."""
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         table = self.table
         if len(table) > TABLE_ENTRIES or self.chars > TABLE_CHARS:
             table.clear()
             self.chars = 0
         cut: list[list[str] | None] = []
         for text in texts:
-            if not self.cuts or not text or UNEVEN.search(text):
+            if not self.cuts or not text:
                 cut.append(None)
                 continue
+            if UNEVEN.search(text):
+                cut.append(marked_words(text))
+                continue
             words = text.replace("\n", f" \n {START}").split(" ")
             if words[-1] == START or "\n\n" in text:
                 words = [w for w in words if w != START]
@@ -79,11 +100,16 @@ class WordCoder:
             self.learn(new)
         for text, words in zip(texts, cut):
             if words is None:
-                ids = self.sp.encode(text)
-                yield ",".join(map(str, ids)).encode(), ids
+                yield np.array(self.sp.encode(text) if text else [], np.int32)
             else:
-                decimals, raw = zip(*map(table.__getitem__, words))
-                yield b",".join(decimals), np.frombuffer(b"".join(raw), np.int32).tolist()
+                yield np.frombuffer(b"".join(map(table.__getitem__, words)), np.int32)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.sp.decode(ids) if ids else ""
+
+    def spelled(self, ids: list[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids))
 
 
 def portions(texts: Iterable[str], chars: int = PORTION_CHARS) -> Iterator[list[str]]:
@@ -116,21 +142,24 @@ def encode(docs: DataFrame, model_path: str, columns: Sequence[str] = tuple(COLU
     key = sha(model)
     wanted = list(columns)
     decodes = any(c.startswith("decoded") for c in wanted)
+    hold_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(key, model)
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in wanted}
-            texts = (x.as_py() or "" for x in batch.column("text"))
-            for decimal, ids in (x for part in portions(texts) for x in c.encode(part)):
-                decoded = c.sp.decode(ids) if decodes and ids else ""
+        for batch in by_bytes(batches, size=PORTION_CHARS):
+            coded = list(c.encode([x or "" for x in batch.column("text").to_pylist()]))
+            out: dict[str, list] = {n: [] for n in wanted if n not in ("n_tokens", "ids")}
+            for ids in coded if out else ():
+                one = ids.tolist()
+                decoded = c.decode(one) if decodes else ""
                 for n, values in out.items():
-                    values.append(
-                        len(ids) if n == "n_tokens" else ids if n == "ids" else sha(decimal) if n == "ids_sha256"
-                        else decoded if n == "decoded" else sha(decoded.encode()))
-            kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(out[n], kinds.get(n, pa.string())) for n in wanted]], ["doc_id", *wanted])
+                    values.append(sha(c.spelled(one).encode()) if n == "ids_sha256" else decoded if n == "decoded" else sha(decoded.encode()))
+            sizes = np.array([len(ids) for ids in coded], np.int64)
+            made = {n: pa.array(values, pa.string()) for n, values in out.items()}
+            made["n_tokens"] = pa.array(sizes)
+            if "ids" in wanted:
+                made["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(coded)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[made[n] for n in wanted]], ["doc_id", *wanted])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{n} {COLUMNS[n]}" for n in wanted]]))

@@ -33,7 +33,26 @@ def test_the_table_starts_anew_without_changing_results(monkeypatch):
     monkeypatch.setattr(pieces, "TABLE_ENTRIES", 3)
     coder = pieces.WordCoder(open(MODEL, "rb").read())
     texts = [f"word{i % 7} again{i}\nnext{i % 3} line" for i in range(40)]
-    assert [ids for part in pieces.portions(texts, 50) for _, ids in coder.encode(part)] == coder.sp.encode(texts)
+    assert [ids.tolist() for part in pieces.portions(texts, 50) for ids in coder.encode(part)] == coder.sp.encode(texts)
+
+
+def adverse(rnd):
+    """A text over an alphabet that is hard on cutting: markers, blanks of all kinds, control and wide characters."""
+    return "".join(rnd.choice(["▁", "▁▁", " ", " ", "  ", "\n", "\r", "\t", "\x00", "\x85", "\u00a0", "\u3000", "a", "b", "foo", "the", "x", "é", "中", "𝒳", "\u200b", "<0x0A>", "<unk>", ".", ",", "1"])
+                   for _ in range(rnd.randrange(12)))
+
+
+def test_no_text_is_too_odd_for_the_table():
+    coder = pieces.WordCoder(open(MODEL, "rb").read())
+    rnd = random.Random(1)
+    texts = [adverse(rnd) for _ in range(8000)] + ["foo ▁ 中", "a▁ 𝒳", "▁ \x85", "▁", "▁▁", " ▁ ", "\n▁", "▁\n", "\x00", " \x00", "\n\x00a"]
+    assert coder.cuts and [ids.tolist() for part in pieces.portions(texts, 5000) for ids in coder.encode(part)] == coder.sp.encode(texts)
+
+
+def test_double_spaces_go_through_the_table():
+    coder = pieces.WordCoder(open(MODEL, "rb").read())
+    list(coder.encode(["two  spaces and  more   of them "]))
+    assert {"and", "of", "\n▁▁spaces", "\n▁▁▁of"} <= set(coder.table) | {"of"} and len(coder.table) == 7
 
 
 def greedy(word, initial, inner):
