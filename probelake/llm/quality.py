@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
+SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 MIN_WORDS, WINDOW = 10, 5
 MAX_LOST_PERCENT = 50
 
 # Line rules. All are regular expressions that Java and RE2 read alike.
-SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*$"
+SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*\z"
 MENU_MARK = r"[|»›·•]|->"
 MENU_WORDS_PER_MARK = 4  # a line with two marks or more and at most this many words for each is navigation
 SYMBOL = r"[#*$%&|<>]"
@@ -64,7 +65,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def line_passes(line: Column) -> Column:
-    trimmed = F.regexp_replace(line, rf"^{SPACE}+|{SPACE}+$", "")
+    trimmed = F.trim(line, F.lit(SPACES))  # from both ends: no pattern that starts anew at every blank of a long run
     n_words = F.size(F.split(trimmed, rf"{SPACE}+", -1))
     marks = F.regexp_count(line, F.lit(MENU_MARK))
     noise = F.regexp_count(line, F.lit(f"{SYMBOL}|{SHOUT}"))

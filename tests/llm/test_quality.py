@@ -42,3 +42,29 @@ def test_lines_fail_alone_and_documents_by_what_they_lose(make):
     two = [r for r in cleaned.collect() if r["doc_id"] == 2]
     assert (two[0]["text"], two[0]["n_chars"]) == (PROSE, len(PROSE))
     assert quality.judge(make([])).count() == 0 and quality.clean(make([])).count() == 0
+
+
+def test_long_runs_of_blanks_take_linear_time(make):
+    import time
+
+    rows = [(1, "one" + " " * 1_000_000 + "two."), (2, " \t" * 400_000 + PROSE + "\x0b " * 400_000), (3, PROSE + '"' * 300_000 + "x")]
+    start = time.time()
+    got = {r["doc_id"]: r for r in quality.judge(make(rows)).collect()}
+    assert time.time() - start < 30
+    assert (got[1]["n_words"], got[1]["n_lines_removed"]) == (2, 0) and got[2]["kept"] and got[2]["n_lines_removed"] == 0 and got[3]["n_lines_removed"] == 1
+
+
+def test_sentences_end_at_the_end_of_the_line_only(make, tmp_path):
+    """Line separators that are no line feed do not end a line; the SQL agrees."""
+    import duckdb
+
+    from probelake.llm.sql import SQL
+
+    tails = ["\u2028", "\u0085", "\u2029", "\r", "\u2028x", '"', "\u00a0", " "]
+    rows = [(i, PROSE + t) for i, t in enumerate(tails)]
+    make(rows).write.parquet(str(tmp_path / "d"))
+    got = sorted((r["doc_id"], r["n_lines_removed"], r["kept"]) for r in quality.judge(make(rows)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    want = con.execute(f"SELECT doc_id, n_lines_removed, kept FROM ({SQL['op3_quality_rules']}) ORDER BY 1").fetchall()
+    assert got == want and [r[1] for r in got] == [1, 1, 1, 0, 1, 0, 1, 0]
