@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probelake.llm.batches import by_bytes
+from probelake.llm.batches import by_bytes, hold_batches
 from probelake.llm.graph import components
 from probelake.session import scratch_path, small
 
@@ -243,23 +243,19 @@ def open_pairs(t: pa.Table, needed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def confirmed(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of sets reach the threshold, by bit counts over the shingles of the sets in question."""
-    if not len(i):
-        return np.zeros(0, bool)
-    used = np.unique(np.concatenate([i, j]))
-    at = np.searchsorted(used, i), np.searchsorted(used, j)
-    sizes = np.array([len(sets[k]) for k in used])
-    _, code = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)
-    width = -(-(int(code.max()) + 1) // 64) * 8
-    bits = np.zeros((len(used), width), np.uint8)
-    np.bitwise_or.at(bits, (np.repeat(np.arange(len(used)), sizes), code >> 3), (1 << (code & 7)).astype(np.uint8))
-    words = bits.view(np.uint64)
+    """Which pairs of sorted sets reach the threshold. The partners of a set are looked up in it, ``PORTION`` shingles (one set at least) at a time."""
+    sizes = np.array([len(s) for s in sets])
     out = np.zeros(len(i), bool)
-    step = max(1, (1 << 20) // words.shape[1])
-    for a in range(0, len(i), step):
-        x, y = at[0][a:a + step], at[1][a:a + step]
-        common = np.bitwise_count(words[x] & words[y]).sum(1, dtype=np.int64)
-        out[a:a + step] = 100 * common >= THRESHOLD_PERCENT * (sizes[x] + sizes[y] - common)
+    fit = np.flatnonzero(100 * np.minimum(sizes[i], sizes[j]) >= THRESHOLD_PERCENT * np.maximum(sizes[i], sizes[j])) if len(i) else i
+    fit = fit[np.argsort(i[fit], kind="stable")]
+    for mine in np.split(fit, np.flatnonzero(np.diff(i[fit])) + 1) if len(fit) else []:
+        own, partner = sets[i[mine[0]]], j[mine]
+        portion = np.cumsum(sizes[partner]) // PORTION
+        for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(portion)) + 1):
+            flat = np.concatenate([sets[k] for k in partner[part]])
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(hit, np.cumsum(sizes[partner[part]]) - sizes[partner[part]], dtype=np.int64)
+            out[mine[part]] = 100 * common >= THRESHOLD_PERCENT * (len(own) + sizes[partner[part]] - common)
     return out
 
 
@@ -346,6 +342,7 @@ def link_components(docs: DataFrame, marked: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs`` (``doc_id``, ``text``)."""
     spark = docs.sparkSession
+    hold_batches(spark)
     base = scratch_path(spark, "near")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     signatures(docs).withColumn("salt", salt).write.parquet(f"{base}/signatures")
