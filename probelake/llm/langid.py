@@ -29,17 +29,18 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelake.llm.batches import by_bytes
 from probelake.llm.tokenbin import store
-from probelake.session import scratch_path
+from probelake.session import durable, scratch_path, small
 
 ORDER = 4
-MAX_GRAMS = 100_000  # default of ``most_frequent``; the models keep every n-gram
 PART_BYTES = 8_000_000  # of one model file
 CALIBRATION_DOCS, LIMIT_QUANTILE = 2_000, 0.995
+ONE_ASIDE_IN, LEAST_ASIDE = 4, 20  # at most so large a share of the documents, and none of a language with fewer documents
+LOADED_BYTES = 64_000_000  # of model files that a worker holds when it cannot map them
 UNKNOWN = "und"
 SPACE = r"[\x20\x09-\x0D]+"
 RADIX = np.uint64(0x9E3779B97F4A7C15)
@@ -120,14 +121,6 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int = MAX_GRAMS) -> DataFrame:
-    """For each language the n-grams of the highest counts, as many counts as fit into ``most`` n-grams."""
-    kinds = counts.groupBy("lang", "n").count()
-    total = F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    limits = kinds.withColumn("total", total).where(F.col("total") <= most).groupBy("lang").agg(F.min("n").alias("least"))
-    return counts.join(limits, "lang").where(F.col("n") >= F.col("least")).select("lang", "gram", "n")
-
-
 def characters(grams: list[str], order: int) -> np.ndarray:
     """Rows of the characters of n-grams of one length."""
     return np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(-1, order)
@@ -154,7 +147,9 @@ class HashTable:
     def part(self, i: int):
         if not isinstance(self.parts[i], str):
             return self.parts[i]
-        if i not in self.opened:
+        if i in self.opened:
+            self.opened[i] = self.opened.pop(i)  # the last used stands last
+        else:
             files, path = store(self.folder)
             name = f"{path}/{self.parts[i]}"
             if isinstance(files, fs.LocalFileSystem):
@@ -162,6 +157,8 @@ class HashTable:
             else:
                 with files.open_input_file(name) as f:
                     raw = np.frombuffer(f.read(), np.uint8)
+                while self.opened and sum(k.nbytes + v.nbytes for k, v in self.opened.values()) + len(raw) > LOADED_BYTES:
+                    del self.opened[next(iter(self.opened))]
             n = len(raw) // (8 + 4 * self.width)
             self.opened[i] = raw[:8 * n].view(np.uint64), raw[8 * n:].view(np.float32).reshape(n, self.width)
         return self.opened[i]
@@ -297,7 +294,8 @@ class CharacterModels:
         for k in range(len(self.langs)):
             own = use & (best == k) & (right == 1) & (n >= 20)
             if own.sum() >= 20:
-                self.limits[k] = np.quantile(entropy[own, k], LIMIT_QUANTILE)
+                # a small sample cannot show its extreme quantile: three deviations at least
+                self.limits[k] = max(np.quantile(entropy[own, k], LIMIT_QUANTILE), entropy[own, k].mean() + 3 * entropy[own, k].std())
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy, rejected."""
@@ -366,17 +364,24 @@ def write_level(level: DataFrame, models: CharacterModels, k: int, bits: int, di
 
 
 def train(labelled: DataFrame, calibration: DataFrame, order: int = ORDER) -> CharacterModels:
-    """Models from all rows of ``labelled``; score and rejection from at most ``CALIBRATION_DOCS`` of ``calibration``."""
+    """Models from all rows of ``labelled``; score and rejection from ``calibration``, ``CALIBRATION_DOCS`` rows at most."""
     spark = labelled.sparkSession
     folder = scratch_path(spark, "langid")
     count_grams(labelled, order).write.parquet(f"{folder}/counts")
     models = write_models(spark.read.parquet(f"{folder}/counts"), folder, order)
-    one_in = max(1, -(-calibration.count() // CALIBRATION_DOCS))
-    sample = calibration.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text", "lang").limit(CALIBRATION_DOCS).toPandas()
-    models.calibrate(sample)
+    models.calibrate(calibration.select("text", "lang").limit(CALIBRATION_DOCS).toPandas())
     return models
 
 
+def set_aside(known: DataFrame) -> DataFrame:
+    """``doc_id`` of the documents to calibrate with: those of the smallest hash of the id, one in ``ONE_ASIDE_IN`` and
+    ``CALIBRATION_DOCS`` at most, none of a language with fewer than ``LEAST_ASIDE`` documents."""
+    ids = known.select("doc_id", "lang").distinct()
+    common = ids.groupBy("lang").count().where(F.col("count") >= LEAST_ASIDE).select("lang")
+    able = ids.join(small(common), "lang", "left_semi").select("doc_id").distinct()
+    return able.orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(CALIBRATION_DOCS, able.count() // ONE_ASIDE_IN))
+
+
 def predict(docs: DataFrame, models: CharacterModels) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score``, ``cross_entropy``, ``rejected`` for every row of ``docs`` (``doc_id``, ``text``)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # names of files
@@ -393,11 +398,16 @@ def predict(docs: DataFrame, models: CharacterModels) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Train on documents of remainder 0 and 3 (checksum of the id, mod 4), calibrate on remainder 1, predict all.
+    """Train on all labelled documents whose remainder (checksum of the id, mod 4) is not 2, but for those set aside to
+    calibrate with; predict all.
 
     Adds ``held_out`` (remainder 2: neither text nor label of such a document is learned from).
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(remainder(F.col("doc_id")).alias("r"), "lang", "text")
-    models = train(known.where(F.col("r").isin(0, 3)), known.where(F.col("r") == 1))
+    learn = remainder(F.col("doc_id")) != 2  # null for a row without an id, which is left out
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    aside = durable(set_aside(known))
+    one = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "lang")).alias("one")  # of several texts of an id
+    calibration = known.join(F.broadcast(aside), "doc_id", "left_semi").groupBy("doc_id").agg(one).select("one.*")
+    models = train(known.join(F.broadcast(aside), "doc_id", "left_anti").select("lang", "text"), calibration)
     out = predict(docs, models)
     return out.withColumn("held_out", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)))

@@ -76,7 +76,7 @@ def test_foreign_text_is_rejected_and_empty_tables_work(make):
     assert [r["lang_pred"] for r in langid.identify(make([(1, "abc", None)])).collect()] == ["und"]
 
 
-def test_counts_follow_the_texts_and_keep_the_most_frequent(spark):
+def test_counts_follow_the_texts(spark):
     df = spark.createDataFrame([("xx", "ab ab-ab c"), ("xx", None), ("xx", "AB"), ("yy", "ab")], "lang string, text string")
     counts = langid.count_grams(df)
     got = {(r["lang"], r["gram"]): r["n"] for r in counts.collect()}
@@ -87,7 +87,6 @@ def test_counts_follow_the_texts_and_keep_the_most_frequent(spark):
             for i in range(len(s) - 3):
                 want[lang, s[i:i + 4]] += 1
     assert got == dict(want)
-    assert {(r["lang"], r["gram"]) for r in langid.most_frequent(counts, 3).collect()} == {k for k in want if want[k] == 4 or k[0] == "yy"}
 
 
 def test_ties_and_long_words():
@@ -111,3 +110,30 @@ def test_models_keep_every_n_gram_and_files_equal_memory(spark, make, monkeypatc
     assert np.allclose(models.log_probability(chars), whole.log_probability(chars), atol=1e-5)
     got = langid.predict(make([(1, words[7]), (2, "the mill")]), models).collect()
     assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "zz", 2: "xx"}
+
+
+def test_every_remainder_but_two_teaches(make):
+    """A language whose labels all have remainder 1 is learned, and a few documents of a language are never set aside."""
+    of_one = [i for i in range(4000, 6000) if zlib.crc32(str(i).encode()) % 4 == 1][:12]
+    rows = texts("xx", 300, 0) + [(i, "zoë qüxx vlørp njähr " * 3, "qq") for i in of_one]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(make(rows + [(9001, "vlørp zoë", None)])).collect()}
+    assert got[9001] == "qq" and all(got[i] == "qq" for i in of_one)
+
+
+def test_few_documents_are_set_aside(make, monkeypatch):
+    known = make(texts("xx", 300, 0) + texts("yy", 15, 1000) + texts("xx", 1, 7) * 50)
+    aside = [r[0] for r in langid.set_aside(known).collect()]
+    assert len(aside) == len(set(aside)) == 300 // langid.ONE_ASIDE_IN and max(aside) < 300
+    monkeypatch.setattr(langid, "CALIBRATION_DOCS", 5)
+    assert [r[0] for r in langid.set_aside(known).collect()] == aside[:5]
+
+
+def test_loaded_files_are_bounded(monkeypatch, tmp_path):
+    monkeypatch.setattr(langid, "LOADED_BYTES", 100)
+    monkeypatch.setattr(langid.fs, "LocalFileSystem", type("Elsewhere", (), {}))  # files that cannot be mapped
+    names = []
+    for i in range(4):
+        (tmp_path / f"p{i}").write_bytes(np.array([i], np.uint64).tobytes() * 4 + np.full(4, i, np.float32).tobytes())
+        names.append(f"p{i}")
+    table = langid.HashTable(names, 1, 2, tmp_path.as_uri())
+    assert [float(table.part(i)[1][0, 0]) for i in (0, 1, 0, 2, 3, 1)] == [0, 1, 0, 2, 3, 1] and len(table.opened) <= 2
