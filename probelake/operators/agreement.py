@@ -31,21 +31,29 @@ def code_marginals(df: DataFrame, code: str, by: Sequence[str] = ()) -> DataFram
     return df.groupBy(*by).agg(*[F.count_if(F.col(code) == v).alias(names[v]) for v in TRITS])
 
 
-def contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """Joint counts of two labels: all later statistics read this small table, never the rows again."""
-    return df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Joint counts of two labels: all later statistics read this small table, never the rows again.
 
+    With ``weight`` a row stands for that many rows.
+    """
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(n.alias("n"))
+
+
+def _count_where(condition: Column, weight: str | None) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0).cast("bigint")) if weight else F.count_if(condition)
 
-def trit_agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+
+def trit_agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Best match rate over the six relabelings of a's values, and the first relabeling (images of
-    -1, 0, 1) that reaches it. One aggregate with six counters."""
+    -1, 0, 1) that reaches it. One aggregate with six counters; ``weight``: rows that a row stands for."""
     aggs = []
     for i, perm in enumerate(RELABELINGS):
         mapped = F.when(F.col(a) == TRITS[0], perm[0]).when(F.col(a) == TRITS[1], perm[1]).when(
             F.col(a) == TRITS[2], perm[2])
-        aggs.append(F.count_if(F.col(b) == mapped).alias(f"_h{i}"))
+        aggs.append(_count_where(F.col(b) == mapped, weight).alias(f"_h{i}"))
     valid = F.count_if(~(F.col(a).isin(*TRITS) & F.col(b).isin(*TRITS))).alias("_bad")
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), valid, *aggs)
+    counts = df.groupBy(*by).agg(_count_where(F.lit(True), weight).alias("n"), valid, *aggs)
     best = F.array_max(F.array(*[
         F.struct(F.col(f"_h{i}").alias("hits"), F.lit(-i).alias("order"),
                  F.lit(",".join(map(str, perm))).alias("relabeling")) for i, perm in enumerate(RELABELINGS)]))
@@ -55,7 +63,7 @@ def trit_agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Dat
 
 
 def trit_agreement_null(df: DataFrame, a: str, b: str, draws: int = K.NULL_DRAWS, seed: int = K.NULL_SEED,
-                        by: Sequence[str] = ()) -> DataFrame:
+                        by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Mean and 95th percentile of the agreement when b is shuffled.
 
     Shuffling one side leaves both margins fixed, so the joint table of a shuffle is a draw from the
@@ -63,8 +71,8 @@ def trit_agreement_null(df: DataFrame, a: str, b: str, draws: int = K.NULL_DRAWS
     the cost is draws, whatever the size of the table.
     """
     by = list(by)
-    margin = lambda c, name: [F.count_if(F.col(c) == v).alias(f"{name}{i}") for i, v in enumerate(TRITS)]
-    margins = df.groupBy(*by).agg(*margin(a, "a"), *margin(b, "b"), F.count(F.lit(1)).alias("n"))
+    margin = lambda c, name: [_count_where(F.col(c) == v, weight).alias(f"{name}{i}") for i, v in enumerate(TRITS)]
+    margins = df.groupBy(*by).agg(*margin(a, "a"), *margin(b, "b"), _count_where(F.lit(True), weight).alias("n"))
     n_draws = margins.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     keyed = n_draws.withColumn("draw_seed", F.xxhash64(F.lit(seed), F.col("draw"), *by))
     kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
@@ -118,10 +126,10 @@ def inverse_hypergeometric(u: float, good: int, bad: int, draws: int) -> int:
     return max(low, mode - reach) + int(np.searchsorted(total, u * total[-1]))
 
 
-def mutual_information(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def mutual_information(df: DataFrame, x: str, y: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Plug-in mutual information in nats, from the joint table."""
     by = list(by)
-    joint = contingency(df, x, y, by)
+    joint = contingency(df, x, y, by, weight)
     px = joint.groupBy(*by, "a").agg(F.sum("n").alias("na"))
     py = joint.groupBy(*by, "b").agg(F.sum("n").alias("nb"))
     total = joint.groupBy(*by).agg(F.sum("n").alias("total"))
@@ -149,6 +157,51 @@ def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Data
     return t.select(*by, F.coalesce(F.try_divide(F.col("both") - expected, top - expected), F.lit(1.0)).alias("ari"), "n")
 
 
+MAX_CODE_WIDTH = 39  # trits of one code that fit a 64-bit number
+
+
+def code_number(code) -> Column:
+    """A ternary code as one number whose remainder by 3^k is the number of its first k digits."""
+    powers = F.array(*[F.lit(3 ** i).cast("bigint") for i in range(MAX_CODE_WIDTH)])
+    digits = F.transform(check_code(code), lambda c, i: (c + 1).cast("bigint") * F.get(powers, i))
+    wide = F.raise_error(F.lit(f"codes of more than {MAX_CODE_WIDTH} digits")).cast("bigint")
+    return F.when(F.size(col(code)) <= MAX_CODE_WIDTH, F.aggregate(digits, F.lit(0).cast("bigint"), lambda s, d: s + d)).otherwise(wide)
+
+
+def adjusted_rand_by_width(cells: DataFrame, widths: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """A27 for the partitions by the first 1, 2, 4, ... digits of two codes: (by, width, ari, n).
+
+    ``cells`` is the joint table of the whole codes (``a``, ``b`` by :func:`code_number`, count ``n``). A coarser
+    partition merges cells of a finer one, so all widths and all margins are rolled up from this one table.
+    """
+    by = list(by)
+    power = F.when(F.lit(False), F.lit(0).cast("bigint"))
+    for w in widths:
+        power = power.when(F.col("width") == w, F.lit(3 ** w).cast("bigint"))
+    rolled = cells.withColumn("width", F.explode(F.array(*map(F.lit, widths)))).select(*by, "width", (F.col("a") % power).alias("a"), (F.col("b") % power).alias("b"), "n")
+    keys = [*by, "width"]
+    sums = rolled.groupingSets([[*keys, "a", "b"], [*keys, "a"], [*keys, "b"]], *keys, "a", "b").agg(
+        F.sum("n").alias("m"), F.grouping("a").alias("_no_a"), F.grouping("b").alias("_no_b"))
+    both = (F.col("_no_a") == 0) & (F.col("_no_b") == 0)
+    pairs = lambda which: F.sum(F.when(which, F.col("m") * (F.col("m") - 1.0) / F.lit(2.0)))
+    t = sums.groupBy(*keys).agg(pairs(both).alias("both"), pairs(F.col("_no_b") == 1).alias("pairs_a"), pairs(F.col("_no_a") == 1).alias("pairs_b"),
+                                F.sum(F.when(both, F.col("m"))).alias("n"))
+    expected = F.try_divide(F.col("pairs_a") * F.col("pairs_b"), F.col("n") * (F.col("n") - 1.0) / F.lit(2.0))
+    top = (F.col("pairs_a") + F.col("pairs_b")) / 2.0
+    return t.select(*keys, F.coalesce(F.try_divide(F.col("both") - expected, top - expected), F.lit(1.0)).alias("ari"), "n")
+
+
+def tercile_labels(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """A28 for several numeric columns at once: (key, factor, label), the label being 0, 1 or 2; null values are left out.
+
+    The columns are laid out in rows, so one range sort finds the cuts of all of them.
+    """
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(v).alias("factor"), F.col(v).cast("double").alias("value")) for v in values])).alias("f")).select(key, "f.*").where("value IS NOT NULL")
+    cuts = F.broadcast(tercile_cuts(long, "value", ["factor"]))  # one row for each name in ``values``
+    label = (F.col("value") > F.col("q1")).cast("int") + (F.col("value") > F.col("q2")).cast("int")
+    return long.join(cuts, "factor").select(key, "factor", label.alias("label"))
+
+
 def tercile_cuts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """The two linear-interpolated tercile cuts per group: columns ``q1``, ``q2``."""
     cuts = exact_percentiles(df, value, [1.0 / 3.0, 2.0 / 3.0], by)

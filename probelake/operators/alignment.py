@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from probelake import constants as K
 from probelake.functions.arrow import from_matrix, to_matrix
 from probelake.operators.neighbors import knn, neighbor_overlap
-from probelake.session import with_scalars
+from probelake.session import durable, with_scalars
 
 
 def mutual_knn(df: DataFrame, x: str, y: str, k: int = K.KNN_K, *, id_col: str = "id", **options) -> DataFrame:
@@ -103,6 +104,127 @@ def linear_cka(df: DataFrame, x: str, y: str, d_x: int, by: Sequence[str] = ())
     return sums.select(*by, F.coalesce(F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")), F.lit(0.0)).alias("cka"))
 
 
+# ---------------------------------------------------------------- kernel alignment of many runs
+PANEL_COLUMNS = 2048
+
+
+def run_means(latents: DataFrame, run: str = "run_id", vec: str = "z") -> dict:
+    """Mean vector of every run: partial sums per task, then by key; runs x width numbers reach the driver."""
+    kind = latents.schema[run].dataType
+
+    def partial(batches):
+        sums: dict = {}
+        for batch in batches:
+            runs, z = batch.column(0).to_pylist(), batch.column(1)
+            places: dict = {}
+            for i, r in enumerate(runs):
+                places.setdefault(r, []).append(i)
+            for r, rows in places.items():
+                m = to_matrix(z.take(pa.array(rows)))
+                n, total = sums.get(r, (0, 0.0))
+                sums[r] = n + len(m), total + m.sum(0)
+        for r, (n, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r], to_arrow_type(kind)), pa.array([n]), from_matrix(total[None])], ["run", "n", "z"])
+
+    rows = latents.select(run, F.col(vec).cast("array<double>").alias("z")).mapInArrow(partial, f"run {kind.simpleString()}, n bigint, z array<double>")
+    cells = rows.select("run", "n", F.posexplode("z").alias("i", "v")).groupBy("run", "i").agg((F.sum("v") / F.sum("n")).alias("m"))
+    out: dict = {}
+    for r in cells.orderBy("run", "i").toLocalIterator():
+        out.setdefault(r["run"], []).append(r["m"])
+    return {r: np.array(m) for r, m in out.items()}
+
+
+def gram_tiles(latents: DataFrame, run: str = "run_id", id_col: str = "id", vec: str = "z", panel_columns: int = PANEL_COLUMNS) -> DataFrame:
+    """Sums of products of every run with every later one and itself: (run_a, run_b, i, j, s), one column of ones at the end.
+
+    The vectors of one scene are laid side by side, so a task multiplies its scenes once for all pairs of runs, and
+    pairs are never joined row by row. Tiles are summed by key, cell by cell. A tile counts the scenes that both runs
+    have. Beyond ``panel_columns`` columns the runs are cut into panels and a task holds the product of two of them
+    at a time. Vectors are taken relative to the mean of their run.
+    """
+    means = run_means(latents, run, vec)
+    runs = sorted(means)
+    width = max([len(m) for m in means.values()], default=1)
+    per_panel = max(1, panel_columns // (2 * width))
+    panel_of = {r: k // per_panel for k, r in enumerate(runs)}
+    n_panels = -(-len(runs) // per_panel) if runs else 0
+    kind = latents.schema[run].dataType
+    wide = latents.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col(run).alias("r"), F.col(vec).cast("array<double>").alias("z")))).alias("v"))  # one entry per run
+    wide = wide.select(F.col("v.r").alias("r"), F.flatten("v.z").alias("z"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    if n_panels > 1:
+        both = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x in range(n_panels) for y in range(x, n_panels)]
+        wide = wide.drop("a", "b").withColumn("p", F.explode(F.array(*both))).select("r", "z", "p.*").repartition("a", "b", F.spark_partition_id()).sortWithinPartitions("a", "b")
+
+    def products(batches):
+        sums, now = {}, None
+        for batch in batches:
+            panels = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            groups: dict = {}
+            for i, row in enumerate(batch.column(0).to_pylist()):
+                groups.setdefault((panels[i], tuple(row)), []).append(i)
+            for (panel, present), rows in groups.items():
+                if panel != now:
+                    yield from emitted(sums, now)
+                    sums, now = {}, panel
+                if len(set(present)) < len(present):
+                    raise ValueError("a run lists a scene twice")
+                z = to_matrix(batch.column(1).take(pa.array(rows))) - np.concatenate([means[r] for r in present])
+                start = np.cumsum([0] + [len(means[r]) for r in present])
+                mine = [k for k, r in enumerate(present) if panel_of[r] in panel]
+                if not mine:
+                    continue
+                z = np.concatenate([z[:, start[k]:start[k + 1]] for k in mine] + [np.ones((len(z), 1))], axis=1)
+                key = tuple(present[k] for k in mine)
+                sums[key] = sums.get(key, 0.0) + z.T @ z
+        yield from emitted(sums, now)
+
+    def emitted(sums, panel=None):
+        for present, m in sums.items():
+            start = np.cumsum([0] + [len(means[r]) for r in present])
+            last = [len(m) - 1]
+            for x, a in enumerate(present):
+                for y, b in enumerate(present[x:], x):
+                    if n_panels > 1 and (panel_of[a], panel_of[b]) != panel:
+                        continue
+                    tile = m[np.ix_([*range(start[x], start[x + 1]), *last], [*range(start[y], start[y + 1]), *last])]
+                    n = len(tile)
+                    yield pa.RecordBatch.from_arrays([pa.array([a] * n, to_arrow_type(kind)), pa.array([b] * n, to_arrow_type(kind)), pa.array(np.arange(n, dtype=np.int32)), from_matrix(tile)], ["run_a", "run_b", "i", "row"])
+
+    name = kind.simpleString()
+    tiles = wide.mapInArrow(products, f"run_a {name}, run_b {name}, i int, row array<double>")
+    return tiles.select("run_a", "run_b", "i", F.posexplode("row").alias("j", "s")).groupBy("run_a", "run_b", "i", "j").agg(F.sum("s").alias("s"))
+
+
+def kernel_products(tiles: DataFrame) -> DataFrame:
+    """(run_a, run_b, product, n): squared norm of the centered cross products of two runs, from one tile each."""
+    kind = tiles.schema["run_a"].dataType.simpleString()
+
+    def norm(cells):
+        m = np.zeros((int(cells["i"].max()) + 1, int(cells["j"].max()) + 1))
+        m[cells["i"], cells["j"]] = cells["s"]
+        n = m[-1, -1]
+        centered = m[:-1, :-1] - np.outer(m[:-1, -1], m[-1, :-1]) / n
+        return pd.DataFrame({"run_a": cells["run_a"].iloc[:1], "run_b": cells["run_b"].iloc[:1], "product": [(centered ** 2).sum()], "n": [int(n)]})
+
+    return tiles.groupBy("run_a", "run_b").applyInPandas(norm, f"run_a {kind}, run_b {kind}, product double, n bigint")
+
+
+def cka_by_pair(latents: DataFrame, pairs: DataFrame, run: str = "run_id", id_col: str = "id", vec: str = "z", **options) -> DataFrame:
+    """``pairs`` (run_a, run_b, ...) plus ``cka``, linear kernel alignment over the rows of ``latents`` (run, id, vector).
+
+    One scan answers all pairs. Runs of a pair that do not list the same scenes are an error; a constant run gives 0.
+    """
+    found = durable(kernel_products(gram_tiles(latents, run, id_col, vec, **options)))  # one row for each pair of runs
+    own = found.where("run_a = run_b").select(F.col("run_a").alias("run"), F.col("product").alias("own"), F.col("n").alias("n_own"))
+    side = lambda s: own.select(F.col("run").alias(f"run_{s}"), F.col("own").alias(f"own_{s}"), F.col("n_own").alias(f"n_{s}"))
+    turned = found.where("run_a <> run_b").select(F.col("run_b").alias("run_a"), F.col("run_a").alias("run_b"), "product", "n")
+    met = pairs.join(side("a"), "run_a").join(side("b"), "run_b").join(found.unionByName(turned), ["run_a", "run_b"], "left")
+    same = (F.col("n_a") == F.col("n_b")) & (F.coalesce("n", F.lit(0)) == F.col("n_a"))
+    value = F.coalesce(F.try_divide(F.col("product"), F.sqrt("own_a") * F.sqrt("own_b")), F.lit(0.0))
+    message = F.concat(F.lit("runs list different scenes: "), F.concat_ws(", ", "run_a", "run_b"))
+    return met.select(*pairs.columns, F.when(same, value).otherwise(F.raise_error(message).cast("double")).alias("cka"))
+
+
 # ---------------------------------------------------------------- pairs of runs
 def run_pairs(runs: DataFrame, arm: str = "arm", run: str = "run_id") -> DataFrame:
     """Unordered pairs of the runs of an arm (the run registry, a few rows per arm)."""
@@ -119,23 +241,27 @@ def cross_arm_pairs(runs: DataFrame, arm_a: str, arm_b: str, arm: str = "arm", r
     return pick(arm_a, "a").join(pick(arm_b, "b"), "arms").where("seed_a <> seed_b")
 
 
-def overlap_by_pair(neighbors: DataFrame, pairs: DataFrame, k: int, arm: str | None = "arm") -> DataFrame:
-    """A20 for many run pairs at once: neighbour tables (run_id, id, neighbor) are read once per side."""
-    keep = [arm] if arm else []
-    left = neighbors.select(F.col("run_id").alias("run_a"), "id", "neighbor").join(pairs, "run_a")
-    hits = left.join(neighbors.select(F.col("run_id").alias("run_b"), "id", "neighbor"), ["run_b", "id", "neighbor"])
-    n = neighbors.groupBy("run_id").agg(F.count_distinct("id").alias("n"))
+def overlap_by_pair(neighbors: DataFrame, pairs: DataFrame, k: int, arm: str | None = "arm", by: Sequence[str] = ()) -> DataFrame:
+    """A20 for many run pairs at once: neighbour tables (run_id, id, neighbor) are read once per side.
+
+    ``by`` names columns of the neighbour table, such as ``population``, that are answered each on its own.
+    """
+    by = list(by)
+    keep = [*by, arm] if arm else by
+    side = lambda s: neighbors.select(*by, F.col("run_id").alias(f"run_{s}"), "id", "neighbor")
+    hits = side("a").join(pairs, "run_a").join(side("b"), [*by, "run_b", "id", "neighbor"])
+    n = neighbors.groupBy(*by, "run_id").agg(F.count_distinct("id").alias("n"))
     shared = hits.groupBy(*keep, "run_a", "run_b").agg(F.count(F.lit(1)).alias("hits"))
     base = pairs.join(n, F.col("run_a") == F.col("run_id")).drop("run_id")
     return base.join(shared, [*keep, "run_a", "run_b"], "left").select(
         *keep, "run_a", "run_b", (F.coalesce("hits", F.lit(0)) / (F.col("n") * k)).alias("knn"))
 
 
-def pair_stats(pairs: DataFrame, value: str, arm: str = "arm") -> tuple[DataFrame, DataFrame]:
+def pair_stats(pairs: DataFrame, value: str, arm: str = "arm", by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Mean over the pairs of every arm, and every run's mean over the pairs it takes part in."""
-    per_arm = pairs.groupBy(arm).agg(F.avg(value).alias("pair_mean"), F.count(value).alias("n_pairs"))
-    sides = pairs.select(arm, F.explode(F.array("run_a", "run_b")).alias("run_id"), value)
-    per_run = sides.groupBy(arm, "run_id").agg(F.avg(value).alias("run_mean"), F.count(value).alias("n_pairs"))
+    per_arm = pairs.groupBy(*by, arm).agg(F.avg(value).alias("pair_mean"), F.count(value).alias("n_pairs"))
+    sides = pairs.select(*by, arm, F.explode(F.array("run_a", "run_b")).alias("run_id"), value)
+    per_run = sides.groupBy(*by, arm, "run_id").agg(F.avg(value).alias("run_mean"), F.count(value).alias("n_pairs"))
     return per_arm, per_run
 
 

@@ -11,6 +11,9 @@ dimensions the work is quadratic, as exact search is, but stays evenly spread.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -77,18 +80,34 @@ def block_top_k(q_ids, q, c_ids, c, k: int, exclude_self: bool) -> pd.DataFrame:
 
 
 def _merge(parts: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("id").orderBy("d2", "neighbor")
+    w = Window.partitionBy("population", "id").orderBy("d2", "neighbor")
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _named(found: DataFrame, populations: Sequence[str]) -> DataFrame:
+    """Population numbers as names; without populations the column is left out."""
+    if not populations:
+        return found.drop("population")
+    return found.withColumn("population", F.element_at(F.array(*map(F.lit, populations)), F.col("population") + 1))
+
+
 def knn_join(queries: DataFrame, candidates: DataFrame, k: int, *, id_col: str = "id", vec: str = "z",
-             exclude_self: bool = False, block_rows: int = BLOCK_ROWS, query_chunk: int = QUERY_CHUNK) -> DataFrame:
-    """(id, neighbor, d2, rank) of the k nearest candidates of every query; ties go to the smaller id."""
+             exclude_self: bool = False, populations: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
+             query_chunk: int = QUERY_CHUNK) -> DataFrame:
+    """(id, neighbor, d2, rank) of the k nearest candidates of every query; ties go to the smaller id.
+
+    ``populations`` names boolean columns of both sides: the search is then answered for each of them among its own
+    rows (a first column ``population`` says which), from one set of blocks and one routing of the queries. A query
+    visits every block that any of its populations leaves open.
+    """
     id_type = candidates.schema[id_col].dataType.simpleString()
-    c = candidates.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("z"))
-    q = queries.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("z"))
+    flags = [F.coalesce(F.col(p), F.lit(False)).cast("bigint") * (1 << i) for i, p in enumerate(populations)]
+    member = reduce(lambda x, y: x + y, flags) if flags else F.lit(1).cast("bigint")
+    rows = lambda df: df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("z"), member.alias("member")).where("member > 0")
+    c, q = rows(candidates), rows(queries)
+    n_populations = max(len(populations), 1)
     n_c, n_q = c.count(), q.count()
-    result = f"id {queries.schema[id_col].dataType.simpleString()}, neighbor {id_type}, d2 double"
+    result = f"population int, id {queries.schema[id_col].dataType.simpleString()}, neighbor {id_type}, d2 double"
     n_blocks = -(-n_c // block_rows)
     slots = candidates.sparkSession.sparkContext.defaultParallelism
     n_chunks = max(1, -(-n_q // query_chunk), min(slots, n_q // MIN_CHUNK))
@@ -97,9 +116,15 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, *, id_col: str =
 
     def search(pair_q: DataFrame, pair_c: DataFrame) -> DataFrame:
         def run(pq: pd.DataFrame, pc: pd.DataFrame) -> pd.DataFrame:
-            if not len(pq) or not len(pc):
-                return pd.DataFrame({"id": [], "neighbor": [], "d2": []})
-            return block_top_k(pq["id"].to_numpy(), _matrix(pq["z"]), pc["id"].to_numpy(), _matrix(pc["z"]), k, exclude_self)
+            found = [pd.DataFrame({"population": [], "id": [], "neighbor": [], "d2": []})]
+            of_q, of_c = pq["member"].to_numpy(), pc["member"].to_numpy()
+            q_ids, q_z, c_ids, c_z = pq["id"].to_numpy(), _matrix(pq["z"]), pc["id"].to_numpy(), _matrix(pc["z"])
+            for p in range(n_populations):
+                mine, theirs = (of_q >> p) & 1 == 1, (of_c >> p) & 1 == 1
+                if mine.any() and theirs.any():
+                    top = block_top_k(q_ids[mine], q_z[mine], c_ids[theirs], c_z[theirs], k, exclude_self)
+                    found.append(top.assign(population=p)[["population", "id", "neighbor", "d2"]])
+            return pd.concat(found[1:], ignore_index=True) if len(found) > 1 else found[0]
 
         left, right = (side.repartition(n_tasks, "block", "chunk").groupBy("block", "chunk") for side in (pair_q, pair_c))
         return left.cogroup(right).applyInPandas(run, result)
@@ -107,7 +132,7 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, *, id_col: str =
     spread = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))
     if n_blocks <= 1:
         one = c.withColumn("block", F.lit(0)).withColumn("chunk", spread)
-        return _merge(search(q.withColumn("block", F.lit(0)).withColumn("chunk", chunk), one), k)
+        return _named(_merge(search(q.withColumn("block", F.lit(0)).withColumn("chunk", chunk), one), k), populations)
 
     # pivots: a seeded handful of candidates; at most MAX_PIVOTS vectors on the driver
     n_pivots = min(n_blocks, MAX_PIVOTS)
@@ -126,7 +151,7 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, *, id_col: str =
 
     def with_cell(df):
         kind = df.schema["id"].dataType.simpleString()
-        return df.mapInPandas(assign, f"id {kind}, z array<double>, cell int, reach double")
+        return df.mapInPandas(assign, f"id {kind}, z array<double>, member bigint, cell int, reach double")
 
     cc, qq = with_cell(c), with_cell(q)
     stats = {r["cell"]: (r["n"], r["radius"]) for r in
@@ -139,22 +164,24 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, *, id_col: str =
     literal = lambda a: F.array(*[F.lit(int(v)) for v in a])
     n_sub, base = F.element_at(literal(blocks_of), F.col("cell") + 1), F.element_at(literal(first_block), F.col("cell") + 1)
     sub = F.pmod(F.xxhash64("id", F.lit("block")), F.greatest(n_sub, F.lit(1)))
-    blocked = cc.withColumn("block", (base + sub).cast("int")).select("id", "z", "block")
+    blocked = cc.withColumn("block", (base + sub).cast("int")).select("id", "z", "member", "block")
     spread_blocks = blocked.withColumn("chunk", spread)
 
     # first look: one block of the query's own cell
     home = qq.withColumn("block", (base + sub).cast("int")).withColumn("chunk", chunk).where(n_sub > 0)
-    near = search(home.select("id", "z", "block", "chunk"), spread_blocks)
-    bound = near.groupBy("id").agg(F.max("d2").alias("kth"), F.count(F.lit(1)).alias("found"))
+    near = search(home.select("id", "z", "member", "block", "chunk"), spread_blocks)
+    per_population = near.groupBy("id", "population").agg(F.max("d2").alias("kth"), F.count(F.lit(1)).alias("found"))
+    full = per_population.where(F.col("found") >= k).groupBy("id").agg(F.max("kth").alias("kth"), F.count(F.lit(1)).alias("bounded"))
 
-    # second look: every other block of every cell the bound cannot rule out
+    # second look: every other block of every cell the bounds cannot rule out
     def route(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
             z = _matrix(pdf["z"])
             low = np.maximum(np.sqrt(_squared(z, pivots)) - radius[None, :], 0.0)
-            limit = np.sqrt(np.where(pdf["found"].fillna(0).to_numpy() >= k, pdf["kth"].fillna(np.inf).to_numpy(), np.inf))
+            all_bounded = pdf["bounded"].fillna(0).to_numpy() >= pdf["n_member"].to_numpy()
+            limit = np.sqrt(np.where(all_bounded, pdf["kth"].fillna(np.inf).to_numpy(), np.inf))
             open_cells = (low <= limit[:, None] * (1 + 1e-7) + 1e-7) & (blocks_of > 0)[None, :]
             targets = []
             for i in range(len(pdf)):
@@ -162,14 +189,14 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, *, id_col: str =
                 t = np.concatenate(lists) if lists else np.zeros(0, int)
                 own = pdf["home"].iat[i]
                 targets.append(t[t != own].astype("int32") if own is not None and own == own else t.astype("int32"))
-            yield pd.DataFrame({"id": pdf["id"], "z": pdf["z"], "blocks": targets})
+            yield pd.DataFrame({"id": pdf["id"], "z": pdf["z"], "member": pdf["member"], "blocks": targets})
 
     id_t = q.schema["id"].dataType.simpleString()
-    homes = qq.withColumn("home", F.when(n_sub > 0, (base + sub).cast("int"))).select("id", "z", "home")
-    routed = homes.join(bound, "id", "left").mapInPandas(route, f"id {id_t}, z array<double>, blocks array<int>")
-    far_q = routed.select("id", "z", F.explode("blocks").alias("block")).withColumn("chunk", chunk)
+    homes = qq.withColumn("home", F.when(n_sub > 0, (base + sub).cast("int"))).select("id", "z", "member", "home", F.bit_count("member").alias("n_member"))
+    routed = homes.join(full, "id", "left").mapInPandas(route, f"id {id_t}, z array<double>, member bigint, blocks array<int>")
+    far_q = routed.select("id", "z", "member", F.explode("blocks").alias("block")).withColumn("chunk", chunk)
     far = search(far_q, spread_blocks)
-    return _merge(near.unionByName(far), k)
+    return _named(_merge(near.unionByName(far), k), populations)
 
 
 def knn(df: DataFrame, k: int, *, id_col: str = "id", vec: str = "z", **options) -> DataFrame:

@@ -7,11 +7,12 @@ solves a d x d system, with d held under 2000, or keeps at most a few hundred cl
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,34 +101,52 @@ def knn_regress(df: DataFrame, x: str, y: str, split: str = "split", k: int = K.
     return df.join(arrays.withColumnRenamed("id", id_col), id_col)
 
 
-def oracle_candidates(df: DataFrame, x: str, y: str, width: int, quad: bool = True, split: str = "split", id_col: str = "id",
-                      **options) -> dict[str, DataFrame]:
-    """The predictions of every regressor of the family; ``quad=False`` leaves out the quadratic ridge, which else
-    must stay under 2000 columns."""
-    out = {"ridge-linear": ridge(df, x, y, split), "knn-5": knn_regress(df, x, y, split, id_col=id_col, **options)}
-    if quad:
-        if quadratic_width(width) > K.MAX_QUADRATIC_FEATURES:
-            raise ValueError(f"a quadratic ridge of {width} features exceeds {K.MAX_QUADRATIC_FEATURES} columns; pass quad=False")
-        q = df.withColumn("_q", quadratic(F.col(x).cast("array<double>"), width))
-        out["ridge-quad"] = ridge(q, "_q", y, split)
-    return out
+REGRESSORS = ("ridge-linear", "knn-5", "ridge-quad")
 
 
-def best_oracle(df: DataFrame, x: str, y: str, width: int, quad: bool = True, split: str = "split", id_col: str = "id",
-                **options) -> DataFrame:
-    """One row (gain, train_gain, regressor) of the best regressor on test; ties keep the earlier one.
+def oracle_fields(df: DataFrame, x: str, y: str, width: int, quad: bool = True, split: str = "split", id_col: str = "id",
+                  regressors: Sequence[str] = REGRESSORS, **options) -> DataFrame:
+    """Errors per (regressor, target entry): (order, regressor, pos, baseline_mse, mse, train_baseline_mse, train_mse).
+
+    The predictions of all regressors stand beside each other in one row and go through one aggregate together.
+    """
+    names = [r for r in regressors if quad or r != "ridge-quad"]
+    unknown = set(names) - set(REGRESSORS)
+    if unknown or not names:
+        raise ValueError(f"regressors must be among {REGRESSORS}")
+    if "ridge-quad" in names and quadratic_width(width) > K.MAX_QUADRATIC_FEATURES:
+        raise ValueError(f"a quadratic ridge of {width} features exceeds {K.MAX_QUADRATIC_FEATURES} columns; pass quad=False")
+    df = durable(df.select(id_col, split, F.col(x).alias("_x"), F.col(y).cast("array<double>").alias("_y")))  # read by every fit
+    train, out = F.col(split) == "train", df
+    if "ridge-linear" in names:
+        out = ridge_predict(out, ridge_fit(df.where(train), "_x", "_y"), "_x", "_ridge-linear")
+    if "ridge-quad" in names:
+        q = lambda d: d.withColumn("_q", quadratic(F.col("_x").cast("array<double>"), width))
+        out = ridge_predict(q(out), ridge_fit(q(df.where(train)), "_q", "_y"), "_q", "_ridge-quad").drop("_q")
+    if "knn-5" in names:
+        near = knn_regress(df, "_x", "_y", split, id_col=id_col, out="_knn-5", **options).select(id_col, "_knn-5")
+        out = out.join(near, id_col)
+    each = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(r).alias("regressor"), F.col(f"_{r}").alias("prediction")) for i, r in enumerate(names)])
+    long = out.select(split, "_y", F.inline(each))
+    return field_errors(long, "_y", "prediction", split, ["order", "regressor"])
+
+
+def best_regressor(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, gain, train_gain, regressor) of the best regressor on test; ties keep the earlier one.
 
     ``train_gain`` is the best gain when the train rows are scored themselves.
     """
-    rows = None
-    df = durable(df.select(id_col, split, x, y))  # read by every regressor several times
-    for order, (name, pred) in enumerate(oracle_candidates(df, x, y, width, quad, split, id_col, **options).items()):
-        one = field_errors(pred, y, "prediction", split).agg(
-            F.avg("baseline_mse").alias("b"), F.avg("mse").alias("m"), F.avg("train_baseline_mse").alias("tb"), F.avg("train_mse").alias("tm")
-        ).select(F.lit(name).alias("regressor"), F.lit(-order).alias("_o"), ratio("b", "m").alias("gain"), ratio("tb", "tm").alias("train_gain"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.agg(F.max("gain").alias("gain"), F.max("train_gain").alias("train_gain"),
-                    F.max_by("regressor", F.struct("gain", "_o")).alias("regressor"))
+    gains = fields.groupBy(*by, "order", "regressor").agg(
+        F.avg("baseline_mse").alias("b"), F.avg("mse").alias("m"), F.avg("train_baseline_mse").alias("tb"), F.avg("train_mse").alias("tm")
+    ).select(*by, "regressor", (-F.col("order")).alias("_o"), ratio("b", "m").alias("gain"), ratio("tb", "tm").alias("train_gain"))
+    return gains.groupBy(*by).agg(F.max("gain").alias("gain"), F.max("train_gain").alias("train_gain"),
+                                  F.max_by("regressor", F.struct("gain", "_o")).alias("regressor"))
+
+
+def best_oracle(df: DataFrame, x: str, y: str, width: int, quad: bool = True, split: str = "split", id_col: str = "id",
+                **options) -> DataFrame:
+    """M2: one row (gain, train_gain, regressor) of the best regressor on test."""
+    return best_regressor(oracle_fields(df, x, y, width, quad, split, id_col, **options))
 
 
 # ---------------------------------------------------------------- quantization
@@ -209,16 +228,44 @@ def bit_curve(df: DataFrame, shape: str, essence: str, y: str, widths: tuple[int
     return rows
 
 
+TOP_FIELDS = 6
+
+
+def field_contributions(fields: DataFrame, base: str = "shape", top: int | None = TOP_FIELDS) -> DataFrame:
+    """Per feature set the target entries that gain most beyond the base set: (arm, rank, pos, base_gain, gain, delta).
+
+    ``fields`` is (arm, order, regressor, pos, ...) of :func:`oracle_fields`; every set is judged by its best regressor.
+    Ties of the difference go to the smaller entry; ``top=None`` lists all entries.
+    """
+    best = best_regressor(fields, ["arm"]).select("arm", "regressor")
+    own = fields.join(best, ["arm", "regressor"]).select(
+        "arm", "pos", (F.col("baseline_mse") / F.greatest(F.col("mse"), F.lit(K.GAIN_DENOMINATOR_FLOOR))).alias("gain"))
+    of_base = own.where(F.col("arm") == base).select("pos", F.col("gain").alias("base_gain"))
+    both = own.where(F.col("arm") != base).join(of_base, "pos").withColumn("delta", F.col("gain") - F.col("base_gain"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("arm").orderBy(F.desc("delta"), "pos")))
+    return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("arm", "rank", "pos", "base_gain", "gain", "delta")
+
+
+def arm_fields(df: DataFrame, arms: Mapping[str, tuple[str, int]], y: str, split: str = "split", id_col: str = "id", **options) -> DataFrame:
+    """Errors per (arm, regressor, target entry) of several feature sets, written once."""
+    df = durable(df)  # every feature set starts from these rows
+    parts = [oracle_fields(df, x, y, width, split=split, id_col=id_col, **options).withColumn("arm", F.lit(name)) for name, (x, width) in arms.items()]
+    return durable(reduce(DataFrame.unionByName, parts))
+
+
 def oracle_report(df: DataFrame, arms: Mapping[str, tuple[str, int]], y: str, split: str = "split", id_col: str = "id",
                   **options) -> DataFrame:
-    """M3: best gain on test and train per feature set, and its gain beyond the shape-only set."""
-    rows = None
-    df = durable(df)  # every feature set starts from these rows
-    for name, (x, width) in arms.items():
-        one = best_oracle(df, x, y, width, split=split, id_col=id_col, **options).withColumn("arm", F.lit(name))
-        rows = one if rows is None else rows.unionByName(one)
+    """M3: best gain on test and train per feature set, its gain beyond the shape-only set, and the entries that gain most.
+
+    ``top_fields`` holds at most ``TOP_FIELDS`` structs (rank, pos, base_gain, gain, delta) and is empty for the shape set.
+    """
+    fields = arm_fields(df, arms, y, split, id_col, **options)
+    rows = best_regressor(fields, ["arm"])
     base = rows.where("arm = 'shape'").select(F.col("gain").alias("_s")).first()
-    return rows.withColumn("contribution", F.col("gain") - (F.lit(base["_s"]) if base else F.lit(None).cast("double")))
+    top = field_contributions(fields).groupBy("arm").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "base_gain", "gain", "delta"))).alias("top_fields"))
+    none = F.array().cast(top.schema["top_fields"].dataType)
+    return rows.withColumn("contribution", F.col("gain") - (F.lit(base["_s"]) if base else F.lit(None).cast("double"))).join(top, "arm", "left") \
+        .withColumn("top_fields", F.coalesce("top_fields", none))
 
 
 # ---------------------------------------------------------------- k-fold probes

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelake.functions.scalars import ternary_code
@@ -64,22 +67,27 @@ def knn_predict(spark, sf):
     return rounded(out, "label", "y1")
 
 
-@query("J9_row_correspondence", """SELECT a.vec_id, round(a.embedding[1]::DOUBLE - b.embedding[33]::DOUBLE, 6) + 0.0 AS diff
-FROM embeddings a JOIN embeddings b USING (vec_id)""")
+@query("J9_row_correspondence", """SELECT a.vec_id, i::INT AS entry, round(a.embedding[i + 1]::DOUBLE - b.embedding[i + 33]::DOUBLE, 6) + 0.0 AS diff
+FROM embeddings a JOIN embeddings b USING (vec_id), range(32) r(i)""")
 def row_correspondence(spark, sf):
     z = ST.latents(spark, sf)
     joined = z.select("vec_id", "x").join(z.select("vec_id", "y"), "vec_id")
-    return joined.select("vec_id", r6(F.col("x")[0] - F.col("y")[0]).alias("diff"))
+    return joined.select("vec_id", F.posexplode(F.zip_with("x", "y", lambda a, b: a - b)).alias("entry", "diff")).select("vec_id", "entry", r6("diff").alias("diff"))
+
+
+_LONG = "long AS (SELECT vec_id, label, unnest(range(1, 65)) AS dim, unnest(x || y) AS v FROM latents)"
 
 
-_LONG = "long AS (SELECT vec_id, label, unnest(range(1, 33)) AS dim, unnest(x) AS v FROM latents)"
+def whole(spark, sf):
+    """All 64 entries of the embedding."""
+    return ST.latents(spark, sf).select("vec_id", "label", F.concat("x", "y").alias("z"))
 
 
 @query("A18_participation_ratio", f"""WITH {ST.LATENTS_SQL}, {_LONG},
 s AS (SELECT dim, var_pop(v) AS var, count(*) AS n FROM long GROUP BY dim)
 SELECT round(pow(sum(var), 2) / (sum(var * var) + 1e-12), 6) + 0.0 AS participation_ratio, max(n) AS n FROM s""")
 def participation_ratio(spark, sf):
-    return rounded(AL.participation_ratio(ST.latents(spark, sf), "x"), "participation_ratio")
+    return rounded(AL.participation_ratio(whole(spark, sf), "z"), "participation_ratio")
 
 
 @query("F7_collapse_gate", f"""WITH {ST.LATENTS_SQL}, {_LONG},
@@ -87,7 +95,7 @@ s AS (SELECT label, dim, var_pop(v) AS var, count(*) AS n FROM long GROUP BY lab
 p AS (SELECT label, pow(sum(var), 2) / (sum(var * var) + 1e-12) AS pr, max(n) AS n FROM s GROUP BY label)
 SELECT label, round(pr, 6) + 0.0 AS participation_ratio, n, pr < 30 AS collapsed FROM p""")
 def collapse_gate(spark, sf):
-    pr = AL.participation_ratio(ST.latents(spark, sf), "x", ["label"])
+    pr = AL.participation_ratio(whole(spark, sf), "z", ["label"])
     return rounded(AL.collapse_gate(pr, floor=30.0), "participation_ratio")
 
 
@@ -99,11 +107,12 @@ def linear_cka(spark, sf):
     return rounded(AL.linear_cka(ST.latents(spark, sf), "x", "y", 32), "cka")
 
 
-# six runs: 10-wide slices of the embedding, two arms of three seeds
-_N_RUNS, _WIDTH, _K = 6, 10, 5
-_SLICE_RUNS_SQL = "runs AS (SELECT i AS run_id, CASE WHEN i < 3 THEN 'base' ELSE 'loud' END AS arm, i % 3 AS seed FROM range(6) r(i))"
-_RUN_KNN_SQL = f"""slices AS (SELECT i AS run_id, vec_id, list_transform(embedding[i * 10 + 1 : i * 10 + 10], lambda v: v::DOUBLE) AS z
-  FROM embeddings, range(6) r(i)),
+# eight runs: 8-wide slices of the embedding, two arms of four seeds
+_N_RUNS, _WIDTH, _K = 8, 8, 5
+_SLICE_RUNS_SQL = "runs AS (SELECT i AS run_id, CASE WHEN i < 4 THEN 'base' ELSE 'loud' END AS arm, i % 4 AS seed FROM range(8) r(i))"
+_SLICES_SQL = """slices AS (SELECT i AS run_id, vec_id, list_transform(embedding[i * 8 + 1 : i * 8 + 8], lambda v: v::DOUBLE) AS z
+  FROM embeddings, range(8) r(i))"""
+_RUN_KNN_SQL = f"""{_SLICES_SQL},
 nn AS (SELECT * FROM (SELECT a.run_id, a.vec_id AS id, b.vec_id AS neighbor,
   row_number() OVER (PARTITION BY a.run_id, a.vec_id ORDER BY list_distance(a.z, b.z), b.vec_id) AS rank
   FROM slices a JOIN slices b ON a.run_id = b.run_id AND a.vec_id <> b.vec_id) WHERE rank <= {_K}),
@@ -112,27 +121,32 @@ _PAIR_KNN_SQL = """pk AS (SELECT p.arm, p.run_a, p.run_b,
   (SELECT count(*) FROM nn a JOIN nn b ON a.id = b.id AND a.neighbor = b.neighbor
     WHERE a.run_id = p.run_a AND b.run_id = p.run_b) / (n.n * 5.0::DOUBLE) AS knn FROM pairs p, n)"""
 _PAIRS_SQL = "pairs AS (SELECT a.arm, a.run_id AS run_a, b.run_id AS run_b FROM runs a JOIN runs b ON a.arm = b.arm AND a.run_id < b.run_id)"
+# linear kernel alignment of two runs from the squared covariances of their entries
+CKA_SQL = """entries AS (SELECT run_id, vec_id, unnest(range(8)) AS dim, unnest(z) AS v FROM slices),
+c2 AS (SELECT run_a, run_b, sum(c * c) AS s FROM (SELECT a.run_id AS run_a, b.run_id AS run_b, a.dim AS i, b.dim AS j, covar_pop(a.v, b.v) AS c
+  FROM entries a JOIN entries b ON a.vec_id = b.vec_id AND a.run_id <= b.run_id GROUP BY ALL) GROUP BY ALL),
+pc AS (SELECT x.run_a, x.run_b, x.s / (sqrt(y.s) * sqrt(z.s)) AS cka FROM c2 x JOIN c2 y ON y.run_a = x.run_a AND y.run_b = x.run_a
+  JOIN c2 z ON z.run_a = x.run_b AND z.run_b = x.run_b)"""
 
 
 def run_registry(spark, sf):
     """Run table of the slices, read off one embedding's width."""
     wide = table(spark, sf, "embeddings").select(F.size("embedding").alias("w")).limit(1)
     return wide.select(F.explode(F.expr(f"sequence(0L, least({_N_RUNS}, floor(w / {_WIDTH})) - 1)")).alias("run_id")).select(
-        "run_id", F.when(F.col("run_id") < 3, "base").otherwise("loud").alias("arm"), (F.col("run_id") % 3).alias("seed"))
+        "run_id", F.when(F.col("run_id") < 4, "base").otherwise("loud").alias("arm"), (F.col("run_id") % 4).alias("seed"))
 
 
-def run_latents(spark, sf, i):
-    z = F.transform(F.slice("embedding", i * _WIDTH + 1, _WIDTH), lambda v: v.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", z.alias("z"))
+def run_latents(spark, sf):
+    """(run_id, id, z): every 8-wide slice of every embedding."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(_N_RUNS - 1)), lambda i: F.transform(F.slice("embedding", i * _WIDTH + 1, F.lit(_WIDTH)), lambda v: v.cast("double")))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(cut).alias("run_id", "z")).select(F.col("run_id").cast("bigint").alias("run_id"), "id", "z")
 
 
-def run_neighbors(spark, sf):
-    tables = [NN.knn(run_latents(spark, sf, i), _K, id_col="vec_id").select(
-        F.lit(i).cast("bigint").alias("run_id"), "id", "neighbor") for i in range(_N_RUNS)]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+def run_neighbors(spark, sf, populations=()):
+    """(run_id, id, neighbor), with a population when rows are flagged by name -> condition."""
+    z = run_latents(spark, sf).withColumns(dict(populations))
+    tables = [NN.knn(z.where(F.col("run_id") == i), _K, populations=[name for name, _ in populations]).withColumn("run_id", F.lit(i).cast("bigint")) for i in range(_N_RUNS)]
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query("J6_run_pairs", f"""WITH {RUNS_SQL} SELECT a.arm, a.seed AS run_a, b.seed AS run_b FROM runs a JOIN runs b
@@ -161,6 +175,12 @@ def pair_stats(spark, sf):
     return rounded(AL.pair_stats(pairs, "knn")[1], "run_mean")
 
 
+@query("A21_pair_cka", f"""WITH {_SLICE_RUNS_SQL}, {_PAIRS_SQL}, {_SLICES_SQL}, {CKA_SQL}
+SELECT arm, run_a, run_b, round(cka, 6) + 0.0 AS cka FROM pairs JOIN pc USING (run_a, run_b)""")
+def pair_cka(spark, sf):
+    return rounded(AL.cka_by_pair(run_latents(spark, sf), AL.run_pairs(run_registry(spark, sf))), "cka")
+
+
 @query("F14_same_rows", """SELECT o_custkey, n_left, n_right FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_left,
 count(*) FILTER (o_orderstatus = 'O') AS n_right FROM orders GROUP BY 1) WHERE n_left <> n_right""")
 def same_rows(spark, sf):
@@ -169,68 +189,80 @@ def same_rows(spark, sf):
 
 
 # ---------------------------------------------------------------- discrete codes
-_CODES_SQL = """codes AS (SELECT vec_id, label, list_transform(embedding[1:4],
-  lambda v: CAST(round_even(tanh(8 * v::DOUBLE), 0) AS INTEGER)) AS code FROM embeddings)"""
+_CODES_SQL = """codes AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(round_even(tanh(8 * v::DOUBLE), 0) AS INTEGER)) AS code FROM embeddings)"""
+_DIGITS_SQL = f"{_CODES_SQL}, digits AS (SELECT vec_id, label, unnest(range(64))::INT AS entry, unnest(code) AS c FROM codes)"
+_HALVES_SQL = f"{_CODES_SQL}, halves AS (SELECT vec_id, unnest(range(32))::INT AS entry, unnest(code[1:32]) AS a, unnest(code[33:64]) AS b FROM codes)"
 
 
 def codes(spark, sf):
-    e = table(spark, sf, "embeddings")
-    h = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 8)
-    return e.select("vec_id", "label", AG.check_code(ternary_code(h)).alias("code")).select(
-        "vec_id", "label", "code", *[F.col("code")[i].alias(f"c{i + 1}") for i in range(4)])
+    """Ternary codes of all 64 entries."""
+    h = F.transform("embedding", lambda v: v.cast("double") * 8)
+    return table(spark, sf, "embeddings").select("vec_id", "label", AG.check_code(ternary_code(h)).alias("code"))
+
 
+def digits(spark, sf):
+    return codes(spark, sf).select("vec_id", "label", F.posexplode("code").alias("entry", "c"))
 
-@query("P24_ternary_code", f"WITH {_CODES_SQL} SELECT vec_id, code[1] AS c1, code[2] AS c2, code[3] AS c3, code[4] AS c4 FROM codes")
+
+def halves(spark, sf):
+    """Every entry of the first half beside its partner in the second."""
+    both = F.arrays_zip(F.slice("code", 1, 32).alias("a"), F.slice("code", 33, 32).alias("b"))
+    return codes(spark, sf).select("vec_id", F.posexplode(both).alias("entry", "d")).select("vec_id", "entry", "d.a", "d.b")
+
+
+@query("P24_ternary_code", f"WITH {_DIGITS_SQL} SELECT vec_id, entry, c FROM digits")
 def ternary(spark, sf):
-    return codes(spark, sf).select("vec_id", "c1", "c2", "c3", "c4")
+    return digits(spark, sf).select("vec_id", "entry", "c")
 
 
 @query("F10_code_domain", f"WITH {_CODES_SQL} SELECT count(*) AS n FROM codes WHERE list_min(code) >= -1 AND list_max(code) <= 1")
 def code_domain(spark, sf):
-    h = F.transform("embedding", lambda v: v.cast("double") * 8)  # every entry; the twin looks at four of them
-    return table(spark, sf, "embeddings").select(AG.check_code(ternary_code(h)).alias("code")).agg(F.count("code").alias("n"))
+    return codes(spark, sf).agg(F.count("code").alias("n"))
 
 
-@query("A29_code_marginals", f"""WITH {_CODES_SQL} SELECT label, count(*) FILTER (code[1] = -1) AS n_minus,
-count(*) FILTER (code[1] = 0) AS n_zero, count(*) FILTER (code[1] = 1) AS n_plus FROM codes GROUP BY label""")
+@query("A29_code_marginals", f"""WITH {_DIGITS_SQL} SELECT label, entry, count(*) FILTER (c = -1) AS n_minus,
+count(*) FILTER (c = 0) AS n_zero, count(*) FILTER (c = 1) AS n_plus FROM digits GROUP BY label, entry""")
 def code_marginals(spark, sf):
-    return AG.code_marginals(codes(spark, sf), "c1", ["label"])
+    return AG.code_marginals(digits(spark, sf), "c", ["label", "entry"])
 
 
 _PERMS = ", ".join(f"({i}, {p[0]}, {p[1]}, {p[2]})" for i, p in enumerate(AG.RELABELINGS))
 
 
-@query("A24_trit_agreement", f"""WITH {_CODES_SQL}, p(o, m, z, q) AS (VALUES {_PERMS}),
-a AS (SELECT o, m, z, q, avg((CASE code[1] WHEN -1 THEN m WHEN 0 THEN z ELSE q END = code[2])::INT) AS rate, count(*) AS n
-  FROM codes, p GROUP BY ALL)
-SELECT round(rate, 6) + 0.0 AS agreement, m || ',' || z || ',' || q AS relabeling, n FROM a ORDER BY rate DESC, o LIMIT 1""")
+@query("A24_trit_agreement", f"""WITH {_HALVES_SQL}, p(o, m, z, q) AS (VALUES {_PERMS}),
+r AS (SELECT entry, o, m, z, q, avg((CASE a WHEN -1 THEN m WHEN 0 THEN z ELSE q END = b)::INT) AS rate, count(*) AS n FROM halves, p GROUP BY ALL)
+SELECT entry, round(rate, 6) + 0.0 AS agreement, m || ',' || z || ',' || q AS relabeling, n FROM r QUALIFY row_number() OVER (PARTITION BY entry ORDER BY rate DESC, o) = 1""")
 def trit_agreement(spark, sf):
-    return rounded(AG.trit_agreement(codes(spark, sf), "c1", "c2"), "agreement")
+    return rounded(AG.trit_agreement(halves(spark, sf), "a", "b", ["entry"]), "agreement")
 
 
 @query("A25_trit_null")
 def trit_null(spark, sf):
-    return AG.trit_agreement_null(codes(spark, sf), "c1", "c2")
+    return AG.trit_agreement_null(halves(spark, sf), "a", "b", by=["entry"])
 
 
-@query("A26_mutual_information", f"""WITH {_CODES_SQL}, j AS (SELECT label AS a, code[1] AS b, count(*) AS n FROM codes GROUP BY 1, 2),
-t AS (SELECT sum(n)::DOUBLE AS total FROM j), x AS (SELECT a, sum(n)::DOUBLE AS na FROM j GROUP BY a),
-y AS (SELECT b, sum(n)::DOUBLE AS nb FROM j GROUP BY b)
-SELECT round(sum(n / total * ln(n * total / (na * nb))), 6) + 0.0 AS mi FROM j JOIN x USING (a) JOIN y USING (b), t""")
+@query("A26_mutual_information", f"""WITH {_DIGITS_SQL}, j AS (SELECT entry, label AS a, c AS b, count(*) AS n FROM digits GROUP BY ALL),
+t AS (SELECT entry, sum(n)::DOUBLE AS total FROM j GROUP BY 1), x AS (SELECT entry, a, sum(n)::DOUBLE AS na FROM j GROUP BY ALL),
+y AS (SELECT entry, b, sum(n)::DOUBLE AS nb FROM j GROUP BY ALL)
+SELECT entry, round(sum(n / total * ln(n * total / (na * nb))), 6) + 0.0 AS mi FROM j JOIN x USING (entry, a) JOIN y USING (entry, b) JOIN t USING (entry) GROUP BY entry""")
 def mutual_information(spark, sf):
-    return rounded(AG.mutual_information(codes(spark, sf), "label", "c1"), "mi")
+    return rounded(AG.mutual_information(digits(spark, sf), "label", "c", ["entry"]), "mi")
+
+
+_PAIRS2 = "n * (n - 1) / 2.0::DOUBLE"
 
 
-@query("A27_adjusted_rand", f"""WITH {_CODES_SQL}, k AS (SELECT code[1:2]::VARCHAR AS a, code[3:4]::VARCHAR AS b FROM codes),
-j AS (SELECT a, b, count(*) AS n FROM k GROUP BY 1, 2),
-s AS (SELECT (SELECT sum(n * (n - 1) / 2.0::DOUBLE) FROM j) AS joint,
-  (SELECT sum(m * (m - 1) / 2.0::DOUBLE) FROM (SELECT sum(n) AS m FROM j GROUP BY a)) AS pa,
-  (SELECT sum(m * (m - 1) / 2.0::DOUBLE) FROM (SELECT sum(n) AS m FROM j GROUP BY b)) AS pb, (SELECT sum(n) FROM j) AS n)
-SELECT round((joint - pa * pb / (n * (n - 1) / 2.0)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2.0)), 6) + 0.0 AS ari,
-  n::BIGINT AS n FROM s""")
+@query("A27_adjusted_rand", f"""WITH {_CODES_SQL}, k AS (SELECT block::INT AS block, code[block * 4 + 1 : block * 4 + 2]::VARCHAR AS a, code[block * 4 + 3 : block * 4 + 4]::VARCHAR AS b
+  FROM codes, range(16) r(block)), j AS (SELECT block, a, b, count(*) AS n FROM k GROUP BY ALL),
+jj AS (SELECT block, sum({_PAIRS2}) AS joint, sum(n) AS n FROM j GROUP BY 1),
+aa AS (SELECT block, sum({_PAIRS2}) AS pa FROM (SELECT block, a, sum(n) AS n FROM j GROUP BY ALL) GROUP BY 1),
+bb AS (SELECT block, sum({_PAIRS2}) AS pb FROM (SELECT block, b, sum(n) AS n FROM j GROUP BY ALL) GROUP BY 1)
+SELECT block, round((joint - pa * pb / (n * (n - 1) / 2.0)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2.0)), 6) + 0.0 AS ari,
+  n::BIGINT AS n FROM jj JOIN aa USING (block) JOIN bb USING (block)""")
 def adjusted_rand(spark, sf):
-    k = codes(spark, sf).select(F.slice("code", 1, 2).alias("a_code"), F.slice("code", 3, 2).alias("b_code"))
-    return rounded(AG.adjusted_rand(k, "a_code", "b_code"), "ari")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(F.slice("code", i * 4 + 1, F.lit(2)).alias("a"), F.slice("code", i * 4 + 3, F.lit(2)).alias("b")))
+    k = codes(spark, sf).select(F.posexplode(cut).alias("block", "s")).select("block", "s.a", "s.b")
+    return rounded(AG.adjusted_rand(k, "a", "b", ["block"]), "ari")
 
 
 @query("A28_terciles", """WITH q AS (SELECT quantile_cont(l_extendedprice, 1.0::DOUBLE / 3) AS q1, quantile_cont(l_extendedprice, 2.0::DOUBLE / 3) AS q2

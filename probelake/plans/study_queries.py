@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from probelake.functions.hashing import gaussian_sql
 from probelake import constants as K
+from probelake.functions.hashing import gaussian_sql
+from probelake.functions.scalars import ternary_code
+from probelake.operators import agreement as AG
 from probelake.operators import coherence as CO
 from probelake.operators import neighbors as NN
 from probelake.operators import regressors as RG
@@ -16,7 +18,7 @@ from probelake.operators import splits as SP
 from probelake.operators import stats as ST_
 from probelake.operators import verdicts as VD
 from probelake.plans import standins as ST
-from probelake.plans.alignment_queries import codes
+from probelake.plans.alignment_queries import CKA_SQL, run_latents, run_neighbors
 from probelake.plans.registry import query, r6, rounded, table
 from probelake.plans.stat_queries import RUNS_SQL, runs
 from probelake.session import durable
@@ -183,10 +185,31 @@ def knn_gain(spark, sf):
     return rounded(SC.gain(pred.where("split = 'test'").unionByName(pred.where("split = 'train'")), "y", "prediction").select("gain"), "gain", digits=4)
 
 
+def wide_oracle_rows(spark, sf):
+    """The oracle rows with six more target entries, and two feature sets of one column."""
+    a, c, d = (F.col("essence")[i] for i in range(3))
+    y = F.concat("y", F.array(a * a, c * c, a * d, c * d, d * d, a * c * d))
+    return oracle_rows(spark, sf).withColumns({"y": y, "size": F.array(a), "price": F.array(c)})
+
+
 @query("M3_oracle_report")
 def oracle_report(spark, sf):
     arms = {"shape": ("shape", 6), "essence": ("essence", 3), "shape_appearance": ("shape_appearance", 8), "shape_essence": ("shape_essence", 9)}
-    return RG.oracle_report(oracle_rows(spark, sf), arms, "y")
+    return RG.oracle_report(wide_oracle_rows(spark, sf), arms, "y")
+
+
+@query("M3_field_contributions", f"""WITH {_ORACLE_SQL}, w AS (SELECT id, test, a, c, unnest(range(8)) AS pos, unnest([y0, y1, a * a, c * c, a * d, c * d, d * d, a * c * d]) AS y FROM o),
+x AS (SELECT 'size' AS arm, pos, test, a AS x, y FROM w UNION ALL SELECT 'price', pos, test, c, y FROM w),
+m AS (SELECT arm, pos, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS cxy, count(*) AS n FROM x WHERE NOT test GROUP BY ALL),
+g AS (SELECT arm, pos, avg(pow(y - my, 2)) / greatest(avg(pow(y - (my + cxy / sx * n / (n + 0.001::DOUBLE) * (x - mx) / sx), 2)), 1e-12) AS gain
+  FROM x JOIN m USING (arm, pos) WHERE test GROUP BY ALL),
+r AS (SELECT p.pos, s.gain AS base_gain, p.gain, p.gain - s.gain AS delta FROM g p JOIN g s USING (pos) WHERE p.arm = 'price' AND s.arm = 'size')
+SELECT 'price' AS arm, row_number() OVER (ORDER BY delta DESC, pos)::INT AS rank, pos::INT AS pos, round(base_gain, 5) + 0.0 AS base_gain, round(gain, 5) + 0.0 AS gain,
+round(delta, 5) + 0.0 AS delta FROM r QUALIFY rank <= 6""")
+def field_contributions(spark, sf):
+    """The six target entries that gain most from the price beyond the size, by linear ridge."""
+    fields = RG.arm_fields(wide_oracle_rows(spark, sf), {"size": ("size", 1), "price": ("price", 1)}, "y", regressors=("ridge-linear",))
+    return rounded(RG.field_contributions(fields, "size"), "base_gain", "gain", "delta", digits=5)
 
 
 @query("M4_quantize")
@@ -223,12 +246,12 @@ def fresh_head_ceiling(spark, sf):
 
 
 @query("M7_aux_weight_report", f"""WITH {RUNS_SQL} SELECT arm AS weight, count(DISTINCT seed) AS n, round(avg(value), 6) + 0.0 AS behavior_gain_mean,
-round(stddev_pop(value), 6) + 0.0 AS behavior_gain_sd, round(avg(value) * 2, 6) + 0.0 AS essence_gain_mean FROM runs GROUP BY arm""")
+round(stddev_pop(value), 6) + 0.0 AS behavior_gain_sd, round(avg(value) * 2, 6) + 0.0 AS essence_gain_mean, round(avg(value * value), 6) + 0.0 AS render_mse_mean,
+round(avg(1 - value / 3), 6) + 0.0 AS appearance_r2_mean FROM runs GROUP BY arm""")
 def aux_weight_report(spark, sf):
     g = runs(spark, sf).select(F.col("arm").alias("weight"), "seed", F.col("value").alias("behavior_gain"), (F.col("value") * 2).alias("essence_gain"),
-                               F.lit(0.1).alias("render_mse"), F.lit(0.5).alias("appearance_r2"))
-    out = RG.aux_weight_report(g).drop("render_mse_mean", "appearance_r2_mean")
-    return rounded(out, "behavior_gain_mean", "behavior_gain_sd", "essence_gain_mean")
+                               (F.col("value") * F.col("value")).alias("render_mse"), (1 - F.col("value") / 3).alias("appearance_r2"))
+    return rounded(RG.aux_weight_report(g), "behavior_gain_mean", "behavior_gain_sd", "essence_gain_mean", "render_mse_mean", "appearance_r2_mean")
 
 
 @query("M8_headroom_gate", f"""WITH {_GAIN_SQL} SELECT arm, CASE WHEN gain < 1.10 THEN 'UNPREDICTABLE' WHEN gain > 1.331 THEN 'GONE' ELSE 'INTACT' END AS verdict FROM c""")
@@ -252,45 +275,94 @@ def present_mask(spark, sf):
 # ---------------------------------------------------------------- reports
 # eight slice runs: two arms, each with two trained and two untrained runs
 _KINDS = [(arm, kind, seed) for arm in ("base", "loud") for kind in ("trained", "untrained") for seed in (0, 1)]
+_FLOOR = 6.0  # participation ratio under which a trained 8-wide run is left out
 _REPORT_SQL = f"""runs AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{a}', '{k}', {s})" for i, (a, k, s) in enumerate(_KINDS))}) v(run_id, arm, kind, seed)),
 slices AS (SELECT i AS run_id, vec_id, list_transform(embedding[i * 8 + 1 : i * 8 + 8], lambda v: v::DOUBLE) AS z FROM embeddings, range(8) r(i)),
-nn AS (SELECT * FROM (SELECT a.run_id, a.vec_id AS id, b.vec_id AS neighbor,
-  row_number() OVER (PARTITION BY a.run_id, a.vec_id ORDER BY list_distance(a.z, b.z), b.vec_id) AS rank
-  FROM slices a JOIN slices b ON a.run_id = b.run_id AND a.vec_id <> b.vec_id) WHERE rank <= 5),
-hits AS (SELECT a.run_id AS run_a, b.run_id AS run_b, count(*) AS h FROM nn a JOIN nn b ON a.id = b.id AND a.neighbor = b.neighbor AND a.run_id < b.run_id GROUP BY 1, 2),
-n AS (SELECT count(*) AS n FROM embeddings),
-pairs AS (SELECT a.arm AS arm_a, b.arm AS arm_b, a.kind AS kind_a, b.kind AS kind_b, a.seed AS sa, b.seed AS sb, coalesce(h, 0) / (n * 5.0::DOUBLE) AS knn
-  FROM runs a JOIN runs b ON a.run_id < b.run_id LEFT JOIN hits ON run_a = a.run_id AND run_b = b.run_id, n),
-rep AS (SELECT arm_a AS arm, avg(knn) FILTER (kind_a = 'trained') AS t, avg(knn) FILTER (kind_a = 'untrained') AS u FROM pairs WHERE arm_a = arm_b AND kind_a = kind_b GROUP BY 1
-  UNION ALL SELECT arm_a || '|' || arm_b, avg(knn), NULL FROM pairs WHERE arm_a < arm_b AND kind_a = 'trained' AND kind_b = 'trained' AND sa <> sb GROUP BY 1),
-pl AS (SELECT vec_id, row_number() OVER (ORDER BY md5('2026|' || vec_id)) AS p FROM embeddings),
-shuf AS (SELECT count(*) AS h FROM nn a JOIN pl x ON x.vec_id = a.id JOIN n ON true JOIN pl y ON y.p = (x.p + n.n - 2) % n.n + 1
-  JOIN nn b ON b.id = y.vec_id AND b.neighbor = a.neighbor AND b.run_id = 0 WHERE a.run_id = 0)"""
-
-
-@query("M13_alignment_report", f"""WITH {_REPORT_SQL} SELECT arm, round(t, 6) + 0.0 AS trained, round(u, 6) + 0.0 AS untrained, round(t - u, 6) + 0.0 AS learned,
-round((SELECT count(*) FROM nn a JOIN nn b USING (run_id, id, neighbor) WHERE a.run_id = 0) / (n * 5.0::DOUBLE), 6) + 0.0 AS self_overlap, round(h / (n * 5.0::DOUBLE), 6) + 0.0 AS shuffle, round(5.0::DOUBLE / (n - 1), 6) + 0.0 AS chance FROM rep, shuf, n""")
+pops(population, step) AS (VALUES ('all', 1), ('test', 5)),
+nn AS (SELECT * FROM (SELECT population, a.run_id, a.vec_id AS id, b.vec_id AS neighbor,
+  row_number() OVER (PARTITION BY population, a.run_id, a.vec_id ORDER BY list_distance(a.z, b.z), b.vec_id) AS rank
+  FROM pops JOIN slices a ON a.vec_id % step = 0 JOIN slices b ON b.vec_id % step = 0 AND a.run_id = b.run_id AND a.vec_id <> b.vec_id) WHERE rank <= 5),
+hits AS (SELECT population, a.run_id AS run_a, b.run_id AS run_b, count(*) AS h FROM nn a JOIN nn b USING (population, id, neighbor) WHERE a.run_id < b.run_id GROUP BY ALL),
+n AS (SELECT population, count(*) AS n FROM pops JOIN embeddings ON vec_id % step = 0 GROUP BY 1),
+{CKA_SQL},
+ratio AS (SELECT run_id, pow(sum(v), 2) / (sum(v * v) + 1e-12) AS pr FROM (SELECT run_id, dim, var_pop(v) AS v FROM entries GROUP BY ALL) GROUP BY 1),
+used AS (SELECT runs.* FROM runs JOIN ratio USING (run_id) WHERE kind = 'untrained' OR pr >= {_FLOOR}),
+pairs AS (SELECT CASE WHEN a.arm = b.arm THEN a.arm ELSE a.arm || '|' || b.arm END AS arm, a.kind, a.run_id AS run_a, b.run_id AS run_b FROM used a JOIN used b ON a.kind = b.kind
+  AND (a.arm = b.arm AND a.run_id < b.run_id OR a.arm < b.arm AND a.seed <> b.seed)),
+knn AS (SELECT n.population, arm, kind, coalesce(h, 0) / (n * 5.0::DOUBLE) AS knn, CASE WHEN n.population = 'all' AND arm NOT LIKE '%|%' THEN cka END AS cka
+  FROM n, pairs LEFT JOIN pc USING (run_a, run_b) LEFT JOIN hits ON hits.run_a = pairs.run_a AND hits.run_b = pairs.run_b WHERE hits.population = n.population),
+rep AS (SELECT population, arm, avg(knn) FILTER (kind = 'trained') AS t, avg(knn) FILTER (kind = 'untrained') AS u,
+  avg(cka) FILTER (kind = 'trained') AS ct, avg(cka) FILTER (kind = 'untrained') AS cu FROM knn GROUP BY ALL),
+firsts AS (SELECT arm, min(run_id) AS run_id FROM used WHERE kind = 'trained' GROUP BY 1),
+pl AS (SELECT vec_id, row_number() OVER (ORDER BY md5('2026|' || vec_id)) AS p, count(*) OVER () AS m FROM embeddings),
+gate AS (SELECT 'all' AS population, arm, max(x.m) AS m, count(*) FILTER (b.id = a.id) AS own, count(*) FILTER (b.id = y.vec_id) AS h FROM firsts JOIN nn a ON a.run_id = firsts.run_id AND a.population = 'all'
+  JOIN pl x ON x.vec_id = a.id JOIN pl y ON y.p = (x.p + x.m - 2) % x.m + 1
+  JOIN nn b ON b.population = 'all' AND b.run_id = a.run_id AND b.neighbor = a.neighbor AND (b.id = a.id OR b.id = y.vec_id) GROUP BY ALL)"""
+
+
+@query("M13_alignment_report", f"""WITH {_REPORT_SQL} SELECT rep.population, rep.arm, round(t, 6) + 0.0 AS trained, round(u, 6) + 0.0 AS untrained, round(t - u, 6) + 0.0 AS learned,
+round(ct, 6) + 0.0 AS trained_cka, round(cu, 6) + 0.0 AS untrained_cka, (SELECT count(*) FROM runs WHERE runs.arm = rep.arm AND run_id NOT IN (SELECT run_id FROM used)) AS n_dropped,
+round(own / (m * 5.0::DOUBLE), 6) + 0.0 AS self_overlap, round(h / (m * 5.0::DOUBLE), 6) + 0.0 AS shuffle, round(5.0::DOUBLE / (m - 1), 6) + 0.0 AS chance
+FROM rep LEFT JOIN gate USING (population, arm)""")
 def alignment_report(spark, sf):
-    """Pair alignment per arm, learned alignment and the shuffle gate, over eight slice runs."""
-    tables = None
-    for i in range(8):
-        z = F.transform(F.slice("embedding", i * 8 + 1, 8), lambda v: v.cast("double"))
-        nn = NN.knn(table(spark, sf, "embeddings").select("vec_id", z.alias("z")), 5, id_col="vec_id")
-        nn = nn.select(F.lit(i).cast("bigint").alias("run_id"), "id", "neighbor")
-        tables = nn if tables is None else tables.unionByName(nn)
-    tables = durable(tables)  # read once per arm, per cross pair and by the shuffle gate
+    """Neighbour and kernel alignment per arm and pair of arms, over all rows and over test rows, with the gates."""
+    test = F.col("id") % 5 == 0
+    tables = durable(run_neighbors(spark, sf, [("all", F.lit(True)), ("test", test)]).select("population", "run_id", "id", "neighbor"))  # read by every measure
     cells = [F.struct(F.lit(i).cast("bigint").alias("run_id"), F.lit(a).alias("arm"), F.lit(k).alias("kind"), F.lit(s).alias("seed"))
              for i, (a, k, s) in enumerate(_KINDS)]
     registry = tables.select("run_id").distinct().join(
         F.broadcast(spark.range(1).select(F.explode(F.array(*cells)).alias("r")).select("r.*")), "run_id")  # eight rows
-    return rounded(RP.alignment_report(tables, registry, 5), "trained", "untrained", "learned", "self_overlap", "shuffle", "chance")
+    out = RP.alignment_report(tables, registry, 5, latents=run_latents(spark, sf), floor=_FLOOR).fillna(0, ["n_dropped"])
+    return rounded(out, "trained", "untrained", "learned", "trained_cka", "untrained_cka", "self_overlap", "shuffle", "chance")
+
+
+# eight runs of 8-digit codes, and factors of a scene from the part of the same number
+_RUN_CODES_SQL = """codes AS (SELECT i AS run_id, vec_id, label, list_transform(embedding[i * 8 + 1 : i * 8 + 8], lambda v: CAST(round_even(tanh(8 * v::DOUBLE), 0) AS INTEGER)) AS code
+  FROM embeddings, range(8) r(i))"""
+_MEASURED = {"density": "p_retailprice", "friction": "p_size", "roughness": "length(p_name)::DOUBLE"}
+
+
+def run_codes(spark, sf):
+    """(vec_id, run_id, code, label, density, friction, roughness)."""
+    h = run_latents(spark, sf).select(F.col("id").alias("vec_id"), "run_id", ternary_code(F.transform("z", lambda v: v * 8)).alias("code"))
+    scene = table(spark, sf, "embeddings").select("vec_id", "label")
+    part = table(spark, sf, "part").select((F.col("p_partkey") - 1).alias("vec_id"), F.col("p_retailprice").cast("double").alias("density"),
+                                           F.col("p_size").cast("double").alias("friction"), F.length("p_name").cast("double").alias("roughness"))
+    return h.join(scene.join(part, "vec_id", "left"), "vec_id")
 
 
 @query("M14_code_report")
 def code_report(spark, sf):
-    c = codes(spark, sf)
-    long = c.select("vec_id", "label", F.posexplode(F.array("c1", "c2", "c3")).alias("run_id", "code"))
-    return RP.code_report(long, "vec_id", "run_id", "code", {"shape": "label"}, draws=200)
+    return RP.code_report(durable(run_codes(spark, sf)), "vec_id", "run_id", "code", ["label"], list(_MEASURED), width=8, draws=200)
+
+
+@query("M14_code_ari", f"""WITH {_RUN_CODES_SQL}, k AS (SELECT a.run_id || '|' || b.run_id AS item, w AS width, a.code[1:w]::VARCHAR AS a, b.code[1:w]::VARCHAR AS b
+  FROM codes a JOIN codes b ON a.vec_id = b.vec_id AND a.run_id < b.run_id, (VALUES (1), (2), (4), (8)) v(w)),
+j AS (SELECT item, width, a, b, count(*) AS n FROM k GROUP BY ALL), jj AS (SELECT item, width, sum(n * (n - 1) / 2.0::DOUBLE) AS s, sum(n) AS n FROM j GROUP BY ALL),
+aa AS (SELECT item, width, sum(n * (n - 1) / 2.0::DOUBLE) AS pa FROM (SELECT item, width, a, sum(n) AS n FROM j GROUP BY ALL) GROUP BY ALL),
+bb AS (SELECT item, width, sum(n * (n - 1) / 2.0::DOUBLE) AS pb FROM (SELECT item, width, b, sum(n) AS n FROM j GROUP BY ALL) GROUP BY ALL)
+SELECT item, width, round((s - pa * pb / (n * (n - 1) / 2.0)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2.0)), 6) + 0.0 AS ari, n::BIGINT AS n
+FROM jj JOIN aa USING (item, width) JOIN bb USING (item, width)""")
+def code_ari(spark, sf):
+    cells = RP.code_cells(run_codes(spark, sf), "vec_id", "run_id", "code")
+    return rounded(AG.adjusted_rand_by_width(cells, (1, 2, 4, 8), ["item"]), "ari")
+
+
+_FACTOR_SQL = " UNION ALL ".join(
+    f"SELECT vec_id, '{f}' AS factor, ((v > quantile_cont(v, 1.0::DOUBLE / 3) OVER ())::INT + (v > quantile_cont(v, 2.0::DOUBLE / 3) OVER ())::INT)::VARCHAR AS label FROM (SELECT vec_id, {c} AS v FROM scenes) WHERE v IS NOT NULL"
+    for f, c in _MEASURED.items())
+
+
+@query("M14_code_information", f"""WITH {_RUN_CODES_SQL}, scenes AS (SELECT vec_id, part.* FROM embeddings LEFT JOIN part ON p_partkey = vec_id + 1),
+labels AS ({_FACTOR_SQL} UNION ALL SELECT vec_id, 'label', label::VARCHAR FROM embeddings),
+d AS (SELECT run_id::VARCHAR AS item, vec_id, unnest(range(8))::INT AS entry, unnest(code) AS c FROM codes),
+j AS (SELECT item, entry, factor, labels.label AS a, c AS b, count(*)::DOUBLE AS n FROM d JOIN labels USING (vec_id) GROUP BY ALL),
+m AS (SELECT *, sum(n) OVER (PARTITION BY item, entry, factor) AS t, sum(n) OVER (PARTITION BY item, entry, factor, a) AS na, sum(n) OVER (PARTITION BY item, entry, factor, b) AS nb FROM j)
+SELECT item, entry, factor, round(sum(n / t * ln(n * t / (na * nb))), 6) + 0.0 AS value FROM m GROUP BY ALL""")
+def code_information(spark, sf):
+    c = durable(run_codes(spark, sf))
+    labels = RP.scene_labels(c, "vec_id", ["label"], list(_MEASURED))
+    return rounded(RP.code_information(c, "run_id", "code", labels, "vec_id", 8), "value")
 
 
 @query("M15_arm_report", f"""WITH {RUNS_SQL}, a AS (SELECT arm, avg(value) AS gain_mean, min(value) AS pr_min FROM runs GROUP BY arm),
