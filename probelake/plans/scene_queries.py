@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from probelake import constants as K
@@ -11,10 +13,11 @@ from probelake.operators import verdicts as VD
 from probelake.plans import standins as ST
 from probelake.plans.catalog_queries import LISTINGS_SQL, listings
 from probelake.plans.registry import query, r6, rounded, table
-from probelake.session import scratch_path
+from probelake.session import durable, scratch_path
 from probelake.sources import catalogs as CS
 from probelake.sources import runs as RS
 from probelake.sources import scenes as SS
+from probelake.sources.files import write_files
 
 SHAPES = tuple(s[0] for s in K.SHAPE_GEOMETRY)
 NAMES = tuple(m[0] for m in K.MATERIALS)
@@ -64,41 +67,69 @@ def build_scene_record(spark, sf):
     return _flat(scenes(spark, sf))
 
 
-@query("S15_write_scenes", f"WITH {ST.FRAMES_SQL}, {SCENES_SQL} {_FLAT_SQL} WHERE split = 'test'")
+@query("S15_write_scenes", f"WITH {ST.FRAMES_SQL}, {SCENES_SQL} {_FLAT_SQL}")
 def write_scenes(spark, sf):
+    """All splits of a set written as tables, each read on its own."""
     root = scratch_path(spark, "scenes")
     SS.write_scenes(scenes(spark, sf), root)
-    return _flat(SS.read_records(spark, root, "test"))
+    return _flat(SS.read_records(spark, root, "test")).unionByName(_flat(SS.read_records(spark, root, "train")))
+
+
+def _manifest(records):
+    return R.build_manifest(records, "standin", {"kind": "extrapolation", **K.REGION_PRESETS["extrapolation"]})
 
 
 def _written_set(spark, sf, fmt="parquet"):
-    """A written scene set: records, and a header and index made from the written records."""
+    """A set as tables: records, and a header and index made from the written records."""
     root = scratch_path(spark, "set")
     SS.write_scenes(scenes(spark, sf), root, fmt)
-    records = SS.read_records(spark, root, fmt=fmt)
-    header, index = R.build_manifest(records, "standin", {"kind": "extrapolation", **K.REGION_PRESETS["extrapolation"]})
-    SS.write_manifest(header, index, root)
+    SS.write_manifest(*_manifest(SS.read_records(spark, root, fmt=fmt)), root)
+    return root
+
+
+def _filed_set(spark, sf):
+    """A set as files: one sample.json for each scene and one manifest.json."""
+    root = scratch_path(spark, "files")
+    rows = durable(scenes(spark, sf))
+    SS.write_scene_files(rows, *_manifest(rows), root)
     return root
 
 
 @query("S1_scene_index", f"WITH {ST.FRAMES_SQL}, {SCENES_SQL} SELECT scene_id, split, shape, material FROM scenes")
 def scene_index(spark, sf):
+    return SS.read_manifest(spark, _filed_set(spark, sf))
+
+
+@query("S1_index_table", f"WITH {ST.FRAMES_SQL}, {SCENES_SQL} SELECT scene_id, split, shape, material FROM scenes")
+def index_table(spark, sf):
     return SS.read_index(spark, _written_set(spark, sf))
 
 
-@query("S16_manifest", f"""WITH {ST.FRAMES_SQL}, {SCENES_SQL} SELECT 2 AS version, 'standin' AS generator, count(*) AS n_scenes,
-count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split <> 'test') AS n_train, 0.55::DOUBLE AS density_lo FROM scenes""")
-def manifest(spark, sf):
-    h = SS.read_header(spark, _written_set(spark, sf))
+_HEADER_SQL = f"""WITH {ST.FRAMES_SQL}, {SCENES_SQL} SELECT 2 AS version, 'standin' AS generator, count(*) AS n_scenes,
+count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split <> 'test') AS n_train, 0.55::DOUBLE AS density_lo FROM scenes"""
+
+
+def _header(h):
     s = F.col("split_summary")
     return h.select("version", "generator", s["n_scenes"].alias("n_scenes"), s["n_test"].alias("n_test"), s["n_train"].alias("n_train"),
                     F.col("holdout_region.density")[0].alias("density_lo"))
 
 
-@query("S2_read_scenes", f"WITH {ST.FRAMES_SQL}, {SCENES_SQL} {_FLAT_SQL} WHERE split = 'train'")
+@query("S16_manifest", _HEADER_SQL)
+def manifest(spark, sf):
+    return _header(SS.read_header(spark, _written_set(spark, sf)))
+
+
+@query("S16_manifest_file", _HEADER_SQL)
+def manifest_file(spark, sf):
+    return _header(SS.read_manifest_header(spark, _filed_set(spark, sf)))
+
+
+@query("S2_read_scenes", f"WITH {ST.FRAMES_SQL}, {SCENES_SQL} {_FLAT_SQL}")
 def read_scenes(spark, sf):
-    root = _written_set(spark, sf)
-    return _flat(SS.join_manifest(SS.read_index(spark, root), SS.read_records(spark, root, fmt="parquet"), "train"))
+    """Both splits of a set of files, each asked for on its own."""
+    root = _filed_set(spark, sf)
+    return _flat(SS.read_scenes(spark, root, "train", "error")).unionByName(_flat(SS.read_scenes(spark, root, "test")))
 
 
 @query("J1_manifest_join", """SELECT o_orderkey::VARCHAR AS scene_id, coalesce(o_orderstatus, 'none') AS split, count(*) AS n FROM orders
@@ -112,9 +143,7 @@ def manifest_join(spark, sf):
 
 @query("S3_scan_scenes", f"WITH {ST.FRAMES_SQL}, {SCENES_SQL} {_FLAT_SQL}")
 def scan_scenes(spark, sf):
-    root = scratch_path(spark, "scan")
-    SS.write_scenes(scenes(spark, sf), root)
-    return _flat(SS.read_records(spark, root))
+    return _flat(SS.scan_scene_glob(spark, _filed_set(spark, sf)))
 
 
 @query("S4_read_listings", f"WITH {LISTINGS_SQL} SELECT model_id, round(kg, 8) + 0.0 AS kg, category FROM models")
@@ -141,34 +170,51 @@ def view_files(spark, sf):
     return v.select("o_orderkey", F.col("v")[0].alias("first"), F.element_at("v", -1).alias("last"), F.size("v").alias("n"))
 
 
-@query("S13_scan_runs", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN -1 ELSE o_orderkey % 100 END::INT AS seed,
-CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 10 + 0.5::DOUBLE END AS weight,
-CASE WHEN o_orderkey % 4 = 1 THEN 'aw' || (o_orderkey % 10) || 'p5' WHEN o_orderkey % 4 <> 3 THEN 'g15_cont' END AS tag FROM orders""")
+# run folders: one for each nation and market segment, named in three ways
+_RUN_DIMS = """(SELECT c_nationkey AS nation, c_mktsegment AS segment, avg(c_acctbal) AS balance, count(*) AS n,
+dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS k FROM customer GROUP BY 1, 2)"""
+_RUN_PATH_SQL = """CASE k % 3 WHEN 0 THEN 'aw' || (nation % 10) || 'p5_s' || (nation + 100 * k) WHEN 1 THEN 'g15_cont_s' || (nation + 100 * k) ELSE 'other-' || nation || '-' || k END"""
+
+
+def _run_folders(spark, sf):
+    """Checkpoint and metrics file of every run, written below a fresh folder."""
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(
+        F.avg("c_acctbal").alias("balance"), F.count(F.lit(1)).alias("n"))
+    segments = c.select("segment").distinct().select("segment", (F.row_number().over(Window.orderBy("segment")) - 1).alias("k"))  # five names
+    runs = c.join(F.broadcast(segments), "segment")
+    seed = (F.col("nation") + 100 * F.col("k")).cast("string")
+    name = (F.when(F.col("k") % 3 == 0, F.concat(F.lit("aw"), (F.col("nation") % 10).cast("string"), F.lit("p5_s"), seed))
+            .when(F.col("k") % 3 == 1, F.concat(F.lit("g15_cont_s"), seed)).otherwise(F.concat_ws("-", F.lit("other"), "nation", "k")))
+    history = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct((i * 10).alias("step"), (F.col("balance") / (i + 1)).alias("train")))
+    doc = F.to_json(F.struct(F.struct(F.col("nation").alias("seed"), F.lit(32).alias("latent_dim"), F.lit("new").alias("unknown_knob")).alias("config"), history.alias("history"), F.lit(1).alias("unknown")))
+    files = F.array(F.struct(F.lit("/model.safetensors").alias("f"), F.col("n").cast("string").alias("content")), F.struct(F.lit("/metrics.json").alias("f"), doc.alias("content")))
+    root = scratch_path(spark, "runs")
+    write_files(runs.select(name.alias("name"), F.inline(files)).select(F.concat("name", "f").alias("rel_path"), "content"), root)
+    return root
+
+
+@query("S13_scan_runs", f"""SELECT {_RUN_PATH_SQL} AS run, CASE WHEN k % 3 < 2 THEN nation + 100 * k ELSE -1 END::INT AS seed,
+CASE WHEN k % 3 = 0 THEN nation % 10 + 0.5::DOUBLE END AS weight, CASE k % 3 WHEN 0 THEN 'aw' || (nation % 10) || 'p5' WHEN 1 THEN 'g15_cont' END AS tag FROM {_RUN_DIMS}""")
 def scan_runs(spark, sf):
-    k = F.col("o_orderkey")
-    s = (k % 100).cast("string")
-    path = (F.when(k % 4 == 1, F.concat(F.lit("runs/aw"), (k % 10).cast("string"), F.lit("p5_s"), s, F.lit("/model.safetensors")))
-            .when(k % 4 == 3, F.lit("runs/other/model.safetensors")).otherwise(F.concat(F.lit("runs/f/g15_cont_s"), s, F.lit("/model.safetensors"))))
-    return RS.parse_run_paths(table(spark, sf, "orders").select("o_orderkey", path.alias("path"))).select("o_orderkey", "seed", "weight", "tag")
+    found = RS.scan_runs(spark, _run_folders(spark, sf))
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("run"), "seed", "weight", "tag")
 
 
-@query("S14_run_metrics", """SELECT (c_nationkey)::INT AS seed, pos::INT AS entry, (pos * 10)::INT AS step, round(v, 6) + 0.0 AS train FROM (
-SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) - 1 AS pos, avg(c_acctbal) AS v FROM customer GROUP BY 1, c_mktsegment)""")
-def run_metrics(spark, sf):
-    c = table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("v"))
-    history = F.array_sort(F.collect_list(F.struct("c_mktsegment", "v")))  # one entry per segment
-    docs = c.groupBy("c_nationkey").agg(history.alias("h")).select(
-        F.struct(F.col("c_nationkey").alias("seed"), F.lit(1).alias("unknown_knob")).alias("config"),
-        F.transform("h", lambda e, i: F.struct((i * 10).alias("step"), e["v"].alias("train"))).alias("history"))
-    path = scratch_path(spark, "metrics")
-    docs.write.json(path)
-    from probelake import schemas
+@query("S13_pruned_runs", f"""SELECT {_RUN_PATH_SQL} AS run, (nation + 100 * k)::INT AS seed, nation % 10 + 0.5::DOUBLE AS weight
+FROM {_RUN_DIMS} WHERE k % 3 = 0 AND nation + 100 * k IN (3, 4, 13, 303, 313) AND nation % 10 = 3""")
+def pruned_runs(spark, sf):
+    """Only the folders of some seeds and one weight are listed."""
+    found = RS.scan_runs(spark, _run_folders(spark, sf), seeds=(3, 4, 13, 303, 313), weights=(3.5,))
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("run"), "seed", "weight")
+
 
-    doc = spark.read.schema(schemas.RUN_METRICS).json(path)
-    return rounded(doc.select("config.seed", F.posexplode("history").alias("entry", "h")).select("seed", "entry", "h.step", "h.train"), "train")
+@query("S14_run_metrics", f"""SELECT {_RUN_PATH_SQL} AS run, nation::INT AS seed, 32 AS latent_dim, i::INT AS entry, (i * 10)::INT AS step, round(balance / (i + 1), 6) + 0.0 AS train,
+CASE WHEN k % 3 = 0 THEN nation % 10 + 0.5::DOUBLE END AS path_weight FROM {_RUN_DIMS}, range(3) r(i)""")
+def run_metrics(spark, sf):
+    found = RS.read_run_metrics(spark, f"{_run_folders(spark, sf)}/*/metrics.json")
+    return rounded(found.select(F.element_at(F.split("path", "/"), -2).alias("run"), "seed", "latent_dim", "entry", "step", "train", "path_weight"), "train")
 
 
-# ---------------------------------------------------------------- record builders
 @query("P1_build_frame", """SELECT event_id, event_type || '.png' AS file, round(value, 6) + 0.0 AS x, (event_id % 3)::DOUBLE AS look FROM events""")
 def build_frame(spark, sf):
     f = R.build_frame("event_id", F.concat("event_type", F.lit(".png")), F.array("value", F.lit(0.0)), F.array(F.col("event_id") % 3))
@@ -429,8 +475,87 @@ def ordered_map(spark, sf):
                        "o_orderkey bigint, result double", ["o_orderkey"]), "result")
 
 
+@query("D2_ordered_map", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) + 0.0 AS result, count(*) OVER () AS n_reported FROM lineitem""")
+def ordered_map_with_progress(spark, sf):
+    """A user function over all lines; ``n_reported`` is the last count of finished rows that the callback got."""
+    from probelake.operators.apply import ordered_map_with_progress as run
+
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+    seen = [0]
+    out = run(li, lambda pdf: pdf.assign(result=pdf["l_extendedprice"] * (1 - pdf["l_discount"]))[["l_orderkey", "l_linenumber", "result"]],
+              "l_orderkey bigint, l_linenumber int, result double", seen.append)
+    return rounded(out.withColumn("n_reported", F.lit(seen[-1]).cast("bigint")), "result", digits=4)
+
+
 @query("U1_union_sources", "SELECT source, count(*) AS n FROM (SELECT 'orders' AS source FROM orders UNION ALL SELECT 'part' FROM part) GROUP BY 1")
 def union_sources(spark, sf):
     a = table(spark, sf, "orders").select(F.lit("orders").alias("source"))
     b = table(spark, sf, "part").select(F.lit("part").alias("source"))
     return a.unionByName(b).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- images
+# two 8 x 8 views of every embedding, as PNG files: channel c of pixel i of view j is entry (i + 7 j + 21 c) mod 64
+_PIXELS_SQL = """px AS (SELECT vec_id AS scene_id, j AS view, i * 3 + c AS pos, i // 8 AS y, i % 8 AS x, c,
+  floor(greatest(0.0, least(255.0, (embedding[(i + 7 * j + 21 * c) % 64 + 1]::DOUBLE * 2 + 1) * 127.5))) AS byte FROM embeddings, range(2) a(j), range(64) b(i), range(3) d(c))"""
+
+
+def _png(levels, side=8):
+    """An RGB image file of side x side levels (0 to 255, row by row)."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    data = np.asarray(levels, np.uint8).tobytes()
+    rows = b"".join(b"\x00" + data[y * side * 3:(y + 1) * side * 3] for y in range(side))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", side, side, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def _image_files(spark, sf):
+    """Scenes with frames, and the folder their views were written to."""
+    entry = lambda j, i, c: F.get("embedding", ((i + 7 * j + 21 * c) % 64).cast("int")).cast("double")
+    level = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (v * 2 + 1) * 127.5))).cast("int")
+    image = lambda j: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(*[level(entry(j, i, c)) for c in range(3)])))
+    views = F.array(*[F.struct(F.lit(j).alias("view"), image(j).alias("levels")) for j in range(2)])
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("scene_id"), F.inline(views))
+
+    def encode(batches):
+        for pdf in batches:
+            yield pdf.assign(content=[_png(x) for x in pdf["levels"]])[["scene_id", "view", "content"]]
+
+    encoded = rows.mapInPandas(encode, "scene_id string, view int, content binary")
+    root = scratch_path(spark, "images")
+    write_files(encoded.select(F.format_string("%s/renders/view_%03d.png", "scene_id", "view").alias("rel_path"), "content"), root)
+    frames = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.struct(F.format_string("view_%03d.png", i).alias("file")))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("scene_id"), F.struct(frames.alias("frames")).alias("appearance")), root
+
+
+def _views(spark, sf, k=None):
+    scenes_, root = _image_files(spark, sf)
+    pixels = SS.load_pixels(spark, f"{root}/*/renders/*.png").withColumn("scene_id", F.element_at(F.split("path", "/"), -3))
+    listed = SS.explode_views(scenes_, root, k).select("scene_id", "index", F.element_at(F.split("path", "/"), -1).alias("file"))
+    return pixels.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(listed, ["scene_id", "file"])
+
+
+@query("S11_load_views", f"""WITH {_PIXELS_SQL} SELECT scene_id::VARCHAR AS scene_id, view::INT AS index, 8 AS height, 8 AS width, pos::INT AS pos, round(byte / 255, 5) + 0.0 AS value
+FROM px WHERE view = 0""")
+def load_views(spark, sf):
+    """Pixels of the first view of every scene."""
+    v = _views(spark, sf, 1)
+    return v.select("scene_id", "index", "height", "width", F.posexplode("pixels").alias("pos", "value")).select("scene_id", "index", "height", "width", "pos", r6("value", 5).alias("value"))
+
+
+@query("P23_mean_view", f"""WITH {_PIXELS_SQL} SELECT scene_id::VARCHAR AS scene_id, 8 AS height, 8 AS width, pos::INT AS pos, round(avg(byte) / 255, 5) + 0.0 AS value FROM px GROUP BY scene_id, pos""")
+def mean_view(spark, sf):
+    m = SS.mean_view(_views(spark, sf))
+    return m.select("scene_id", "height", "width", F.posexplode("pixels").alias("pos", "value")).select("scene_id", "height", "width", "pos", r6("value", 5).alias("value"))
+
+
+@query("P22_pixel_features", f"""WITH {_PIXELS_SQL}, m AS (SELECT scene_id, y, x, c, avg(byte) / 255 AS v FROM px GROUP BY ALL),
+f AS (SELECT scene_id, c AS pos, avg(v) AS v FROM m GROUP BY ALL UNION ALL SELECT scene_id, 3 + c, stddev_pop(v) FROM m GROUP BY scene_id, c
+  UNION ALL SELECT scene_id, 6 + (y // 2) * 12 + (x // 2) * 3 + c, v FROM m WHERE y % 2 = 0 AND x % 2 = 0)
+SELECT scene_id::VARCHAR AS scene_id, pos::INT AS pos, round(v + 1e-7, 5) + 0.0 AS value FROM f""")
+def pixel_features(spark, sf):
+    f = SS.pixel_features(SS.mean_view(_views(spark, sf)), grid=4)
+    # means of 64 levels can lie halfway between two roundings: both sides step off it
+    return f.select("scene_id", F.posexplode("features").alias("pos", "value")).select("scene_id", "pos", r6(F.col("value") + 1e-7, 5).alias("value"))

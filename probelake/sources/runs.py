@@ -21,9 +21,15 @@ def parse_run_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.withColumn("seed", seed).withColumn("weight", weight).withColumn("tag", tag)
 
 
-def scan_runs(spark: SparkSession, glob: str) -> DataFrame:
-    """Run checkpoints below a glob; file content is never read."""
-    found = spark.read.format("binaryFile").load(glob).select("path", F.col("modificationTime").alias("modified"))
+def scan_runs(spark: SparkSession, root: str, seeds=None, weights=None, name: str = "model.safetensors") -> DataFrame:
+    """Run checkpoints ``<run>/<name>`` below a folder (or a glob of folders), by path; file content is never read.
+
+    Asked ``seeds`` and ``weights`` become part of the glob, so other run folders are not listed.
+    """
+    tail = "" if seeds is None else "_s{" + ",".join(str(int(s)) for s in seeds) + "}"
+    head = "*" if weights is None else "*aw{" + ",".join(f"{w:g}".replace(".", "p") for w in weights) + "}" + ("_s*" if seeds is None else "")
+    pattern = f"{root}/{head}{tail}/{name}"
+    found = spark.read.format("binaryFile").load(pattern).select("path", F.col("modificationTime").alias("modified"))
     return parse_run_paths(found)
 
 
@@ -33,6 +39,10 @@ def weighted_runs(runs: DataFrame) -> DataFrame:
 
 
 def read_run_metrics(spark: SparkSession, paths) -> DataFrame:
-    """Config columns and one row per history entry; unknown config fields are ignored by the schema."""
+    """Path fields, config columns and one row per history entry; unknown config fields are ignored by the schema.
+
+    ``paths`` are files or globs such as ``<root>/*/metrics.json``.
+    """
     doc = spark.read.schema(S.RUN_METRICS).json(paths, multiLine=True).withColumn("path", F.col("_metadata.file_path"))
-    return doc.select("path", "config.*", F.posexplode_outer("history").alias("entry", "h")).select("*", "h.*").drop("h")
+    placed = parse_run_paths(doc.withColumnRenamed("config", "_config").withColumnRenamed("history", "_history")).withColumnsRenamed({"seed": "path_seed", "weight": "path_weight", "tag": "path_tag"})
+    return placed.select("path", "path_seed", "path_weight", "path_tag", "_config.*", F.posexplode_outer("_history").alias("entry", "h")).select("*", "h.*").drop("h")

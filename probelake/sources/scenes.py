@@ -1,18 +1,24 @@
 """Scene sets on disk: manifest, records, views, writers.
 
-A written scene set has ``manifest.json`` (one header record), ``index/`` (one JSON line per scene) and
-``records/split=.../`` (one JSON line or Parquet row per scene). Sets in the one-file-per-scene layout
-(``<scene_id>/sample.json`` with the index inside the manifest) are read too.
+A set is stored in one of two layouts. As tables: ``manifest/`` (one header record), ``index/`` (one JSON line per
+scene) and ``records/split=.../`` (one JSON line or Parquet row per scene). As files: ``manifest.json`` with the index
+inside and ``<scene_id>/sample.json`` for every scene. Tables are for large sets; files are what other tools write.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probelake import schemas as S
 from probelake.functions.scalars import toppled_number
+from probelake.session import durable
+from probelake.sources.files import write_files, write_lines_file
 
 
 def _number_toppled(df: DataFrame) -> DataFrame:
@@ -25,9 +31,23 @@ def _number_toppled(df: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """The scene index of a manifest, one row per scene; a missing file is an error."""
-    doc = spark.read.schema(S.MANIFEST).json(f"{root}/manifest.json", multiLine=True)
-    return doc.select(F.explode("scenes").alias("s")).select("s.*")
+    """The scene index inside ``manifest.json``, one row per scene; a missing file is an error.
+
+    The index is one array, but its entries are flat objects: the file is read in splits that end at closing braces, so
+    a large one is many tasks and never one row. A value with a brace in it is an error, not a lost scene.
+    """
+    ends = spark.read.option("lineSep", "}").text(f"{root}/manifest.json").where(F.col("value").contains("{"))
+    entry = F.from_json(F.concat(F.lit("{"), F.substring_index("value", "{", -1), F.lit("}")), S.MANIFEST_SCENE)
+    torn = entry["scene_id"].isNull() & F.col("value").contains('"scene_id"')
+    message = F.concat(F.lit("manifest entry with a brace in a value: "), F.right("value", F.lit(80)))
+    checked = F.when(torn, F.raise_error(message).cast(S.MANIFEST_SCENE)).otherwise(entry)
+    return ends.select(checked.alias("s")).where("s.scene_id IS NOT NULL").select("s.*")
+
+
+def read_manifest_header(spark: SparkSession, root: str) -> DataFrame:
+    """What ``manifest.json`` says beside the index, one row."""
+    beside = T.StructType([f for f in S.MANIFEST.fields if f.name != "scenes"])
+    return spark.read.schema(beside).json(f"{root}/manifest.json", multiLine=True)
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
@@ -44,14 +64,15 @@ def read_records(spark: SparkSession, root: str, split: str | None = None, fmt:
     return _number_toppled(df) if fmt == "json" else df
 
 
+def read_samples(spark: SparkSession, pattern: str) -> DataFrame:
+    """Scene records of the ``sample.json`` files that a glob of scene folders matches; many small files share a task."""
+    raw = spark.read.schema(S.scene(T.StringType())).json(f"{pattern}/sample.json", multiLine=True)
+    return _number_toppled(raw.withColumn("path", F.col("_metadata.file_path")))
+
+
 def scan_scene_glob(spark: SparkSession, root: str, patterns=("train_*", "test_*")) -> DataFrame:
-    """S3: every ``<scene>/sample.json`` in path order, the manifest is ignored."""
-    raw = None
-    for p in patterns:                                   # U1: union of the sources
-        one = spark.read.schema(S.scene(T.StringType())).json(f"{root}/{p}/sample.json", multiLine=True)
-        one = one.withColumn("path", F.col("_metadata.file_path"))
-        raw = one if raw is None else raw.unionByName(one)
-    return _number_toppled(raw)
+    """S3: every ``<scene>/sample.json`` whose folder matches a pattern, with its ``path``; the manifest is ignored."""
+    return reduce(DataFrame.unionByName, [read_samples(spark, f"{root}/{p}") for p in patterns])  # U1: union of the sources
 
 
 def join_manifest(index: DataFrame, records: DataFrame, split: str | None = None, on_missing: str = "skip") -> DataFrame:
@@ -71,10 +92,32 @@ def join_manifest(index: DataFrame, records: DataFrame, split: str | None = None
 
 
 def read_scenes(spark: SparkSession, root: str, split: str | None = None, on_missing: str = "skip") -> DataFrame:
-    """The records of a one-file-per-scene set, limited to the scenes its manifest lists."""
+    """The records of a one-file-per-scene set, limited to the scenes its manifest lists.
+
+    Scene ids start with their split, so a split request lists and opens the folders of that split only; if the manifest
+    names other ids in the split, all folders are looked through.
+    """
     index = read_manifest(spark, root)
-    raw = spark.read.schema(S.scene(T.StringType())).json(f"{root}/*/sample.json", multiLine=True)
-    return join_manifest(index, _number_toppled(raw), split, on_missing)
+    pattern = "*"
+    if split is not None:
+        index = index.where(F.col("split") == split)
+        if index.where(~F.startswith("scene_id", F.lit(f"{split}_"))).isEmpty():
+            pattern = f"{split}_*"
+    if index.isEmpty():
+        pattern = "*"  # a glob without a match would be an error
+    return join_manifest(index, read_samples(spark, f"{root}/{pattern}").drop("path"), None, on_missing)
+
+
+def write_scene_files(scenes: DataFrame, header: DataFrame, index: DataFrame, root: str) -> int:
+    """S15/S16 in the layout of files: ``<scene_id>/sample.json`` for each scene and one ``manifest.json``; how many scenes.
+
+    The manifest is written after the scenes, in the order of the scene ids, by one writer that streams the index.
+    """
+    n = write_files(scenes.select(F.concat("scene_id", F.lit("/sample.json")).alias("rel_path"), F.to_json(F.struct(*scenes.columns)).alias("content")), root)
+    beside = header.select(F.to_json(F.struct(*header.columns)).alias("h")).first()["h"]
+    lines = durable(index.orderBy("scene_id").select(F.to_json(F.struct(*index.columns)).alias("line")))
+    write_lines_file(lines, f"{root}/manifest.json", before=beside[:-1] + ', "scenes": [\n', between=",\n", after="\n]}\n")
+    return n
 
 
 def write_scenes(scenes: DataFrame, root: str, fmt: str = "json") -> None:
@@ -125,7 +168,6 @@ def load_pixels(spark: SparkSession, paths, views: DataFrame | None = None) -> D
     schema = "path string, height int, width int, pixels array<float>"
 
     def decode(batches):
-        import numpy as np
         import pandas as pd
 
         for pdf in batches:
@@ -139,16 +181,66 @@ def load_pixels(spark: SparkSession, paths, views: DataFrame | None = None) -> D
     return img.select("origin", "height", "width", "nChannels", "data").mapInPandas(decode, schema)
 
 
+MERGE_SALTS = 16
+
+
 def mean_view(pixels: DataFrame, key: str = "scene_id") -> DataFrame:
     """The pose-averaged image of every scene: (key, height, width, pixels).
 
-    Averaged pixel by pixel with map-side combining, so the views of one scene never meet in one task
-    before they are reduced.
+    A task adds up the images of a scene inside each batch; the sums travel as packed arrays, meet in slices of a scene
+    first and then by scene, and are added as they stream by, so one image is held however many views a scene has. Views
+    of different sizes in one scene are an error.
     """
-    cells = pixels.select(key, "height", "width", F.posexplode("pixels").alias("_i", "_v")).groupBy(key, "_i").agg(
-        F.avg(F.col("_v").cast("double")).alias("_m"), F.max("height").alias("_h"), F.max("width").alias("_w"))
-    image = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda e: e["_m"])  # one image per scene
-    return cells.groupBy(key).agg(F.max("_h").alias("height"), F.max("_w").alias("width"), image.alias("pixels"))
+    kind = pixels.schema[key].dataType.simpleString()
+    row = f"{key} {kind}, height int, width int, n bigint, sums array<double>"
+
+    def add(total, height, width, n, sums, name):
+        if total is None:
+            return [height, width, n, sums.copy()]
+        if (height, width) != (total[0], total[1]):
+            raise ValueError(f"views of different sizes in scene {name}")
+        total[2] += n
+        total[3] += sums
+        return total
+
+    def packed(totals, schema):
+        names = list(totals)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, schema), *[pa.array([totals[k][i] for k in names], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))],
+             pa.array([totals[k][3] for k in names], pa.list_(pa.float64()))], [key, "height", "width", "n", "sums"])
+
+    def images(batches, ready):
+        for batch in batches:
+            names, heights, widths = (batch.column(i).to_pylist() for i in range(3))
+            counts = batch.column(3).to_pylist() if ready else [1] * len(names)
+            column = batch.column(4 if ready else 3)
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum([0, *column.value_lengths().to_pylist()])
+            yield batch.schema.field(0).type, zip(names, heights, widths, counts, (flat[x:y] for x, y in zip(ends, ends[1:])))
+
+    def per_batch(batches):
+        for schema, rows in images(batches, False):
+            totals: dict = {}
+            for name, *image in rows:
+                totals[name] = add(totals.get(name), *image, name)
+            if totals:
+                yield packed(totals, schema)
+
+    def streamed(batches):
+        now, total, schema = None, None, None
+        for schema, rows in images(batches, True):
+            for name, *image in rows:
+                if total is not None and name != now:
+                    yield packed({now: total}, schema)
+                    total = None
+                now, total = name, add(total, *image, name)
+        if total is not None:
+            yield packed({now: total}, schema)
+
+    partial = pixels.select(key, "height", "width", "pixels").mapInArrow(per_batch, row)
+    salt = F.pmod(F.spark_partition_id(), F.lit(MERGE_SALTS))
+    sliced = partial.withColumn("_s", salt).repartition(key, "_s").sortWithinPartitions(key).drop("_s").mapInArrow(streamed, row)
+    whole = sliced.repartition(key).sortWithinPartitions(key).mapInArrow(streamed, row)
+    return whole.select(key, "height", "width", F.transform("sums", lambda x: x / F.col("n")).alias("pixels"))
 
 
 def pixel_features(images: DataFrame, key: str = "scene_id", grid: int = 8) -> DataFrame:
