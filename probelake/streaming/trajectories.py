@@ -2,8 +2,10 @@
 
 State per trajectory is a dozen numbers, whatever its length, and the frames the watermark has not passed: these
 wait, since earlier ones can still arrive, and are then taken in the order of t. A trajectory is emitted once
-the watermark has passed its last frame by ``gap_ms``. Only what arrives behind the watermark is dropped; t that
-runs against the event time by more than the watermark orders is an error.
+the watermark has passed its last frame by ``gap_ms``. What arrives behind the watermark is not summarized: it is
+dropped, or, with ``late=True``, emitted as it came, so that summarized and late frames add up to all frames;
+``write_summaries`` gives both kinds a table of their own. t that runs against the event time by more than the
+watermark orders is an error.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from probelake import constants as K
@@ -21,7 +24,8 @@ _STATE = ("n bigint, t0 double, x0 double, y0 double, t double, x double, y doub
           "wait_ms array<bigint>, wait_t array<double>, wait_pos array<array<double>>, wait_up array<array<double>>")
 _OUT = ("n_frames bigint, toppled double, settle_time double, slid_distance double, n_bounces double, max_height double, "
         "path_length double, final_tilt_deg double")
-_NAMES = [c.split()[0] for c in _STATE.split(", ")]
+_LATE = "late_ms bigint, late_t double, late_pos array<double>, late_up array<double>"
+_NAMES, _OUT_NAMES, _LATE_NAMES = ([c.split()[0] for c in x.split(", ")] for x in (_STATE, _OUT, _LATE))
 
 
 def _advance(s: dict | None, f: pd.DataFrame) -> dict:
@@ -49,8 +53,12 @@ def _advance(s: dict | None, f: pd.DataFrame) -> dict:
             "moving": float(chain_t[fast[-1] + 1]) if len(fast) else s["moving"]}
 
 
-def summarize_stream(frames: DataFrame, key: str, event_time: str, delay: str = "10 minutes", gap_ms: int = 600_000) -> DataFrame:
-    """Streaming A2: ``frames`` has ``key``, a timestamp ``event_time``, and t (seconds), pos, up as in the batch form."""
+def summarize_stream(frames: DataFrame, key: str, event_time: str, delay: str = "10 minutes", gap_ms: int = 600_000, late: bool = False) -> DataFrame:
+    """Streaming A2: ``frames`` has ``key``, a timestamp ``event_time``, and t (seconds), pos, up as in the batch form.
+
+    With ``late`` frames behind the watermark are rows of the result too: ``late_ms`` (event time), ``late_t``, ``late_pos`` and
+    ``late_up`` are set and the columns of the summary are null.
+    """
     kind = frames.schema[key].dataType.simpleString()
 
     def take(s, f):
@@ -71,9 +79,17 @@ def summarize_stream(frames: DataFrame, key: str, event_time: str, delay: str =
             yield pd.DataFrame({
                 key: [k[0]], "n_frames": [s["n"]], "toppled": [float(s["tilt"] > K.TOPPLE_ANGLE_DEG)], "settle_time": [s["moving"] - s["t0"]],
                 "slid_distance": [float(np.hypot(s["x"] - s["x0"], s["y"] - s["y0"]))], "n_bounces": [float(s["bounces"])],
-                "max_height": [s["top"]], "path_length": [s["path"]], "final_tilt_deg": [s["tilt"]]})
+                "max_height": [s["top"]], "path_length": [s["path"]], "final_tilt_deg": [s["tilt"]], **(dict.fromkeys(_LATE_NAMES) if late else {})})
             return
         new = pd.concat([x[["_ms", "t", "pos", "up"]] for x in batches])
+        if late:
+            new = new[new["_ms"].notna()].astype({"_ms": "int64"})
+            behind = new["_ms"] <= state.getCurrentWatermarkMs()
+            out, new = new[behind], new[~behind]
+            if len(out):
+                yield pd.DataFrame({key: [k[0]] * len(out), **{n: None for n in _OUT_NAMES}, **{f"late_{c.lstrip('_')}": list(out[c]) for c in out.columns}})
+            if not len(new):
+                return
         frames_ = pd.concat([waiting, new], ignore_index=True) if len(waiting) else new
         passed = frames_["_ms"] <= state.getCurrentWatermarkMs()
         s, left = take(s, frames_[passed]), frames_[~passed]
@@ -83,6 +99,34 @@ def summarize_stream(frames: DataFrame, key: str, event_time: str, delay: str =
         state.update(tuple(v.item() if isinstance(v := s[n], np.generic) else v for n in _NAMES))
         state.setTimeoutTimestamp(max(s["last"], state.getCurrentWatermarkMs()) + gap_ms)
 
-    rows = frames.withWatermark(event_time, delay).select(key, event_time, "t", "pos", "up",
-                                                          F.unix_millis(F.col(event_time).cast("timestamp")).alias("_ms"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {_OUT}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = frames.withWatermark(event_time, delay).select(key, event_time, "t", "pos", "up", F.unix_millis(F.col(event_time).cast("timestamp")).alias("_ms"))
+    if late:
+        # Spark drops rows behind the watermark in front of the state. A frame goes in twice: its time alone, which moves
+        # the watermark, and the frame without a watermarked time, which nothing drops.
+        fields = ["t", "pos", "up", "_ms"]
+        plain = frames.withColumn("_ms", F.unix_millis(F.col(event_time).cast("timestamp")))
+        kinds = plain.select(*fields).schema
+        mark = F.struct(F.col(event_time).alias("_time"), *[F.lit(None).cast(kinds[c].dataType).alias(c) for c in fields])
+        frame = F.struct(F.lit(None).cast(frames.schema[event_time].dataType).alias("_time"), *fields)
+        rows = plain.select(key, F.explode(F.array(mark, frame)).alias("r")).select(key, "r.*").withWatermark("_time", delay)
+    schema = f"{key} {kind}, {_OUT}" + (f", {_LATE}" if late else "")
+    return rows.groupBy(key).applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def write_summaries(results: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Start the query of ``summarize_stream(..., late=True)`` with two tables below ``folder``: ``summaries`` and ``late``.
+
+    Each trigger writes folders of its own (``trigger=<n>``) and writes the same ones when it is repeated.
+    """
+    summary = [c for c in results.columns if c not in _LATE_NAMES]
+
+    def write(batch: DataFrame, trigger: int) -> None:
+        batch = batch.persist()
+        try:
+            is_late = F.col("late_ms").isNotNull()
+            batch.where(~is_late).select(*summary).write.mode("overwrite").parquet(f"{folder}/summaries/trigger={trigger}")
+            batch.where(is_late).select(summary[0], *_LATE_NAMES).write.mode("overwrite").parquet(f"{folder}/late/trigger={trigger}")
+        finally:
+            batch.unpersist()
+
+    return results.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).start()

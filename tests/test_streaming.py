@@ -56,3 +56,28 @@ def test_frames_out_of_order_within_the_watermark_count(spark, tmp_path):
     for c in want.asDict():
         if c != "k":
             assert got[0][c] == pytest.approx(want[c], abs=1e-9), c
+
+
+def test_late_frames_have_a_table_and_counts_add_up(spark, tmp_path):
+    from probelake.streaming.trajectories import write_summaries
+
+    triggers = [[0.0, 3.0, 30.0], [31.0, 19.0, 21.0], [5.0, 40.0], [7.0, 2.0], [33.0]]  # the watermark is 10 behind the last trigger's latest
+    rows = [("a", n, t, [0.1 * t, 0.0, 0.5], [0.0, 0.0, 1.0]) for n, times in enumerate(triggers) for t in times]
+    rows += [("b", 3, 4.0, [0.0, 0.0, 0.1], [0.0, 0.0, 1.0]), ("end", 5, 100_000.0, [0.0, 0.0, 0.0], [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "k string, n int, t double, pos array<double>, up array<double>").withColumn("ts", F.timestamp_seconds(F.col("t") + 1_000_000))
+    src = str(tmp_path / "src")
+    for n in range(6):
+        df.where(F.col("n") == n).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = write_summaries(summarize_stream(stream, "k", "ts", "10 seconds", 1000, late=True), str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    late = {(r["k"], r["late_t"]): r for r in spark.read.parquet(str(tmp_path / "out" / "late")).collect()}
+    done = {r["k"]: r for r in spark.read.parquet(str(tmp_path / "out" / "summaries")).collect()}
+    assert set(late) == {("a", 19.0), ("a", 5.0), ("a", 7.0), ("a", 2.0), ("b", 4.0)} and set(done) == {"a"}
+    assert late["a", 19.0]["late_pos"] == pytest.approx([1.9, 0.0, 0.5]) and late["a", 19.0]["late_ms"] == 1_000_019_000
+    assert done["a"]["n_frames"] + len(late) == len(rows) - 1
+    kept = df.where("k = 'a'").where(~F.col("t").isin(19.0, 5.0, 7.0, 2.0))
+    want = summarize(kept.withColumn("frame_idx", F.col("n")), ["k"], ["t", "n"]).first()
+    for c in ("n_frames", "path_length", "max_height", "slid_distance"):
+        assert done["a"][c] == pytest.approx(want[c], abs=1e-9), c
