@@ -212,6 +212,29 @@ def field_contributions(spark, sf):
     return rounded(RG.field_contributions(fields, "size"), "base_gain", "gain", "delta", digits=5)
 
 
+@query("M2_best_linear", f"""WITH {_ORACLE_SQL}, w AS (SELECT test, a AS x, unnest(range(8)) AS pos, unnest([y0, y1, a * a, c * c, a * d, c * d, d * d, a * c * d]) AS y FROM o),
+m AS (SELECT pos, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS cxy, count(*) AS n FROM w WHERE NOT test GROUP BY ALL),
+e AS (SELECT pos, test, avg(pow(y - my, 2)) AS b, avg(pow(y - (my + cxy / sx * n / (n + 0.001::DOUBLE) * (x - mx) / sx), 2)) AS s FROM w JOIN m USING (pos) GROUP BY ALL)
+SELECT round(avg(b) FILTER (test) / avg(s) FILTER (test), 6) + 0.0 AS gain, round(avg(b) FILTER (NOT test) / avg(s) FILTER (NOT test), 6) + 0.0 AS train_gain, 'ridge-linear' AS regressor FROM e""")
+def best_linear(spark, sf):
+    """The best regressor among the linear ones of one feature, in closed form in the twin."""
+    best = RG.best_oracle(wide_oracle_rows(spark, sf), "size", "y", 1, regressors=("ridge-linear",))
+    return rounded(best, "gain", "train_gain")
+
+
+_START_SQL = "t AS (SELECT id, a, row_number() OVER (ORDER BY md5('1|' || id)) AS k FROM o WHERE NOT test)"
+
+
+@query("M4_quantize_rounds", f"""WITH {_ORACLE_SQL}, {_START_SQL}, c0 AS (SELECT k - 1 AS c, a AS m FROM t WHERE k <= 4),
+c1 AS (SELECT c, avg(a) AS m FROM (SELECT id, a, arg_min(c, (abs(a - m), c)) AS c FROM t, c0 GROUP BY ALL) GROUP BY c),
+c2 AS (SELECT c, avg(a) AS m FROM (SELECT id, a, arg_min(c, (abs(a - m), c)) AS c FROM t, c1 GROUP BY ALL) GROUP BY c)
+SELECT c::INT AS cluster, count(*) AS n, round(avg(a), 6) + 0.0 AS mean FROM (SELECT id, a, arg_min(c2.c, (abs(a - m), c2.c)) AS c FROM (SELECT id, a FROM o) s, c2 GROUP BY ALL) GROUP BY c""")
+def quantize_rounds(spark, sf):
+    """Two Lloyd rounds of four clusters over one feature, spelled out in the twin."""
+    rows, _ = RG.quantize(wide_oracle_rows(spark, sf), "size", 4, seed=1, rounds=2)
+    return rounded(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("size")[0]).alias("mean")), "mean")
+
+
 @query("M4_quantize")
 def quantize(spark, sf):
     rows, _ = RG.quantize(oracle_rows(spark, sf), "essence", 9, seed=1)
@@ -265,6 +288,17 @@ def kfold_r2(spark, sf):
     return rounded(RG.kfold_r2(folds, "shape_essence", "y"), "r2")
 
 
+@query("A37_kfold_single", f"""WITH {_ORACLE_SQL}, f AS (SELECT id, a * 1.0 AS x, y0, y1, row_number() OVER (ORDER BY md5('21|' || id)) - 1 AS k, n FROM o),
+g AS (SELECT *, (CASE WHEN k < (n % 5) * (n // 5 + 1) THEN k // (n // 5 + 1) ELSE (n % 5) + (k - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INT AS fold FROM f),
+w AS (SELECT id, fold, x, unnest([0, 1]) AS pos, unnest([y0, y1]) AS y FROM g),
+m AS (SELECT t.fold, pos, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS cxy, count(*) AS n FROM w, range(5) t(fold) WHERE w.fold <> t.fold GROUP BY ALL)
+SELECT pos::INT AS pos, round(1 - sum(pow(y - (my + cxy / sx * n / (n + 0.001::DOUBLE) * (x - mx) / sx), 2)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2 FROM w JOIN m USING (fold, pos) GROUP BY pos""")
+def kfold_single(spark, sf):
+    """Out-of-fold R2 of one feature, in closed form in the twin."""
+    folds = SP.kfold(wide_oracle_rows(spark, sf).select("id", "size", F.slice("y", 1, 2).alias("y")), "id", 5, 21)
+    return rounded(RG.kfold_r2(folds, "size", "y"), "r2")
+
+
 @query("F9_present_mask", f"""WITH {RUNS_SQL}, c AS (SELECT arm AS channel, avg(value) FILTER (seed % 2 = 0) AS t, avg(value) FILTER (seed % 2 = 1) AS u FROM runs GROUP BY arm)
 SELECT channel, round(CASE WHEN u > 0.45 THEN t / u ELSE 'nan'::DOUBLE END, 6) + 0.0 AS retention FROM c""")
 def present_mask(spark, sf):
