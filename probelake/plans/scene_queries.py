@@ -196,7 +196,7 @@ def _run_folders(spark, sf):
 @query("S13_scan_runs", f"""SELECT {_RUN_PATH_SQL} AS run, CASE WHEN k % 3 < 2 THEN nation + 100 * k ELSE -1 END::INT AS seed,
 CASE WHEN k % 3 = 0 THEN nation % 10 + 0.5::DOUBLE END AS weight, CASE k % 3 WHEN 0 THEN 'aw' || (nation % 10) || 'p5' WHEN 1 THEN 'g15_cont' END AS tag FROM {_RUN_DIMS}""")
 def scan_runs(spark, sf):
-    found = RS.scan_runs(spark, _run_folders(spark, sf))
+    found = RS.scan_runs(spark, f"{_run_folders(spark, sf)}/*/model.safetensors")
     return found.select(F.element_at(F.split("path", "/"), -2).alias("run"), "seed", "weight", "tag")
 
 
@@ -204,7 +204,7 @@ def scan_runs(spark, sf):
 FROM {_RUN_DIMS} WHERE k % 3 = 0 AND nation + 100 * k IN (3, 4, 13, 303, 313) AND nation % 10 = 3""")
 def pruned_runs(spark, sf):
     """Only the folders of some seeds and one weight are listed."""
-    found = RS.scan_runs(spark, _run_folders(spark, sf), seeds=(3, 4, 13, 303, 313), weights=(3.5,))
+    found = RS.scan_runs(spark, f"{_run_folders(spark, sf)}/*/model.safetensors", seeds=(3, 4, 13, 303, 313), weights=(3.5,))
     return found.select(F.element_at(F.split("path", "/"), -2).alias("run"), "seed", "weight")
 
 

@@ -21,15 +21,19 @@ def parse_run_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.withColumn("seed", seed).withColumn("weight", weight).withColumn("tag", tag)
 
 
-def scan_runs(spark: SparkSession, root: str, seeds=None, weights=None, name: str = "model.safetensors") -> DataFrame:
-    """Run checkpoints ``<run>/<name>`` below a folder (or a glob of folders), by path; file content is never read.
+def scan_runs(spark: SparkSession, glob: str, seeds=None, weights=None) -> DataFrame:
+    """Run checkpoints below a glob such as ``<root>/*/model.safetensors``; file content is never read.
 
-    Asked ``seeds`` and ``weights`` become part of the glob, so other run folders are not listed.
+    Asked ``seeds`` and ``weights`` take the place of the ``*`` of the run folder, so other folders are not listed.
     """
-    tail = "" if seeds is None else "_s{" + ",".join(str(int(s)) for s in seeds) + "}"
-    head = "*" if weights is None else "*aw{" + ",".join(f"{w:g}".replace(".", "p") for w in weights) + "}" + ("_s*" if seeds is None else "")
-    pattern = f"{root}/{head}{tail}/{name}"
-    found = spark.read.format("binaryFile").load(pattern).select("path", F.col("modificationTime").alias("modified"))
+    if seeds is not None or weights is not None:
+        root, folder, name = glob.rsplit("/", 2)
+        if folder != "*":
+            raise ValueError("seeds and weights prune a glob that ends in /*/<file>")
+        weight = "*" if weights is None else "*aw{" + ",".join(f"{w:g}".replace(".", "p") for w in weights) + "}"
+        seed = "_s*" if seeds is None else "_s{" + ",".join(str(int(s)) for s in seeds) + "}"
+        glob = f"{root}/{weight}{seed}/{name}"
+    found = spark.read.format("binaryFile").load(glob).select("path", F.col("modificationTime").alias("modified"))
     return parse_run_paths(found)
 
 

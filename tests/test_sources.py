@@ -89,10 +89,13 @@ def test_run_folders_are_pruned_by_name(spark, tmp_path):
         (tmp_path / name / "metrics.json").write_text(json.dumps({"config": {"seed": 7, "new_knob": [1]}, "history": [{"step": 0, "train": 1.0}, {"step": 10, "test": 2.0, "extra": "y"}]}))
     names = lambda df: {r["path"].split("/")[-2]: (r["seed"], r["weight"], r["tag"]) for r in df.collect()}
     root = tmp_path.as_uri()
-    assert names(RS.scan_runs(spark, root)) == {"aw0p5_s3": (3, 0.5, "aw0p5"), "aw0p5_s13": (13, 0.5, "aw0p5"), "aw2_s3": (3, 2.0, "aw2"), "g15_cont_s3": (3, None, "g15_cont"), "other": (-1, None, None)}
-    assert set(names(RS.scan_runs(spark, root, seeds=[3]))) == {"aw0p5_s3", "aw2_s3", "g15_cont_s3"}
-    assert set(names(RS.scan_runs(spark, root, weights=[0.5]))) == {"aw0p5_s3", "aw0p5_s13"}
-    assert set(names(RS.scan_runs(spark, root, seeds=[3, 4], weights=[0.5, 2]))) == {"aw0p5_s3", "aw2_s3"}
+    glob = f"{root}/*/model.safetensors"
+    with pytest.raises(ValueError, match="prune"):
+        RS.scan_runs(spark, f"{root}/a*/model.safetensors", seeds=[3])
+    assert names(RS.scan_runs(spark, glob)) == {"aw0p5_s3": (3, 0.5, "aw0p5"), "aw0p5_s13": (13, 0.5, "aw0p5"), "aw2_s3": (3, 2.0, "aw2"), "g15_cont_s3": (3, None, "g15_cont"), "other": (-1, None, None)}
+    assert set(names(RS.scan_runs(spark, glob, seeds=[3]))) == {"aw0p5_s3", "aw2_s3", "g15_cont_s3"}
+    assert set(names(RS.scan_runs(spark, glob, weights=[0.5]))) == {"aw0p5_s3", "aw0p5_s13"}
+    assert set(names(RS.scan_runs(spark, glob, seeds=[3, 4], weights=[0.5, 2]))) == {"aw0p5_s3", "aw2_s3"}
     rows = RS.read_run_metrics(spark, f"{root}/*/metrics.json").orderBy("path", "entry").collect()
     assert len(rows) == 10 and rows[0]["path_seed"] == 13 and rows[0]["seed"] == 7 and rows[1]["test"] == 2.0 and rows[1]["train"] is None
 
