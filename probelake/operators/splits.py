@@ -173,7 +173,7 @@ def assign_scene_materials(slots: DataFrame, slot: str, pairs: DataFrame, seed:
     counts = {r["split"]: r["count"] for r in pairs.groupBy("split").count().collect()}
     n_train, n_test = counts.get("train", 0), counts.get("test", 0)
     if not n_train:
-        raise ValueError("split has no train pairs")
+        raise ValueError("no pair is left to train on")
     n = slots.count()
     n_test_slots = bankers_round(n * n_test / (n_train + n_test)) if n_test else 0
     n_train_slots = n - n_test_slots
