@@ -90,3 +90,34 @@ def test_code_statistics(spark):
     assert AG.adjusted_rand(df.withColumn("one", F.lit(1)), "one", "one").first()["ari"] == 1.0
     with pytest.raises(Exception, match="code values"):
         AG.trit_agreement(df.withColumn("a", F.lit(2)), "a", "b").collect()
+
+
+def test_search_is_folded_to_distinct_vectors(spark):
+    """Copies are searched once: 40 rows of 4 vectors make 4 candidates and 4 queries, and the blocks hold no copy."""
+    x = np.repeat(np.arange(4.0)[:, None] * [1.0, 2.0], 10, axis=0)
+    rows = NN._rows(table(spark, x), "id", "z", ())
+    assert NN._search(rows, rows, 3, 1, 16, 16).count() == 4
+    near = NN.knn(table(spark, x), 12)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbor"]))
+    want = [sorted((((x[i] - x[j]) ** 2).sum() ** 0.5, j) for j in range(40) if j != i)[:12] for i in range(40)]
+    assert [[n for _, n in sorted(got[i])] for i in range(40)] == [[j for _, j in w] for w in want]
+
+
+def test_ties_are_ties_of_distances(spark):
+    """Squares that differ in the last bit and have one root are a tie, as in the twin's ORDER BY of distances."""
+    x = np.round(np.random.default_rng(1).normal(size=(400, 2)), 1)
+    got = {}
+    for r in NN.knn(table(spark, x), 6, block_rows=64, query_chunk=50).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["neighbor"]
+    for i, a in enumerate(x):
+        d = np.sqrt(((a - x) ** 2).sum(1))
+        want = sorted((d[j], j) for j in range(len(x)) if j != i)[:6]
+        assert [got[i][k] for k in range(1, 7)] == [j for _, j in want]
+
+
+def test_vector_without_distance_hides_no_neighbor(spark):
+    x = np.array([[0.0], [1.0], [float("nan")], [3.0]])
+    got = {(r["id"], r["neighbor"]) for r in NN.knn(table(spark, x), 1).collect()}
+    assert got == {(0, 1), (1, 0), (3, 1)}
