@@ -14,6 +14,7 @@ from probelake.operators import neighbors as NN
 from probelake.plans import standins as ST
 from probelake.plans.registry import query, r6, rounded, table
 from probelake.plans.stat_queries import RUNS_SQL, runs
+from probelake.session import durable
 
 
 def _knn_sql(v, name, k=10):
@@ -164,14 +165,14 @@ def cross_arm_pairs(spark, sf):
 @query("A21_pair_knn", f"""WITH {_SLICE_RUNS_SQL}, {_PAIRS_SQL}, {_RUN_KNN_SQL}, {_PAIR_KNN_SQL}
 SELECT arm, run_a, run_b, round(knn, 6) + 0.0 AS knn FROM pk""")
 def pair_knn(spark, sf):
-    return rounded(AL.overlap_by_pair(run_neighbors(spark, sf), AL.run_pairs(run_registry(spark, sf)), _K), "knn")
+    return rounded(AL.overlap_by_pair(durable(run_neighbors(spark, sf)), AL.run_pairs(run_registry(spark, sf)), _K), "knn")
 
 
 @query("A21_pair_stats", f"""WITH {_SLICE_RUNS_SQL}, {_PAIRS_SQL}, {_RUN_KNN_SQL}, {_PAIR_KNN_SQL},
 s AS (SELECT arm, run_a AS run_id, knn FROM pk UNION ALL SELECT arm, run_b, knn FROM pk)
 SELECT arm, run_id, round(avg(knn), 6) + 0.0 AS run_mean, count(*) AS n_pairs FROM s GROUP BY 1, 2""")
 def pair_stats(spark, sf):
-    pairs = AL.overlap_by_pair(run_neighbors(spark, sf), AL.run_pairs(run_registry(spark, sf)), _K)
+    pairs = AL.overlap_by_pair(durable(run_neighbors(spark, sf)), AL.run_pairs(run_registry(spark, sf)), _K)
     return rounded(AL.pair_stats(pairs, "knn")[1], "run_mean")
 
 
