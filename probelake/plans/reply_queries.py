@@ -75,9 +75,11 @@ def extract_prediction(spark, sf):
 def coerce_field(spark, sf):
     t = F.col("event_type")
     text = (F.when(t == "click", " Yes ").when(t == "view", "FALSE").when(t == "purchase", F.col("value").cast("string"))
-            .when(t == "signup", "about 3").otherwise("inf"))
+            .when(t == "signup", "about 3").when(t == "error", "inf"))
+    known = t.isin("click", "view", "purchase", "signup", "error")
+    toppled = F.when(F.coalesce(known, F.lit(False)), text).otherwise("inf")  # other types and none reply to this field only
     return table(spark, sf, "events").select(
-        "event_id", coerce_outcome("toppled", text).alias("toppled"), coerce_outcome("n_bounces", text).alias("n_bounces"))
+        "event_id", coerce_outcome("toppled", toppled).alias("toppled"), coerce_outcome("n_bounces", text).alias("n_bounces"))
 
 
 SHAPES = tuple(s[0] for s in K.SHAPE_GEOMETRY)
