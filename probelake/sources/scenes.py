@@ -157,7 +157,7 @@ def explode_views(scenes: DataFrame, root: str, k: int | None = None) -> DataFra
 
 
 def load_pixels(spark: SparkSession, paths, views: DataFrame | None = None) -> DataFrame:
-    """Decoded images as (path, height, width, pixels): row-major RGB in [0, 1], gray spread to three
+    """Decoded images as (path, height, width, pixels): row-major RGB in [0, 1] as doubles, gray spread to three
     channels, alpha dropped. ``views`` restricts to listed paths before any pixel is touched.
 
     Spark decodes to interleaved B, G, R bytes; reordering works on the byte string in place.
@@ -165,7 +165,7 @@ def load_pixels(spark: SparkSession, paths, views: DataFrame | None = None) -> D
     img = spark.read.format("image").load(paths).select("image.*")
     if views is not None:
         img = img.join(views.select(F.col("path").alias("origin")).distinct(), "origin", "left_semi")
-    schema = "path string, height int, width int, pixels array<float>"
+    schema = "path string, height int, width int, pixels array<double>"
 
     def decode(batches):
         import pandas as pd
@@ -175,7 +175,7 @@ def load_pixels(spark: SparkSession, paths, views: DataFrame | None = None) -> D
             for r in pdf.itertuples(index=False):
                 a = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.nChannels)
                 rgb = np.repeat(a, 3, axis=2) if r.nChannels == 1 else a[:, :, 2::-1] if r.nChannels >= 3 else a[:, :, :1].repeat(3, 2)
-                out.append((r.origin, r.height, r.width, (rgb.astype(np.float32) / 255.0).ravel()))
+                out.append((r.origin, r.height, r.width, (rgb.astype(np.float64) / 255.0).ravel()))
             yield pd.DataFrame(out, columns=["path", "height", "width", "pixels"])
 
     return img.select("origin", "height", "width", "nChannels", "data").mapInPandas(decode, schema)

@@ -27,3 +27,13 @@ def test_missing_probes_have_no_entries(spark, tmp_path):
     sf = events(spark, tmp_path, [(1, k, float(v)) for k, v in [("click", 1), ("click", 2), ("purchase", 1), ("purchase", 3), ("view", 1)]])
     got = {r["pos"] for r in behavior_target(spark, sf).collect()}
     assert got == {*range(7), *range(14, 21)}          # one frame of the tilt is no outcome
+
+
+def test_levels_keep_their_digits(spark, tmp_path):
+    from probelake.plans.scene_queries import _png
+    from probelake.sources import scenes as SS
+
+    levels = np.arange(192) % 256
+    (tmp_path / "a.png").write_bytes(_png(levels))
+    pixels = SS.load_pixels(spark, str(tmp_path / "a.png")).first()["pixels"]
+    assert pixels == [v / 255.0 for v in levels.tolist()]
