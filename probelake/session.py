@@ -84,6 +84,11 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
+def spread(df: DataFrame, per_slot: int = 4) -> DataFrame:
+    """Deal narrow rows evenly over all cores, for work that is heavy per row whatever the files of the table look like."""
+    return df.repartition(per_slot * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when a bounded count proves it small, else ``df`` unhinted."""
     fits = df.limit(max_rows + 1).count() <= max_rows

@@ -1,7 +1,9 @@
-"""Many small files from table rows, for layouts of one file per record."""
+"""Many small files from table rows and back, for layouts of one file per record."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,22 @@ def write_files(rows: DataFrame, root: str) -> int:
     return named.mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def reader(root: str) -> Callable[[str], bytes | None]:
+    """A function from a path below ``root`` to the bytes of its file, None if there is none; made inside a task."""
+    from pyarrow import fs
+
+    files, base = fs.FileSystem.from_uri(root)
+
+    def read(rel: str) -> bytes | None:
+        try:
+            with files.open_input_file(f"{base}/{rel}") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    return read
+
+
 def write_lines_file(lines: DataFrame, path: str, before: str = "", between: str = "\n", after: str = "") -> None:
     """One text file of the string column ``line``, in the order of ``lines``: a single writer that holds one batch at a time.
 

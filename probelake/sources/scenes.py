@@ -7,6 +7,8 @@ inside and ``<scene_id>/sample.json`` for every scene. Tables are for large sets
 
 from __future__ import annotations
 
+import struct
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -17,8 +19,8 @@ from pyspark.sql import types as T
 
 from probelake import schemas as S
 from probelake.functions.scalars import toppled_number
-from probelake.session import durable
-from probelake.sources.files import write_files, write_lines_file
+from probelake.session import durable, spread
+from probelake.sources.files import reader, write_files, write_lines_file
 
 
 def _number_toppled(df: DataFrame) -> DataFrame:
@@ -160,7 +162,8 @@ def load_pixels(spark: SparkSession, paths, views: DataFrame | None = None) -> D
     """Decoded images as (path, height, width, pixels): row-major RGB in [0, 1] as doubles, gray spread to three
     channels, alpha dropped. ``views`` restricts to listed paths before any pixel is touched.
 
-    Spark decodes to interleaved B, G, R bytes; reordering works on the byte string in place.
+    Spark decodes to interleaved B, G, R bytes; reordering works on the byte string in place. For folders that have to be
+    listed; views that scenes name are read by :func:`load_views`, which lists nothing.
     """
     img = spark.read.format("image").load(paths).select("image.*")
     if views is not None:
@@ -181,6 +184,76 @@ def load_pixels(spark: SparkSession, paths, views: DataFrame | None = None) -> D
     return img.select("origin", "height", "width", "nChannels", "data").mapInPandas(decode, schema)
 
 
+READ_BYTES = 8_000_000  # of pixels or records in one batch
+_PNG_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def png_levels(content: bytes, name: str = "") -> np.ndarray:
+    """The (height, width, channels) levels of a PNG file of 8 bits a channel: gray or RGB, with or without alpha."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError(f"not a PNG file: {name}")
+    at, packed = 8, []
+    while at < len(content):
+        size, kind = struct.unpack_from(">I4s", content, at)
+        if kind == b"IHDR":
+            width, height, depth, color, _, _, interlaced = struct.unpack_from(">IIBBBBB", content, at + 8)
+        elif kind == b"IDAT":
+            packed.append(content[at + 8:at + 8 + size])
+        at += size + 12
+    if depth != 8 or interlaced or color not in _PNG_CHANNELS:
+        raise ValueError(f"PNG with depth {depth}, color type {color}, interlace {interlaced}: {name}")
+    n = _PNG_CHANNELS[color]
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * n)
+    kinds, rows = lines[:, 0], lines[:, 1:]
+    if not kinds.any():
+        return rows.reshape(height, width, n)
+    out, above = np.empty((height, width * n), np.uint8), np.zeros(width * n, np.uint8)
+    for y in range(height):
+        if kinds[y] < 3:  # as it is, minus the pixel before, minus the pixel above
+            above = rows[y] if kinds[y] == 0 else rows[y] + above if kinds[y] == 2 else np.cumsum(rows[y].reshape(width, n), 0, np.uint8).ravel()
+        else:
+            line, up = rows[y].tolist(), above.tolist()
+            for i in range(width * n):
+                a, b, c = (line[i - n], up[i], up[i - n]) if i >= n else (0, up[i], 0)
+                near = (a + b) // 2 if kinds[y] == 3 else min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+                line[i] = (line[i] + near) & 255
+            above = np.array(line, np.uint8)
+        out[y] = above
+    return out.reshape(height, width, n)
+
+
+def load_views(views: DataFrame, root: str) -> DataFrame:
+    """S11 for the listed views (rows of :func:`explode_views`): ``views`` plus (height, width, pixels) as in :func:`load_pixels`.
+
+    A task opens the files of its own rows, so the driver lists no folder and plans no file, however many views there are.
+    Views are PNG files as :func:`png_levels` reads them; a missing or another file is an error.
+    """
+    schema = T.StructType(list(views.schema.fields)).add("height", T.IntegerType()).add("width", T.IntegerType()).add("pixels", T.ArrayType(T.DoubleType()))
+
+    def decode(batches):
+        read = reader(root)
+
+        def packed(batch, images):
+            pixels = [(a[:, :, :3] if a.shape[2] > 2 else a[:, :, :1].repeat(3, 2)).ravel() / 255.0 for a in images]
+            ends = pa.array(np.cumsum([0, *map(len, pixels)]), pa.int32())
+            shape = [pa.array([a.shape[i] for a in images], pa.int32()) for i in range(2)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *shape, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pixels)))], schema.names)
+
+        for batch in batches:
+            lo, images, held = 0, [], 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                content = read(path[len(root) + 1:])
+                if content is None:
+                    raise FileNotFoundError(f"no view {path}")
+                images.append(png_levels(content, path))
+                held += images[-1].shape[0] * images[-1].shape[1] * 24
+                if held >= READ_BYTES or i == batch.num_rows - 1:
+                    yield packed(batch.slice(lo, i + 1 - lo), images)
+                    lo, images, held = i + 1, [], 0
+
+    return spread(views).mapInArrow(decode, schema)
+
+
 MERGE_SALTS = 16
 
 
