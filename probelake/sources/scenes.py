@@ -318,14 +318,23 @@ def mean_view(pixels: DataFrame, key: str = "scene_id") -> DataFrame:
 
 def pixel_features(images: DataFrame, key: str = "scene_id", grid: int = 8) -> DataFrame:
     """Channel means, channel sds and a nearest grid x grid subsample of every (mean) image."""
-    n = F.size("pixels")
-    channel = lambda c: F.transform(F.expr("sequence(0, cast(size(pixels) div 3 - 1 AS int))"), lambda i: F.get("pixels", i * 3 + c))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / (n / 3)
-    spread = lambda a, m: F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m))))  # centred: a flat channel has exactly 0
-    sd = lambda a: F.get(F.transform(F.array(mean(a)), lambda m: spread(a, m)), F.lit(0))
-    steps = F.sequence(F.lit(0), F.lit(grid - 1))
-    at = lambda y, x, c: F.get("pixels", ((F.floor(y * F.col("height") / grid) * F.col("width") + F.floor(x * F.col("width") / grid)) * 3
-                                          + c).cast("int"))
-    small = F.flatten(F.transform(steps, lambda y: F.flatten(F.transform(steps, lambda x: F.array(*[at(y, x, c) for c in range(3)])))))
-    chans = [channel(c) for c in range(3)]
-    return images.select(key, F.concat(F.array(*[mean(c) for c in chans]), F.array(*[sd(c) for c in chans]), small).alias("features"))
+    kind = images.schema[key].dataType.simpleString()
+    steps = np.arange(grid)
+
+    def features(image):
+        first = image[0, 0]
+        off = image - first  # from the first pixel: a flat channel has exactly its value and 0
+        mean = off.mean((0, 1))
+        sd = np.sqrt(((off - mean) ** 2).mean((0, 1)))
+        height, width = image.shape[:2]
+        return np.concatenate([first + mean, sd, image[steps * height // grid][:, steps * width // grid].ravel()])
+
+    def run(batches):
+        for batch in batches:
+            pixels = batch.column(3)
+            flat, ends = pixels.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in pixels.value_lengths().to_pylist())])
+            shapes = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), ends, ends[1:], pixels.is_valid().to_pylist())
+            rows = [features(flat[lo:hi].reshape(h, w, 3)) if valid else None for h, w, lo, hi, valid in shapes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], [key, "features"])
+
+    return images.select(key, "height", "width", F.col("pixels").cast("array<double>")).mapInArrow(run, f"{key} {kind}, features array<double>")

@@ -60,3 +60,15 @@ def test_tasks_do_not_grow_with_files(spark, tmp_path, query):
     df = query(spark, str(tmp_path))
     assert "Scan image" not in df._jdf.queryExecution().executedPlan().toString()  # one task for every 32 files, one listing task for every folder
     assert df.select("scene_id").distinct().count() == 700
+
+
+def test_pixel_features_by_hand(spark):
+    rng = np.random.default_rng(3)
+    images = {"a": rng.random((5, 7, 3)), "b": np.full((3, 3, 3), 0.1)}
+    rows = [(k, *a.shape[:2], a.ravel().tolist()) for k, a in images.items()] + [("c", 1, 1, None)]
+    out = SS.pixel_features(spark.createDataFrame(rows, "scene_id string, height int, width int, pixels array<double>"), grid=2)
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()  # no interpreted function per pixel
+    got = {r["scene_id"]: r["features"] for r in out.collect()}
+    a = images["a"]
+    assert got["a"] == pytest.approx([*a.mean((0, 1)), *a.std((0, 1)), *a[0, 0], *a[0, 3], *a[2, 0], *a[2, 3]])
+    assert got["b"] == [0.1] * 3 + [0.0] * 3 + [0.1] * 12 and got["c"] is None
