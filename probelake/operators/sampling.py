@@ -135,9 +135,16 @@ def jittered_actions(df: DataFrame, reps: int, *keys: str, seed: int = 0, impuls
 
 def direction_block(ids, dim: int, n: int, seed: int) -> np.ndarray:
     """Gaussian directions (len(ids), n, dim), each entry keyed by (seed, id, direction, position)."""
-    prefix = f"{seed}|direction|"
-    digests = b"".join(md5(f"{prefix}{i}|{d}|{j}".encode()).digest() for i in ids for d in range(n) for j in range(dim))
-    words = np.frombuffer(digests, dtype=">u8").astype(np.uint64).reshape(-1, 2)
+    ends = [f"{d}|{j}".encode() for d in range(n) for j in range(dim)]
+
+    def digests(i):
+        begun = md5(f"{seed}|direction|{i}|".encode())
+        for end in ends:
+            full = begun.copy()
+            full.update(end)
+            yield full.digest()
+
+    words = np.frombuffer(b"".join(x for i in ids for x in digests(i)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
     high, low = words[:, 0], words[:, 1]
     u1 = (high >> np.uint64(12)).astype(np.float64) / 2.0 ** 52     # hex digits 1-13
     u2 = (((high & np.uint64(0xFFF)) << np.uint64(40)) | (low >> np.uint64(24))).astype(np.float64) / 2.0 ** 52

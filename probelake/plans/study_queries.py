@@ -108,10 +108,11 @@ s AS (SELECT ({_SCORE.format(r=_R, x=_RENDER_SQL, y=_TARGET_SQL)}) AS b, ({_SCOR
 SELECT target, round(sh, 6) + 0.0 AS shared_coherence, round(i, 6) + 0.0 AS independent_coherence, round(sh - i, 6) + 0.0 AS gap,
   round(a, 6) + 0.0 AS architectural_coherence, round(sh - a, 6) + 0.0 AS learned_coherence, (SELECT count(*) FROM latents) AS n_samples FROM t""")
 def compare(spark, sf):
-    both, other = {"behavior": f_target, "essence": f_other}, {"behavior": f_other, "essence": f_other}
-    shared, untrained = _magnitudes(spark, sf, both), _magnitudes(spark, sf, other)
-    indep = CO.independent_magnitudes(ST.latents(spark, sf), f_render, other, 32, 32, id_col="vec_id", render="x", target="y")
-    out = CO.compare(shared, indep, untrained)
+    left, right = (lambda f: lambda z: f(z[:, :32])), (lambda f: lambda z: f(z[:, 32:]))
+    render, target, other, apart = left(f_render), left(f_target), left(f_other), right(f_other)
+    arm = lambda behavior, essence: {"behavior": (render, behavior), "essence": (render, essence)}
+    joint = ST.latents(spark, sf).select("vec_id", F.concat("x", "y").alias("z"))
+    out = CO.compare_models(joint, {"shared": arm(target, other), "independent": arm(apart, apart), "untrained": arm(other, other)}, 64, id_col="vec_id")
     return rounded(out, "shared_coherence", "independent_coherence", "gap", "architectural_coherence", "learned_coherence")
 
 
