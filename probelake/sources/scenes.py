@@ -22,6 +22,8 @@ from probelake.functions.scalars import toppled_number
 from probelake.session import durable, spread
 from probelake.sources.files import reader, write_files, write_lines_file
 
+READ_BYTES = 8_000_000  # of pixels or records in one batch
+
 
 def _number_toppled(df: DataFrame) -> DataFrame:
     """Replace the text form of ``toppled`` in every probe outcome by its number."""
@@ -82,10 +84,17 @@ def join_manifest(index: DataFrame, records: DataFrame, split: str | None = None
 
     ``on_missing='skip'`` drops listed scenes without a record; ``'error'`` fails on them.
     """
+    out = _listed(index, split).join(records.withColumn("_found", F.lit(True)), "scene_id", "left" if on_missing == "error" else "inner")
+    return _filled(out, on_missing)
+
+
+def _listed(index: DataFrame, split: str | None) -> DataFrame:
     wanted = index if split is None else index.where(F.col("split") == split)
-    listed = wanted.select("scene_id", F.col("split").alias("_split"), F.col("shape").alias("_shape"), F.col("material").alias("_material"))
-    recs = records.withColumn("_found", F.lit(True))
-    out = listed.join(recs, "scene_id", "left" if on_missing == "error" else "inner")
+    return wanted.select("scene_id", F.col("split").alias("_split"), F.col("shape").alias("_shape"), F.col("material").alias("_material"))
+
+
+def _filled(out: DataFrame, on_missing: str) -> DataFrame:
+    """Listed scenes beside their records (``_found``), with the gaps filled."""
     if on_missing == "error":
         message = F.concat(F.lit("no record for scene "), F.col("scene_id"))
         out = out.withColumn("scene_id", F.when(F.col("_found").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("scene_id")))
@@ -96,18 +105,28 @@ def join_manifest(index: DataFrame, records: DataFrame, split: str | None = None
 def read_scenes(spark: SparkSession, root: str, split: str | None = None, on_missing: str = "skip") -> DataFrame:
     """The records of a one-file-per-scene set, limited to the scenes its manifest lists.
 
-    Scene ids start with their split, so a split request lists and opens the folders of that split only; if the manifest
-    names other ids in the split, all folders are looked through.
+    A task opens the ``<scene_id>/sample.json`` of its own rows of the manifest: no folder is listed, no file is planned on
+    the driver, records need no join, and a split request opens the files of that split only.
     """
-    index = read_manifest(spark, root)
-    pattern = "*"
-    if split is not None:
-        index = index.where(F.col("split") == split)
-        if index.where(~F.startswith("scene_id", F.lit(f"{split}_"))).isEmpty():
-            pattern = f"{split}_*"
-    if index.isEmpty():
-        pattern = "*"  # a glob without a match would be an error
-    return join_manifest(index, read_samples(spark, f"{root}/{pattern}").drop("path"), None, on_missing)
+    listed = spread(_listed(read_manifest(spark, root), split))
+    schema = T.StructType([*listed.schema.fields, T.StructField("content", T.StringType())])
+
+    def opened(batches):
+        read = reader(root)
+        for batch in batches:
+            lo, texts, held = 0, [], 0
+            for i, scene in enumerate(batch.column("scene_id").to_pylist()):
+                texts.append(read(f"{scene}/sample.json"))
+                held += len(texts[-1] or b"")
+                if held >= READ_BYTES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, i + 1 - lo).columns, pa.array(texts, pa.binary()).cast(pa.string())], schema.names)
+                    lo, texts, held = i + 1, [], 0
+
+    record = F.from_json("content", S.scene(T.StringType()))
+    rows = listed.mapInArrow(opened, schema).withColumn("record", record)
+    found = F.when(F.col("record.scene_id") == F.col("scene_id"), F.lit(True))  # a broken or strange file is no record
+    rows = rows.select("scene_id", "_split", "_shape", "_material", found.alias("_found"), *[F.col(f"record.{f}") for f in S.scene(T.StringType()).names if f != "scene_id"])
+    return _filled(_number_toppled(rows if on_missing == "error" else rows.where("_found")), on_missing)
 
 
 def write_scene_files(scenes: DataFrame, header: DataFrame, index: DataFrame, root: str) -> int:
@@ -115,7 +134,7 @@ def write_scene_files(scenes: DataFrame, header: DataFrame, index: DataFrame, ro
 
     The manifest is written after the scenes, in the order of the scene ids, by one writer that streams the index.
     """
-    n = write_files(scenes.select(F.concat("scene_id", F.lit("/sample.json")).alias("rel_path"), F.to_json(F.struct(*scenes.columns)).alias("content")), root)
+    n = write_files(spread(scenes).select(F.concat("scene_id", F.lit("/sample.json")).alias("rel_path"), F.to_json(F.struct(*scenes.columns)).alias("content")), root)
     beside = header.select(F.to_json(F.struct(*header.columns)).alias("h")).first()["h"]
     lines = durable(index.orderBy("scene_id").select(F.to_json(F.struct(*index.columns)).alias("line")))
     write_lines_file(lines, f"{root}/manifest.json", before=beside[:-1] + ', "scenes": [\n', between=",\n", after="\n]}\n")
@@ -184,7 +203,6 @@ def load_pixels(spark: SparkSession, paths, views: DataFrame | None = None) -> D
     return img.select("origin", "height", "width", "nChannels", "data").mapInPandas(decode, schema)
 
 
-READ_BYTES = 8_000_000  # of pixels or records in one batch
 _PNG_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 

@@ -1,5 +1,6 @@
 """Sets of many small files: read by name inside tasks, with the same values as a scan."""
 
+import json
 import struct
 import zlib
 
@@ -72,3 +73,26 @@ def test_pixel_features_by_hand(spark):
     a = images["a"]
     assert got["a"] == pytest.approx([*a.mean((0, 1)), *a.std((0, 1)), *a[0, 0], *a[0, 3], *a[2, 0], *a[2, 3]])
     assert got["b"] == [0.1] * 3 + [0.0] * 3 + [0.1] * 12 and got["c"] is None
+
+
+def test_scenes_are_opened_by_name(spark, tmp_path, monkeypatch):
+    entries = [{"scene_id": f"{s}_{i:06d}", "split": s, "shape": "box", "material": "glass"} for s in ("train", "test") for i in range(60)]
+    for e in entries[1:]:
+        (tmp_path / e["scene_id"]).mkdir()
+        (tmp_path / e["scene_id"] / "sample.json").write_text(json.dumps({"scene_id": e["scene_id"], "input": {"shape": "sphere"}, "behavior": {"probes": [
+            {"probe": "drop", "outcome": {"toppled": True, "path_length": 1.5}}]}}, indent=1))
+    (tmp_path / "train_000007" / "sample.json").write_text("{broken")
+    (tmp_path / "manifest.json").write_text(json.dumps({"scenes": entries}, indent=1))
+    monkeypatch.setattr(SS, "READ_BYTES", 300)  # batches are cut inside
+    train = SS.read_scenes(spark, str(tmp_path), "train")
+    assert "Scan json" not in train._jdf.queryExecution().executedPlan().toString()  # one task for every 32 files, one listing task for every folder
+    got = {r["scene_id"]: r for r in train.collect()}
+    assert set(got) == {f"train_{i:06d}" for i in range(60)} - {"train_000000", "train_000007"}
+    r = got["train_000009"]
+    assert (r["split"], r["input"]["shape"], r["input"]["material"], r["behavior"]["probes"][0]["outcome"]["toppled"]) == ("train", "sphere", "glass", 1.0)
+    assert SS.read_scenes(spark, str(tmp_path)).count() == 118
+    index, samples = SS.read_manifest(spark, str(tmp_path)), SS.read_samples(spark, f"{tmp_path}/*").drop("path")
+    joined = {r["scene_id"]: r.asDict(True) for r in SS.join_manifest(index, samples, "train").collect()}
+    assert joined == {k: r.asDict(True) for k, r in got.items()}
+    with pytest.raises(Exception, match="no record for scene train_00000[07]"):
+        SS.read_scenes(spark, str(tmp_path), "train", "error").collect()
