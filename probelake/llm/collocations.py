@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +32,6 @@ from probelake.session import scratch_path, small
 
 UNKNOWN = "und"
 BREAKS = r"[.,;:!?\x0A-\x0D]+"
-BLANKS = r"[\x20\x09]+"
 FILTER_BYTES = 1 << 27  # the largest bit filter; 16 bits a phrase below that
 SEGMENT = 1 << 15  # bits of one filter row
 SLICE_ROWS = 100_000  # phrases of one slice of an ordered stream
@@ -50,8 +48,19 @@ def mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(words: list) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of texts without nulls: a sum of their bytes, each times a number that its place gives, mixed with the length."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[words.offset:words.offset + len(words) + 1]
+    size = np.diff(ends)
+    spelled = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    place = (np.arange(len(spelled)) - np.repeat(ends[:-1] - ends[0], size)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(place, RADIX) * (spelled + np.uint64(1)), dtype=np.uint64)])
+        return mixed(sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]], size.astype(np.uint64))
 
 
 class PhraseFilter:
@@ -79,11 +88,11 @@ def filter_of(phrases: DataFrame, n: int) -> PhraseFilter:
         for batch in batches:
             words = pc.split_pattern(batch.column("phrase"), " ")
             coded = pc.dictionary_encode(words.flatten())
-            word = word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+            word = word_hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
             row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
             length = np.bincount(row, minlength=len(words))
             start = np.cumsum(length) - length
-            h = word_hashes(batch.column("lang").to_pylist())
+            h = word_hashes(batch.column("lang"))
             for k in range(int(length.max(initial=0))):
                 longer = np.flatnonzero(length > k)
                 h[longer] = mixed(h[longer], word[start[longer] + k])
@@ -101,7 +110,9 @@ def filter_of(phrases: DataFrame, n: int) -> PhraseFilter:
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words; for every occurrence in order its word, its row and its piece."""
     spaced = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), BREAKS, " \n ")
-    lists = pc.split_pattern_regex(spaced, BLANKS)
+    spaced = pc.replace_substring(spaced, "\t", " ")
+    spaced = pc.replace_substring(spaced, " " * 8, " ")  # long runs of blanks become short; what is left of them splits into empty words
+    lists = pc.split_pattern(spaced, " ")
     coded = pc.dictionary_encode(lists.flatten())
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -126,10 +137,10 @@ def count_phrases(docs: DataFrame, order: int, filters: list[PhraseFilter]) -> D
                 continue
             langs = pc.dictionary_encode(pc.fill_null(batch.column("lang"), UNKNOWN))
             lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            spelled, lang_hash = word_hashes(words.to_pylist()), word_hashes(langs.dictionary.to_pylist())
+            spelled, lang_hash = word_hashes(words), word_hashes(langs.dictionary)
             # phrases of the current order: where they start, their number there, and per number language, words and hash
             at = np.arange(len(which))
-            known, first, number = np.unique(lang * len(words) + which, return_index=True, return_inverse=True)
+            known, number = np.unique(lang * len(words) + which, return_inverse=True)
             of_lang, chain = known // len(words), [known % len(words)]
             h = mixed(lang_hash[of_lang], spelled[chain[0]])
             for m in range(1, order):
