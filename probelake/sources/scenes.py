@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import reduce
+from fnmatch import fnmatchcase
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +75,42 @@ def read_samples(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def scan_scene_glob(spark: SparkSession, root: str, patterns=("train_*", "test_*")) -> DataFrame:
-    """S3: every ``<scene>/sample.json`` whose folder matches a pattern, with its ``path``; the manifest is ignored."""
-    return reduce(DataFrame.unionByName, [read_samples(spark, f"{root}/{p}") for p in patterns])  # U1: union of the sources
+    """S3: every ``<scene>/sample.json`` whose folder matches a pattern, with its ``path``; the manifest is ignored.
+
+    The names below ``root`` are listed by one call inside a task, folders are not; files are opened as in :func:`read_scenes`.
+    """
+    def names(batches):
+        from pyarrow import fs
+
+        for _ in batches:
+            files, base = fs.FileSystem.from_uri(root)
+            below = [i.base_name for i in files.get_file_info(fs.FileSelector(base))]
+            for pattern in patterns:  # U1: union of the sources
+                yield pa.RecordBatch.from_arrays([pa.array([n for n in below if fnmatchcase(n, pattern)], pa.string())], ["scene_id"])
+
+    folders = spark.range(0, 1, 1, 1).mapInArrow(names, "scene_id string")
+    found = _with_content(folders, root).where("content IS NOT NULL")
+    place = (root if "://" in root else f"file://{root}").replace("file:///", "file:/")  # as Spark names it
+    path = F.concat(F.lit(f"{place}/"), "scene_id", F.lit("/sample.json"))
+    return _number_toppled(found.select(F.from_json("content", S.scene(T.StringType())).alias("r"), path.alias("path")).select("r.*", "path"))
+
+
+def _with_content(scenes: DataFrame, root: str) -> DataFrame:
+    """``scenes`` plus ``content``: the text of ``<scene_id>/sample.json``, null where there is none; tasks open the files of their own rows."""
+    schema = T.StructType([*scenes.schema.fields, T.StructField("content", T.StringType())])
+
+    def opened(batches):
+        read = reader(root)
+        for batch in batches:
+            lo, texts, held = 0, [], 0
+            for i, scene in enumerate(batch.column("scene_id").to_pylist()):
+                texts.append(read(f"{scene}/sample.json"))
+                held += len(texts[-1] or b"")
+                if held >= READ_BYTES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, i + 1 - lo).columns, pa.array(texts, pa.binary()).cast(pa.string())], schema.names)
+                    lo, texts, held = i + 1, [], 0
+
+    return spread(scenes).mapInArrow(opened, schema)
 
 
 def join_manifest(index: DataFrame, records: DataFrame, split: str | None = None, on_missing: str = "skip") -> DataFrame:
@@ -108,22 +142,8 @@ def read_scenes(spark: SparkSession, root: str, split: str | None = None, on_mis
     A task opens the ``<scene_id>/sample.json`` of its own rows of the manifest: no folder is listed, no file is planned on
     the driver, records need no join, and a split request opens the files of that split only.
     """
-    listed = spread(_listed(read_manifest(spark, root), split))
-    schema = T.StructType([*listed.schema.fields, T.StructField("content", T.StringType())])
-
-    def opened(batches):
-        read = reader(root)
-        for batch in batches:
-            lo, texts, held = 0, [], 0
-            for i, scene in enumerate(batch.column("scene_id").to_pylist()):
-                texts.append(read(f"{scene}/sample.json"))
-                held += len(texts[-1] or b"")
-                if held >= READ_BYTES or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, i + 1 - lo).columns, pa.array(texts, pa.binary()).cast(pa.string())], schema.names)
-                    lo, texts, held = i + 1, [], 0
-
-    record = F.from_json("content", S.scene(T.StringType()))
-    rows = listed.mapInArrow(opened, schema).withColumn("record", record)
+    listed = _listed(read_manifest(spark, root), split)
+    rows = _with_content(listed, root).withColumn("record", F.from_json("content", S.scene(T.StringType())))
     found = F.when(F.col("record.scene_id") == F.col("scene_id"), F.lit(True))  # a broken or strange file is no record
     rows = rows.select("scene_id", "_split", "_shape", "_material", found.alias("_found"), *[F.col(f"record.{f}") for f in S.scene(T.StringType()).names if f != "scene_id"])
     return _filled(_number_toppled(rows if on_missing == "error" else rows.where("_found")), on_missing)

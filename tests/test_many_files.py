@@ -96,3 +96,16 @@ def test_scenes_are_opened_by_name(spark, tmp_path, monkeypatch):
     assert joined == {k: r.asDict(True) for k, r in got.items()}
     with pytest.raises(Exception, match="no record for scene train_00000[07]"):
         SS.read_scenes(spark, str(tmp_path), "train", "error").collect()
+
+
+def test_a_scan_lists_names_once(spark, tmp_path):
+    for name in ("train_000001", "train_000002", "test_000001", "other_000001"):
+        (tmp_path / name).mkdir()
+        if name != "train_000002":
+            (tmp_path / name / "sample.json").write_text(json.dumps({"scene_id": name, "behavior": {"probes": [{"probe": "drop", "outcome": {"toppled": False}}]}}))
+    want = SS.read_samples(spark, f"{tmp_path}/t*")
+    for root in (str(tmp_path), tmp_path.as_uri()):
+        scan = SS.scan_scene_glob(spark, root)
+        assert "Scan json" not in scan._jdf.queryExecution().executedPlan().toString()
+        assert sorted(str(r.asDict(True)) for r in scan.select(want.columns).collect()) == sorted(str(r.asDict(True)) for r in want.collect())
+    assert scan.count() == 2 and SS.scan_scene_glob(spark, str(tmp_path), ["none_*"]).count() == 0
