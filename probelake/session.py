@@ -93,3 +93,12 @@ def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when a bounded count proves it small, else ``df`` unhinted."""
     fits = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if fits else df
+
+
+def either(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """``df`` as a side of a join: broadcast when counted small, else never.
+
+    Without a hint Spark goes by the bytes of the files that a checkpoint was read from. Columns that compress well look
+    small, and rows by the million are broadcast through the driver.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
